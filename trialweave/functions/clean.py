@@ -11,6 +11,20 @@ PDL1_NUMBER = {"<1": "0", "1-49": "25"}
 PDL1_NUMBER_EXTERNAL = {"<1": "0", "1-49": "40"}
 UNKNOWN_VALUES = ["Unknown", "Others"]
 
+# Display names of features. Fixed values.
+DISPLAY_NAMES = {
+    "年龄": "age",
+    "性别": "gender",
+    "是否吸烟": "smoking",
+    "每日吸烟数量": "smoking",
+    "病理诊断_文本": "pathological_diagnosis",
+    "病例完成治疗的周期数": "treatment_cycles",
+    "临床试验分期T": "treatment_phase_T",
+    "临床试验N分期": "treatment_phase_N",
+    "临床试验分期": "treatment_phase",
+    "wavelet2-LLL_gldm_LargeDependenceHighGrayLevelEmphasis": "wavelet2-LLL_gldm_LargeDHighGrayLevelEmphasis",
+}
+
 
 def map_values(column: Column, mapping: dict[str, str]) -> Column:
     """Replace listed values and keep all others, null included."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "columns", "joins", "aggregates"]
+MODULES = ["tables", "columns", "joins", "aggregates", "scalars", "encoders", "metrics", "images"]
 
 
 def load() -> None:

@@ -20,7 +20,8 @@ def explode_volume(df: DataFrame, pixels: str, height: int, width: int) -> DataF
 
 def axis_permute(df: DataFrame) -> DataFrame:
     """(a, b, c) -> (c, b, a): masks are stored with their axes reversed against the image."""
-    return df.withColumnsRenamed({"z": "x", "x": "z"}).select(df.columns)
+    swapped = {"z": F.col("x").alias("z"), "x": F.col("z").alias("x")}
+    return df.select([swapped.get(c, F.col(c)) for c in df.columns])
 
 
 def write_volumes(df: DataFrame, path: str, buckets: int = 16, key: str = "image_name") -> None:
