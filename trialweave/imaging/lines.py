@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 AXES = ["z", "y", "x"]
 
 
+def _field(array: str, name: str) -> Column:
+    """One field of an array of structs as an array of its own, built once per line."""
+    return F.transform(array, lambda e: e[name])
+
+
 def along_axis(
     df: DataFrame,
     keys: list[str],
@@ -22,11 +27,13 @@ def along_axis(
     inputs: list[str],
     outputs: Callable[[dict[str, Column]], dict[str, Column]],
     per_image: list[str] | None = None,
+    prepared: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Rewrite every line along one axis: outputs maps the input arrays to new arrays.
 
     The voxels of a line are taken in coordinate order and numbered from 0 in the result.
-    per_image names columns that are constant per image and stay available to outputs.
+    per_image names columns that are constant per image and stay available to outputs; prepared changes an
+    input array before outputs sees it.
     """
     others = [a for a in AXES if a != axis]
     constant = per_image or []
@@ -35,8 +42,10 @@ def along_axis(
         *[F.first(c).alias(c) for c in constant],
     )
     arrays = lines.select(
-        *keys, *others, *constant, *[F.col("line").getField(c).alias(c) for c in inputs]
+        *keys, *others, *constant, *[_field("line", c).alias(c) for c in inputs]
     )
+    for name, change in (prepared or {}).items():
+        arrays = arrays.withColumn(name, change(F.col(name)))
     results = outputs({c: F.col(c) for c in inputs})
     named = arrays.select(*keys, *others, *constant, *[array.alias(f"_{n}") for n, array in results.items()])
     exploded = named.select(

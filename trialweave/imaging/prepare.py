@@ -61,11 +61,15 @@ def intensity_normalize(
 
 
 def discretize(roi: DataFrame, keys: list[str], width: float = 25) -> DataFrame:
-    """Grey level g = floor(value / width) - floor(smallest / width) + 1 inside the region."""
-    lowest = roi.groupBy(*keys).agg(F.min("value").alias("_min"))
+    """Grey level g = floor(value / width) - floor(smallest / width) + 1 inside the region, and its largest ng."""
     bins = F.lit(float(width))
-    g = F.floor(F.col("value") / bins) - F.floor(F.col("_min") / bins) + 1
-    return roi.join(lowest, keys).withColumn("g", g.cast("int")).drop("_min")
+    ends = roi.groupBy(*keys).agg(
+        F.floor(F.min("value") / bins).alias("_first"), F.floor(F.max("value") / bins).alias("_last")
+    )
+    g = F.floor(F.col("value") / bins) - F.col("_first") + 1
+    ng = F.col("_last") - F.col("_first") + 1
+    levels = roi.join(ends, keys).withColumns({"g": g.cast("int"), "ng": ng.cast("int")})
+    return levels.drop("_first", "_last")
 
 
 def resample_plan(df: DataFrame, target: float = 1.0) -> DataFrame:

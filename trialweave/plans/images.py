@@ -24,7 +24,8 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
-    values = [(F.round(F.col(n).cast("double"), digits) + F.lit(0.0)).alias(n) for n in names]
+    """Rounded for the comparison; fractions that end in an exact half are first moved off it."""
+    values = [(F.round(F.col(n).cast("double") * (1 + 1e-12), digits) + F.lit(0.0)).alias(n) for n in names]
     return df.select("image_name", *values)
 
 
@@ -164,8 +165,8 @@ def firstorder(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_class_sql("glcm"))
 def glcm(spark: SparkSession, sf: str) -> DataFrame:
-    levels = _levels(spark, sf)
-    return _rounded(tx.glcm_features(tx.glcm_cells(levels, KEY), levels, KEY), tx.GLCM)
+    cells = tx.glcm_cells(_levels(spark, sf), KEY)
+    return _rounded(tx.glcm_features(cells, KEY), tx.GLCM)
 
 
 @query(_class_sql("glrlm"))
@@ -176,13 +177,13 @@ def glrlm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_class_sql("gldm"))
 def gldm(spark: SparkSession, sf: str) -> DataFrame:
-    cells = tx.gldm_cells(tx.neighbourhoods(_levels(spark, sf), KEY), KEY)
+    cells = tx.gldm_cells(tx.neighbour_cells(_levels(spark, sf), KEY), KEY)
     return _rounded(tx.size_features(cells, KEY, "gldm"), sql.names_of("gldm"))
 
 
 @query(_class_sql("ngtdm"))
 def ngtdm(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(tx.ngtdm_features(tx.neighbourhoods(_levels(spark, sf), KEY), KEY), tx.NGTDM)
+    return _rounded(tx.ngtdm_features(tx.neighbour_cells(_levels(spark, sf), KEY), KEY), tx.NGTDM)
 
 
 @query(_class_sql("glszm"))

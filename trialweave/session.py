@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 _local_folders: dict[str, str] = {}
