@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "columns", "joins", "aggregates", "scalars", "encoders", "metrics", "images"]
+MODULES = ["tables", "columns", "joins", "aggregates", "scalars", "encoders", "metrics", "modelling", "images"]
 
 
 def load() -> None:
