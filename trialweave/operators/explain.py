@@ -34,18 +34,18 @@ def rank_features(
     return importance_table(df.sparkSession, model, columns)
 
 
-def shadow_columns(df: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
+def shadow_columns(base: DataFrame, df: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
     """(key, shadow_<column>...): every column shuffled on its own.
 
-    A row takes, per column, the value of the row that has its position in another hash order.
+    base gives each row its position; per column it takes the value of the row that has this position in
+    another hash order.
     """
-    base = hash_positions(df.select(key), [], key, seed, "position")
     long = df.unpivot([key], columns, "feature", "value").withColumn("_id", F.concat_ws(":", "feature", key))
-    moved = hash_positions(long, ["feature"], "_id", seed + 1, "position").select("position", "feature", "value")
-    paired = base.join(moved, "position")
+    moved = hash_positions(long, ["feature"], "_id", seed, "position").select("position", "feature", "value")
     names = [f"shadow_{c}" for c in columns]
     return (
-        paired.withColumn("feature", F.concat(F.lit("shadow_"), "feature"))
+        base.join(moved, "position")
+        .withColumn("feature", F.concat(F.lit("shadow_"), "feature"))
         .groupBy(key)
         .pivot("feature", names)
         .agg(F.first("value"))
@@ -66,10 +66,11 @@ def shadow_select(
     ranking 1 is kept, 2 undecided, 3 rejected, by binomial tests corrected for the number of columns.
     """
     rows = cut_lineage(df.select(key, label, *[F.col(c).cast("double").alias(c) for c in columns]))
+    base = cut_lineage(hash_positions(rows.select(key), [], key, seed, "position"))
     hits = dict.fromkeys(columns, 0)
     names = columns + [f"shadow_{c}" for c in columns]
     for r in range(rounds):
-        both = rows.join(shadow_columns(rows, columns, key, seed + 2 * r), key)
+        both = rows.join(shadow_columns(base, rows, columns, key, seed + 1 + r), key)
         ranked = rank_features(both, names, label, key, trees, seed + r).collect()
         importance = {row.feature: row.importance for row in ranked}
         bar = max(importance[f"shadow_{c}"] for c in columns)

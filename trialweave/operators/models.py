@@ -42,9 +42,12 @@ GRIDS = {
 }
 
 
-def training_layout(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Rows hashed by key into a fixed number of partitions and sorted, so that a seed repeats."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def training_layout(df: DataFrame, key: str, rows_per_partition: int = 100_000) -> DataFrame:
+    """Rows hashed by key into as many partitions as their count asks for, and sorted, so that a seed repeats.
+
+    Training runs many short jobs over the same rows, so small tables belong in few partitions.
+    """
+    n = max(1, math.ceil(df.count() / rows_per_partition))
     return df.repartition(n, key).sortWithinPartitions(key)
 
 
@@ -152,11 +155,11 @@ def svm_stages(rows: int, kernel: str, C: float, gamma: float, size: int = 256,
 
 
 def svm_with_probability(
-    encoded: DataFrame, fold_col: str, kernel: str = "rbf", C: float = 1.0, gamma: float = 0.1
+    encoded: DataFrame, fold_col: str, kernel: str = "rbf", C: float = 1.0, gamma: float = 0.1, iterations: int = 100
 ) -> PipelineModel:
     """SVM on all rows, and a logistic curve from margin to probability fitted on out-of-fold margins."""
     folds = [r[0] for r in encoded.select(fold_col).distinct().collect()]
-    stages = svm_stages(encoded.count(), kernel, C, gamma)
+    stages = svm_stages(encoded.count(), kernel, C, gamma, iterations=iterations)
     margins = []
     for fold in folds:
         model = Pipeline(stages=stages).fit(encoded.filter(F.col(fold_col) != fold))

@@ -23,9 +23,12 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
     return pr.discretize(pr.voxel_mask(fx.voxels(spark, sf)), KEY)
 
 
-def _rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
-    """Rounded for the comparison; fractions that end in an exact half are first moved off it."""
-    values = [(F.round(F.col(n).cast("double") * (1 + 1e-12), digits) + F.lit(0.0)).alias(n) for n in names]
+def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
+    """Single precision for the comparison, with noise around zero and exact halves moved out of the way."""
+    values = [
+        (F.round(F.col(n).cast("double") * (1 + 1e-12), 9) + F.lit(0.0)).cast("float").cast("double").alias(n)
+        for n in names
+    ]
     return df.select("image_name", *values)
 
 
@@ -212,3 +215,53 @@ def filter_log(spark: SparkSession, sf: str) -> DataFrame:
 def filter_wavelet(spark: SparkSession, sf: str) -> DataFrame:
     filtered = fl.filter_wavelet(fx.voxels(spark, sf), KEY, 2)
     return filtered.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+def _extract_sql(classes: list[str], sigmas: list[float], wavelet_levels: int) -> str:
+    """All derived images under one key, every class once over them, then one column per feature."""
+    derived = [
+        """SELECT image_name || '|original' AS image_name, z, y, x, "value"::DOUBLE AS "value", mask FROM voxels"""
+    ]
+    ctes = []
+    for n, s in enumerate(sigmas):
+        ctes.append(sql.log_ctes(s, suffix=f"_{n}"))
+        derived.append(
+            f"""SELECT image_name || '|log-sigma-{s:g}-mm', z, y, x, "value", mask FROM logged_{n}"""
+        )
+    if wavelet_levels:
+        ctes.append(sql.wavelet_ctes(levels=wavelet_levels))
+        derived.append("""SELECT image_name || '|' || filter, z, y, x, "value", mask FROM bands""")
+    ctes.append(f"unrounded AS ({' UNION ALL '.join(derived)})")
+    ctes.append('derived AS (SELECT * REPLACE (round("value", 6) AS "value") FROM unrounded)')
+    ctes.append(sql.levels("derived"))
+    if "gldm" in classes or "ngtdm" in classes:
+        ctes.append(sql.NEIGHBOUR_CTES)
+    for family in classes:
+        ctes += sql.class_ctes(family)
+    ctes.append(f"shape_roi AS (SELECT * FROM voxels WHERE mask = 1), {sql.SHAPE_CTES.replace('FROM roi', 'FROM shape_roi')}")
+    columns, joins = [], ""
+    for image in ex.image_types(sigmas, wavelet_levels):
+        for family in classes:
+            table = f'"{image}_{family}"'
+            joins += f" LEFT JOIN {family}_t AS {table} ON {table}.image_name = s.image_name || '|{image}'"
+            columns += [(f'{table}."{n}"', f"{image}_{family}_{n}") for n in sql.names_of(family)]
+    columns += [(f's."{n}"', f"original_shape_{n}") for n in it.SHAPE]
+    selected = ", ".join(f'{sql.single(c)} AS "{name}"' for c, name in columns)
+    return f"{VOXELS}, {', '.join(ctes)} SELECT s.image_name, {selected} FROM shape_t s{joins}"
+
+
+def _extract(spark: SparkSession, sf: str, classes: list[str], sigmas: list[float], wavelet_levels: int) -> DataFrame:
+    wide = ex.extract_features(fx.voxels(spark, sf), classes, sigmas, wavelet_levels)
+    return _rounded(wide, [c for c in wide.columns if c != "image_name"])
+
+
+@query(_extract_sql(ex.CLASSES, [1.0], 0))
+def extract_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Every class on the original and a filtered image, one wide row per image."""
+    return _extract(spark, sf, ex.CLASSES, [1.0], 0)
+
+
+@query(_extract_sql(["firstorder"], [1.0, 2.0], 2))
+def extract_features_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Every image type with the first-order class."""
+    return _extract(spark, sf, ["firstorder"], [1.0, 2.0], 2)

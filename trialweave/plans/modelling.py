@@ -32,6 +32,11 @@ def _regression(spark: SparkSession, sf: str, estimator) -> DataFrame:
     return model.transform(test).select("imageName", "y", F.col("prediction").alias("y_pred"))
 
 
+def _folded(train: DataFrame, k: int) -> DataFrame:
+    folds = splits.stratified_folds(train, "label", "imageName", k=k, seed=42)
+    return models.training_layout(folds, "imageName").persist()
+
+
 def _encoded(spark: SparkSession, sf: str, scale: bool = False) -> tuple[DataFrame, DataFrame, int]:
     train, test = train_test(spark, sf)
     encoder, width = models.encoded(NUMERIC, CATEGORICAL, train, scale)
@@ -79,9 +84,9 @@ def gbt_classify_target_encoded(spark: SparkSession, sf: str) -> DataFrame:
 def svm_classify(spark: SparkSession, sf: str) -> DataFrame:
     """Both kernels: the linear one and the rbf approximation, with calibrated probabilities."""
     train, test, _ = _encoded(spark, sf, scale=True)
-    train = splits.stratified_folds(train, "label", "imageName", k=3, seed=42).persist()
+    train = _folded(train, 3)
     scored = [
-        models.score_table(models.svm_with_probability(train, "fold", kernel, C=1.0, gamma=0.1), test, KEEP).withColumn(
+        models.score_table(models.svm_with_probability(train, "fold", kernel, iterations=25), test, KEEP).withColumn(
             "kernel", F.lit(kernel)
         )
         for kernel in ("linear", "rbf")
@@ -143,13 +148,13 @@ def select_by_shadow(spark: SparkSession, sf: str) -> DataFrame:
     """The measures and one column of pure noise."""
     train, _ = train_test(spark, sf)
     noise = F.conv(F.substring(F.md5("imageName"), 1, 6), 16, 10).cast("double")
-    return explain.shadow_select(train.withColumn("noise", noise), [*NUMERIC, "noise"], "label", "imageName")
+    return explain.shadow_select(train.withColumn("noise", noise), [*NUMERIC, "noise"], "label", "imageName", rounds=7)
 
 
 @query()
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = train_test(spark, sf)
-    folded = splits.stratified_folds(train, "label", "imageName", k=3, seed=42).persist()
+    folded = _folded(train, 3)
     points = models.grid_points({"maxIter": [5, 10], "maxDepth": [2, 3]})
     table, _ = models.tune(
         encode.preprocessor(NUMERIC, CATEGORICAL), models.boosted_classifier(), points, folded, "auc", "fold"
@@ -164,7 +169,7 @@ def cross_val_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 def _out_of_fold(spark: SparkSession, sf: str, k: int, trees: int) -> DataFrame:
     train, _ = train_test(spark, sf)
-    folded = splits.stratified_folds(train, "label", "imageName", k=k, seed=42).persist()
+    folded = _folded(train, k)
     pipeline = Pipeline(
         stages=[encode.preprocessor(NUMERIC, CATEGORICAL), models.forest_classifier(trees, seed=42)]
     )
