@@ -26,8 +26,9 @@ def auc(scores):
 
 
 def test_forest_is_good_and_repeats(data):
+    """The floor was measured on the four text counts alone."""
     train, test = data
-    pipeline = Pipeline(stages=[encode.preprocessor(NUMERIC, CATEGORICAL), models.forest_classifier(30, seed=42)])
+    pipeline = Pipeline(stages=[encode.preprocessor(NUMERIC, []), models.forest_classifier(30, seed=42)])
     first, second = (
         models.score_table(pipeline.fit(models.training_layout(df, "imageName")), test, ["imageName", "label"])
         for df in (train, train.repartition(3))
