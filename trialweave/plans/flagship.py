@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave import fixtures as fx
 from trialweave.operators import encode, evaluate, models
+from trialweave.session import cut_lineage
 
 NUMERIC = ["n_chars", "n_words", "n_distinct", "n_symbols"]
 CATEGORICAL = ["lang", "source"]
 
 
 def train_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled document features, about 70 of 100 rows for training by the hash of the id."""
-    df = fx.features(spark, folder).filter(F.col("label").isNotNull())
+    """Labelled document features, about 70 of 100 rows for training by the hash of the id.
+
+    The measures are taken from the texts once; fitting reads the written table many times.
+    """
+    df = cut_lineage(fx.features(spark, folder).filter(F.col("label").isNotNull()))
     is_train = F.md5(F.concat(F.lit("7:"), "imageName")) < "b3"
     return models.training_layout(df.filter(is_train), "imageName"), df.filter(~is_train)
 
