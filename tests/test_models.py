@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -77,7 +78,12 @@ def test_best_grid_point_has_the_best_mean(data):
     folded = splits.stratified_folds(train, "label", "imageName", k=2).persist()
     points = models.grid_points({"numTrees": [1, 10], "maxDepth": [1, 4]})
     table, best = models.tune(
-        encode.preprocessor(NUMERIC, []), models.forest_classifier(), points, folded, "auc", "fold"
+        encode.preprocessor(NUMERIC, []),
+        lambda p: RandomForestClassifier(seed=1, **p),
+        points,
+        folded,
+        "auc",
+        "fold",
     )
     rows = table.collect()
     means = [np.mean([r.metric for r in rows if r.point == k]) for k in range(4)]
@@ -140,3 +146,21 @@ def test_weights_bound_the_ratio(spark):
     val = spark.createDataFrame([(1, "a")] * 2 + [(0, "a")] * 3 + [(0, "c")], "y int, k string")
     weights = {(r.y, r.k): r.weight for r in splits.target_weights(train, val, ["y", "k"]).collect()}
     assert weights == {(1, "a"): 0.5, (0, "a"): 1.5, (1, "b"): 0.5, (0, "c"): 2.0}
+
+
+def test_grids_have_the_sizes_of_the_inventory_and_build():
+    sizes = {name: len(models.grid_points(grid)) for name, grid in models.GRIDS.items()}
+    assert sizes == {"gbt": 36, "gbt_sampled": 18, "gbt_target_encoded": 18, "forest": 36, "svm": 24}
+    for point in models.grid_points(models.GRIDS["forest"]):
+        RandomForestClassifier(**models.with_depth(point))
+    depths = {models.with_depth(p)["maxDepth"] for p in models.grid_points(models.GRIDS["gbt_sampled"])}
+    assert depths == {3, 5, 6, 7}
+
+
+def test_svm_grid_points_fit(data):
+    train, _ = data
+    folded = splits.stratified_folds(train, "label", "imageName", k=2).persist()
+    points = models.grid_points({"C": [1], "gamma": [0.1], "kernel": ["rbf", "linear"]})
+    build = lambda p: Pipeline(stages=models.svm_stages(140, iterations=5, size=32, **p))
+    table, _ = models.tune(encode.preprocessor(NUMERIC, [], scale=True), build, points, folded, "accuracy", "fold")
+    assert table.count() == 4 and table.agg(F.min("metric")).first()[0] > 0.5

@@ -28,6 +28,16 @@ def test_positions_do_not_depend_on_the_cuts(spark, cuts):
         assert [p for _, _, p in sorted(members)] == list(range(len(members)))
 
 
+def test_positions_spread_rows_without_an_order_value(spark):
+    """Nulls sort first and are still cut by the next column."""
+    df = skewed(spark).withColumn("v", F.when(F.col("id") % 4 == 0, F.col("v")))
+    cuts = ranking.order_cuts(df, ["v", "id"], buckets=8)
+    assert any(v is None for v, _ in cuts)
+    rows = ranking.positions(df, [], ["v", "id"], "p", cuts=cuts).collect()
+    ordered = sorted(rows, key=lambda r: (r.v is not None, r.v or 0.0, r.id))
+    assert [r.p for r in ordered] == list(range(len(rows)))
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_running_sums_and_auc_hold_under_any_layout(spark, partitions):
     df = skewed(spark).repartition(partitions).withColumn("label", (F.col("id") % 5 == 0).cast("int"))

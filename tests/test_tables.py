@@ -92,3 +92,15 @@ def test_boxcox_fit_finds_the_maximum(spark, sf):
         for r in encode.boxcox_log_likelihoods(x, "x", [best - 0.01, best, best + 0.01]).collect()
     }
     assert near[best] == max(near.values())
+
+
+def test_spread_join_equals_the_plain_join(spark):
+    rows = spark.range(500).selectExpr("case when id % 3 < 2 then 'hot' else cast(id as string) end as k", "id")
+    table = rows.groupBy("k").agg(F.max("id").alias("top"))
+    joined = relational.join_spread(rows, table, ["k"], ["id"])
+    assert joined.exceptAll(rows.join(table, "k")).isEmpty() and joined.count() == 500
+
+
+def test_two_lowest_limits_before_the_shuffle(spark, sf):
+    lowest = relational.two_lowest(fx.slices(spark, sf), "series", [F.col("z"), F.col("path")])
+    assert "WindowGroupLimit" in lowest._jdf.queryExecution().executedPlan().toString()

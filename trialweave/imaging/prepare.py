@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.imaging.lines import AXES, along_axis
+from trialweave.operators.relational import join_spread
 
 
 def voxel_mask(df: DataFrame, label: int = 1) -> DataFrame:
@@ -57,7 +58,7 @@ def intensity_normalize(
     value: Column = (F.col("value") - F.col("_mean")) / spread
     if outliers is not None:
         value = F.least(F.greatest(value, F.lit(-float(outliers))), F.lit(float(outliers)))
-    return df.join(stats, keys).withColumn("value", value * F.lit(float(scale))).drop("_mean", "_std")
+    return join_spread(df, stats, keys, AXES).withColumn("value", value * F.lit(float(scale))).drop("_mean", "_std")
 
 
 def discretize(roi: DataFrame, keys: list[str], width: float = 25) -> DataFrame:
@@ -68,7 +69,7 @@ def discretize(roi: DataFrame, keys: list[str], width: float = 25) -> DataFrame:
     )
     g = F.floor(F.col("value") / bins) - F.col("_first") + 1
     ng = F.col("_last") - F.col("_first") + 1
-    levels = roi.join(ends, keys).withColumns({"g": g.cast("int"), "ng": ng.cast("int")})
+    levels = join_spread(roi, ends, keys, AXES).withColumns({"g": g.cast("int"), "ng": ng.cast("int")})
     return levels.drop("_first", "_last")
 
 
@@ -94,7 +95,7 @@ def resample_volume(voxels: DataFrame, plan: DataFrame) -> DataFrame:
     eight-corner lookup.
     """
     sizes = [f"new_n_{a}" for a in AXES]
-    df = voxels.join(plan.select("image_name", *sizes), "image_name")
+    df = join_spread(voxels, plan.select("image_name", *sizes), ["image_name"], AXES)
     for axis in AXES:
 
         def stretched(line: dict[str, Column], axis: str = axis) -> dict[str, Column]:

@@ -78,7 +78,8 @@ def roc_auc(df: DataFrame, by: list[str], score: str = "prob", label: str = "lab
     the positives above it (twice) and beside it (once).
     """
     steps = cumulative_counts(df.dropna(subset=[score, label]), by, score, label)
-    twice = F.sum((F.col("neg") * (2 * F.col("cum_pos") - F.col("pos"))).cast("decimal(38,0)"))
+    beaten = (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(19,0)")
+    twice = F.sum(F.col("neg").cast("decimal(18,0)") * beaten)
     pairs = 2 * F.sum("pos").cast("decimal(19,0)") * F.sum("neg").cast("decimal(19,0)")
     area = F.try_divide(twice.cast("double"), pairs.cast("double"))
     return steps.groupBy(*by).agg(area.alias("auc"))

@@ -7,6 +7,7 @@ layout (training_layout), because tree ensembles depend on how the rows are part
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -32,15 +33,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trialweave.operators.encode import fill_text, preprocessor
 from trialweave.operators.evaluate import accuracy_at, log_loss, roc_auc
 
-# Grids of the reference models, as parameter name -> values. Fixed values.
+# Values of the five grids, parameter name -> values; None is "no limit". Fixed values.
 GRIDS = {
     "gbt": {"maxIter": [50, 100, 200], "maxDepth": [2, 3, 4, 5], "stepSize": [0.01, 0.05, 0.1]},
-    "gbt_sampled": {"stepSize": [0.001], "maxLeaves": [31, 63, 127], "maxDepth": [None, 3, 5], "subsamplingRate": [0.8, 1.0]},
+    "gbt_sampled": {"stepSize": [0.001], "leaves": [31, 63, 127], "maxDepth": [None, 3, 5], "subsamplingRate": [0.8, 1.0]},
     "gbt_target_encoded": {"maxIter": [30, 50, 100], "stepSize": [0.005, 0.01, 0.05], "maxDepth": [3, 6]},
     "forest": {"numTrees": [100, 200, 300], "maxDepth": [None, 10, 20, 30], "minInstancesPerNode": [1, 2, 4]},
     "svm": {"C": [0.1, 1, 10], "gamma": [1, 0.1, 0.01, 0.001], "kernel": ["rbf", "linear"]},
 }
 
+# The deepest tree that Spark ML grows.
+MAX_DEPTH = 30
+
+
+def with_depth(point: dict) -> dict:
+    """A grid point in Spark's terms: no depth limit is the deepest tree, a leaf cap the depth of as many leaves."""
+    changed = dict(point)
+    leaves = changed.pop("leaves", None)
+    caps = [MAX_DEPTH if changed.get("maxDepth") is None else changed["maxDepth"]]
+    if leaves is not None:
+        caps.append(math.ceil(math.log2(leaves)))
+    return changed | {"maxDepth": min(caps)}
+
 
 def training_layout(df: DataFrame, key: str, rows_per_partition: int = 100_000) -> DataFrame:
     """Rows hashed by key into as many partitions as their count asks for, and sorted, so that a seed repeats.
@@ -88,10 +102,6 @@ def sampled_boosting(
     return Pipeline(stages=stages)
 
 
-def depth_of_leaves(leaves: int) -> int:
-    return math.ceil(math.log2(leaves))
-
-
 def target_encoded_boosting(
     numeric: list[str], categorical: list[str], label: str = "label", smoothing: float = 1.0, **params
 ) -> Pipeline:
@@ -141,13 +151,15 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         return df.withColumn(self.getOrDefault("outputCol"), array_to_vector(projected))
 
 
-def svm_stages(rows: int, kernel: str, C: float, gamma: float, size: int = 256, iterations: int = 100) -> list:
+def svm_stages(
+    rows: int, kernel: str, C: float, gamma: float, size: int = 256, iterations: int = 100, prediction: str = "prediction"
+) -> list:
     """Linear SVM with the regularisation that a penalty C means for this many rows; rbf adds Fourier features."""
     mapped = [FourierFeatures(inputCol="features", outputCol="fourier", gamma=gamma, size=size)] if kernel == "rbf" else []
     svm = LinearSVC(
         featuresCol="fourier" if mapped else "features",
         rawPredictionCol="margin",
-        predictionCol="svm_class",
+        predictionCol=prediction,
         regParam=1.0 / (C * rows),
         maxIter=iterations,
     )
@@ -159,7 +171,7 @@ def svm_with_probability(
 ) -> PipelineModel:
     """SVM on all rows, and a logistic curve from margin to probability fitted on out-of-fold margins."""
     folds = [r[0] for r in encoded.select(fold_col).distinct().collect()]
-    stages = svm_stages(encoded.count(), kernel, C, gamma, iterations=iterations)
+    stages = svm_stages(encoded.count(), kernel, C, gamma, iterations=iterations, prediction="svm_class")
     margins = []
     for fold in folds:
         model = Pipeline(stages=stages).fit(encoded.filter(F.col(fold_col) != fold))
@@ -214,22 +226,22 @@ def evaluator(metric: str, label: str = "label") -> Evaluator:
 
 
 def tune(
-    encoder: Pipeline, estimator: Estimator, points: list[dict], df: DataFrame, metric: str, fold_col: str
+    encoder: Pipeline, build: Callable[[dict], Estimator], points: list[dict], df: DataFrame, metric: str, fold_col: str
 ) -> tuple[DataFrame, dict]:
     """All grid points on all folds: the table (point, params, fold, metric, best) and the best point.
 
-    The encoder is fitted once per fold, on the other folds, and its output is kept for all grid points.
-    The best mean metric wins, and the first of equal ones.
+    build makes the estimator of a point. The encoder is fitted once per fold, on the other folds, and its output
+    is kept for all grid points. The best mean metric wins, and the first of equal ones.
     """
-    maps = [{estimator.getParam(n): v for n, v in p.items() if v is not None} for p in points]
     judge = evaluator(metric)
     rows = []
     for fold in sorted(r[0] for r in df.select(fold_col).distinct().collect()):
         train, held_out = df.filter(F.col(fold_col) != fold), df.filter(F.col(fold_col) == fold)
         encode = encoder.fit(train)
         train, held_out = encode.transform(train).persist(), encode.transform(held_out).persist()
-        for index, model in estimator.fitMultiple(train, maps):
-            rows.append((index, str(points[index]), int(fold), float(judge.evaluate(model.transform(held_out)))))
+        for index, point in enumerate(points):
+            model = build(point).fit(train)
+            rows.append((index, str(point), int(fold), float(judge.evaluate(model.transform(held_out)))))
         train.unpersist()
         held_out.unpersist()
     means = [np.mean([m for i, _, _, m in rows if i == k]) for k in range(len(points))]
@@ -240,10 +252,9 @@ def tune(
     return table, points[best]
 
 
-def fit_best(encoder: Pipeline, estimator: Estimator, point: dict, train: DataFrame) -> PipelineModel:
+def fit_best(encoder: Pipeline, build: Callable[[dict], Estimator], point: dict, train: DataFrame) -> PipelineModel:
     """Refit of the best grid point on all training rows."""
-    chosen = estimator.copy({estimator.getParam(n): v for n, v in point.items() if v is not None})
-    return Pipeline(stages=[encoder, chosen]).fit(train)
+    return Pipeline(stages=[encoder, build(point)]).fit(train)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -17,23 +17,31 @@ def _buckets(df: DataFrame) -> int:
 
 
 def order_cuts(df: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
-    """Cut points over the order columns from a bounded sample (32 rows per bucket reach the driver)."""
+    """Cut points over the order columns from a bounded sample (32 rows per bucket reach the driver).
+
+    Nulls come first, as they do in the comparison of rows.
+    """
     buckets = buckets or _buckets(df)
-    sample = df.select(*order).dropna().orderBy(F.rand(17)).limit(32 * buckets).collect()
-    keys = sorted(tuple(row) for row in sample)
+    sample = df.select(*order).orderBy(F.rand(17)).limit(32 * buckets).collect()
+    keys = sorted((tuple(row) for row in sample), key=_nulls_first)
     step = max(1, len(keys) // buckets)
-    return sorted(set(keys[step::step]))
+    return sorted(set(keys[step::step]), key=_nulls_first)
+
+
+def _nulls_first(key: tuple) -> tuple:
+    return tuple((v is not None, v) for v in key)
 
 
-def _bucket(order: list[str], cuts: list[tuple]) -> Column:
+def _bucket(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
     """Number of cuts at or below the row, as a binary search written out in nested conditions."""
     key = F.struct(*order)
+    types = [df.schema[c].dataType for c in order]
 
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        cut = F.struct(*[F.lit(v).alias(n) for v, n in zip(cuts[middle], order)])
+        cut = F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(cuts[middle], types, order)])
         return F.when(key < cut, search(low, middle)).otherwise(search(middle + 1, high))
 
     return search(0, len(cuts))
@@ -69,7 +77,7 @@ def running_sums(
     The rows should be grouped by (group, order) before, so that each order value occurs once.
     """
     cuts = order_cuts(df, [order]) if cuts is None else cuts
-    spread = df.withColumn("_bucket", _bucket([order], cuts))
+    spread = df.withColumn("_bucket", _bucket(df, [order], cuts))
     joined = _with_offsets(spread, group, {n: F.col(c) for n, c in sums.items()})
     within = (
         Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,7 +92,7 @@ def positions(
 ) -> DataFrame:
     """0-based position of each row inside its group, ascending by the order columns."""
     cuts = order_cuts(df, order) if cuts is None else cuts
-    return _number(df.withColumn("_bucket", _bucket(order, cuts)), group, order, name)
+    return _number(df.withColumn("_bucket", _bucket(df, order, cuts)), group, order, name)
 
 
 def hash_positions(

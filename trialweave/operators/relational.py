@@ -38,6 +38,17 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], value: str, default
     return df.join(table.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, default))
 
 
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], salts: int = 16) -> DataFrame:
+    """Inner join of many rows per key with one row per key, where a key may hold most of the rows.
+
+    The rows of a key are split by a hash of other columns, and the one row of the table is sent to each
+    part; the result is no longer laid out by key, so later steps spread a hot key as well.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def group_count(df: DataFrame, keys: list[str], name: str = "count") -> DataFrame:
     """Rows per key combination; a null in any key drops the row."""
     return df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(name))

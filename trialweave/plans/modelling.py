@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,8 +68,8 @@ def gbt_regress(spark: SparkSession, sf: str) -> DataFrame:
 def gbt_classify_sampled(spark: SparkSession, sf: str) -> DataFrame:
     train, test = train_test(spark, sf)
     pipeline = models.sampled_boosting(
-        NUMERIC, CATEGORICAL, maxIter=10, maxDepth=models.depth_of_leaves(31), stepSize=0.1, subsamplingRate=0.8,
-        minInstancesPerNode=5, seed=42,
+        NUMERIC, CATEGORICAL, maxIter=10, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5, seed=42,
+        **models.with_depth({"leaves": 31}),
     )
     return models.score_table(pipeline.fit(train), test, KEEP)
 
@@ -157,7 +158,7 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     folded = _folded(train, 3)
     points = models.grid_points({"maxIter": [5, 10], "maxDepth": [2, 3]})
     table, _ = models.tune(
-        encode.preprocessor(NUMERIC, CATEGORICAL), models.boosted_classifier(), points, folded, "auc", "fold"
+        encode.preprocessor(NUMERIC, CATEGORICAL), lambda p: GBTClassifier(seed=42, **p), points, folded, "auc", "fold"
     )
     return table
 
