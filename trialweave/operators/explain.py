@@ -94,12 +94,11 @@ class Leaf:
     tests: list[list[tuple]]
 
 
-def tree_leaves(model: Model) -> tuple[list[Leaf], float]:
+def tree_leaves(spark: SparkSession, model: Model) -> tuple[list[Leaf], float]:
     """Leaves of all trees with weighted values, and the mean output over the training rows.
 
     The node table is the one the model writes when it is saved; its size is set by the model, not the data.
     """
-    spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "tree-model")
     model.write().save(path)
     boosted = "GBT" in type(model).__name__
@@ -175,7 +174,7 @@ def shap_values(model: Model, df: DataFrame, columns: list[str], key: str) -> Da
     The attributions of a row and the base add up to the margin of a boosted model, or to the probability
     of class 1 of a forest. Rows are worked on batch by batch where they lie, without a shuffle.
     """
-    leaves, base = tree_leaves(model)
+    leaves, base = tree_leaves(df.sparkSession, model)
     shared = df.sparkSession.sparkContext.broadcast(leaves)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

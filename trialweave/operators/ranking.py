@@ -17,12 +17,12 @@ def _buckets(df: DataFrame) -> int:
 
 
 def order_cuts(df: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
-    """Cut points over the order columns from a bounded sample (32 rows per bucket reach the driver).
+    """Cut points over the order columns from a bounded sample (8 rows per bucket reach the driver).
 
     Nulls come first, as they do in the comparison of rows.
     """
     buckets = buckets or _buckets(df)
-    sample = df.select(*order).orderBy(F.rand(17)).limit(32 * buckets).collect()
+    sample = df.select(*order).orderBy(F.rand(17)).limit(8 * buckets).collect()
     keys = sorted((tuple(row) for row in sample), key=_nulls_first)
     step = max(1, len(keys) // buckets)
     return sorted(set(keys[step::step]), key=_nulls_first)
