@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.llm import licences, shards, token_counts
+from trialweave.llm import licences, neighbours, pages, shards, token_counts
 from trialweave.llm.pieces import load_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,14 @@ def op7_license_scans(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), load_pieces(PIECES))
+
+
+@query()
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all others."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+@query()
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract_pages(table(spark, folder, "pages"))
