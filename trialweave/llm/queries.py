@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.llm import licences, neighbours, pages, shards, token_counts
+from trialweave.llm import licences, neighbours, ngram_join, pages, shards, token_counts
 from trialweave.llm.pieces import load_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,9 @@ def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_pages(table(spark, folder, "pages"))
+
+
+@query()
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Three-word shingles, linked at nine tenths."""
+    return ngram_join.join_documents(table(spark, folder, "documents"), n=3, share=(9, 10))
