@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.llm import licences, neighbours, ngram_join, pages, shards, token_counts
+from trialweave.llm import licences, line_dedup, neighbours, ngram_join, pages, shards, token_counts
 from trialweave.llm.pieces import load_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,9 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Three-word shingles, linked at nine tenths."""
     return ngram_join.join_documents(table(spark, folder, "documents"), n=3, share=(9, 10))
+
+
+@query()
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "text", "deleted_lines")
