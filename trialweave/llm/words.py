@@ -95,10 +95,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((total[ends] - total[starts]) * _power_run(_INVERSE, len(data))[starts])
 
 
-def hashed_words(column: pa.Array, separators: np.ndarray = WHITE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(column: pa.Array, separators: np.ndarray = WHITE, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, first word of each row) for slices of the column."""
     data, offsets = buffers(column)
-    for low, high in slices(offsets):
+    for low, high in slices(offsets, limit):
         part = offsets[low : high + 1]
         text = data[part[0] : part[-1]]
         starts, ends, firsts = spans(text, part - part[0], separators)
