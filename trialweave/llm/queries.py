@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.llm import decontaminate, licences, line_dedup, neighbours, ngram_join, pages, shards, token_counts
+from trialweave.llm import decontaminate, licences, line_dedup, neighbours, ngram_join, pages, quality, shards, token_counts
 from trialweave.llm.pieces import load_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,15 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that the quality classifier accepts; the source is the host and the language its path."""
+    site = F.col("source")
+    return quality.score(docs, labels, site, F.concat_ws("/", site, F.col("lang"))).where("accepted")
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    out = accepted_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "source", "lang", "p_good", "p_toxic", "host_posterior", "path_posterior", "posterior", "accepted")
