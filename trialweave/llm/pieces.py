@@ -31,7 +31,8 @@ def load_pieces(model_file: str) -> PieceTable:
     """The table of a SentencePiece model file (read on the driver; the path is the user's).
 
     A unigram model has log probabilities, which are taken as they are. A merge model has ranks instead; rank r becomes
-    ln(1 / ((r + 1) H)), H the sum of 1 / (r + 1): a word list in order of use with Zipf's frequencies. Nothing is trained. Control
+    ln(1 / ((r + 1) H)), H the sum of 1 / (r + 1): a word list in order of use with Zipf's frequencies, in steps of 1/256, so that sums are exact
+    and ties do not depend on the order of addition. Nothing is trained. Control
     pieces are left out, byte pieces spell characters that are no piece, at ten below the smallest score.
     """
     import sentencepiece
@@ -45,7 +46,7 @@ def load_pieces(model_file: str) -> PieceTable:
     if scores and min(scores.values()) < -1000 or any(s > 0 for s in scores.values()):
         order = sorted(plain, key=lambda i: (-scores[i], i))
         total = sum(1 / (r + 1) for r in range(len(order)))
-        scores = {i: -math.log((r + 1) * total) for r, i in enumerate(order)}
+        scores = {i: round(-256 * math.log((r + 1) * total)) / 256 for r, i in enumerate(order)}
     pieces = {model.id_to_piece(i): (i, scores[i]) for i in plain}
     crossing = [p for p in pieces if not PRE_TOKEN.fullmatch(p)]
     if crossing:

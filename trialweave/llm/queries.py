@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.llm import decontaminate, licences, line_dedup, neighbours, ngram_join, pages, quality, shards, token_counts
+from trialweave.llm import decontaminate, lattice, licences, line_dedup, neighbours, ngram_join, pages, quality, shards, token_counts
 from trialweave.llm.pieces import load_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     out = accepted_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.select("doc_id", "source", "lang", "p_good", "p_toxic", "host_posterior", "path_posterior", "posterior", "accepted")
+
+
+@query()
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.encode(table(spark, folder, "documents"), load_pieces(PIECES)).withColumn("n_pieces", F.size("ids"))
