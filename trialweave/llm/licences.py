@@ -49,7 +49,7 @@ SPELLINGS = [
     (r"\bcopyright owner", "copyright holder"),
 ]
 
-_COPYRIGHT = r"^[^\p{L}\p{N}©]*(?:copyright\b|\(c\)|©|all rights reserved).*$"
+COPYRIGHT = r"^[^\p{L}\p{N}©]*(?:copyright\b|\(c\)|©|all rights reserved).*$"
 
 
 def canonical(line: Column) -> Column:
@@ -57,7 +57,7 @@ def canonical(line: Column) -> Column:
 
     A copyright line starts with "Copyright", "(c)", the sign or "All rights reserved". Null stays null.
     """
-    out = F.regexp_replace(F.lower(line), _COPYRIGHT, "")
+    out = F.regexp_replace(F.lower(line), COPYRIGHT, "")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     for pattern, replacement in SPELLINGS:
         out = F.regexp_replace(out, pattern, replacement)

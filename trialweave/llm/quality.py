@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialweave.llm import words
+from trialweave.llm.names import fresh
 from trialweave.session import cut_lineage
 
 #: Labelled rows that the classifier is fitted on, at most (the smallest hashes of their keys), and telling words kept for each label.
@@ -101,7 +102,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFr
     known = known.where("good IS NOT NULL AND toxic IS NOT NULL")
     share = min(1.0, FIT_ROWS / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.join(F.broadcast(chosen), F.col(key) == F.col("_key")).select(F.col(text).cast("string").alias("text"), "good", "toxic")
+    rows = docs.select(F.col(key).alias("_doc"), F.col(text).cast("string").alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).select("text", "good", "toxic")
 
 
 def _telling(sample: DataFrame) -> tuple[int, ...]:
@@ -181,16 +183,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Classifier(features, *weights)
 
 
-def _scored(docs: DataFrame, text: str, classifier: Classifier) -> DataFrame:
-    """The rows with _good and _toxic: log odds, null for texts without a word."""
+def _scored(docs: DataFrame, text: str, classifier: Classifier, good_name: str, toxic_name: str) -> DataFrame:
+    """The rows with log odds in two more columns, null for texts without a word."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    out = T.StructType([*docs.schema.fields, T.StructField("_good", T.DoubleType()), T.StructField("_toxic", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(good_name, T.DoubleType()), T.StructField(toxic_name, T.DoubleType())])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             good, toxic, worded = shared.value.odds(part.column(part.schema.get_field_index(text)))
             extra = [pa.array(x, pa.float64(), mask=~worded) for x in (good, toxic)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "_good", "_toxic"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, good_name, toxic_name])
 
     return docs.mapInArrow(batches, out)
 
@@ -257,15 +259,18 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
     classifier = fit(docs, labels, key, text)
     new = ["p_good", "p_toxic", "host_posterior", "path_posterior", "posterior", "accepted"]
     kept = docs.select(*[c for c in docs.columns if c not in new])
-    placed = _scored(kept.withColumns({"_host": host, "_path": path}), text, classifier)
-    p = _accepts(F.col("_good"), F.col("_toxic"))
-    sites = site_posteriors(_scored(docs.select(F.col(text).alias("text"), host.alias("host"), path.alias("path")), "text", classifier).select("host", "path", p.alias("p")))
-    sites = sites.toDF("_site_host", "_site_path", "host_posterior", "path_posterior", "_base")
+    at_host, at_path, good, toxic, of_host, of_path, base = fresh(kept, "host", "path", "good", "toxic", "of_host", "of_path", "base")
+    placed = _scored(kept.withColumns({at_host: host, at_path: path}), text, classifier, good, toxic)
+    bare = docs.select(F.col(text).alias("text"), host.alias("host"), path.alias("path"))
+    judged = _scored(bare, "text", classifier, "good", "toxic").select("host", "path", _accepts(F.col("good"), F.col("toxic")).alias("p"))
+    sites = site_posteriors(judged).toDF(of_host, of_path, "host_posterior", "path_posterior", base)
     few = sites.count() <= BROADCAST_SITES
-    joined = placed.join(F.broadcast(sites) if few else sites, F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path")))
-    odds = F.coalesce(_logit(p), _logit(F.col("_base"))) + _logit(F.col("path_posterior")) - _logit(F.col("_base"))
+    same_site = F.col(at_host).eqNullSafe(F.col(of_host)) & F.col(at_path).eqNullSafe(F.col(of_path))
+    joined = placed.join(F.broadcast(sites) if few else sites, same_site)
+    own = _accepts(F.col(good), F.col(toxic))
+    odds = F.coalesce(_logit(own), _logit(F.col(base))) + _logit(F.col("path_posterior")) - _logit(F.col(base))
     out = joined.withColumns({
-        "p_good": 1 / (1 + F.exp(-F.col("_good"))), "p_toxic": 1 / (1 + F.exp(-F.col("_toxic"))), "posterior": 1 / (1 + F.exp(-odds)),
+        "p_good": 1 / (1 + F.exp(-F.col(good))), "p_toxic": 1 / (1 + F.exp(-F.col(toxic))), "posterior": 1 / (1 + F.exp(-odds)),
     })
     out = out.withColumn("accepted", (F.col("posterior") >= 0.5) & F.coalesce(F.col("p_toxic") < 0.5, F.lit(True)))
     return out.select(*kept.columns, *new)

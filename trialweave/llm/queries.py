@@ -30,14 +30,52 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query()
+_CRC = """list_reduce(
+    list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: xor(crc_table[1 + (xor(c, b) & 255)], c >> 8))"""
+_SHARD = "list_max(list_transform(range({n}), lambda j: {{'v': -1.0 / ln((('0x' || substr(md5(doc_id || ':' || j), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496), 's': j}}))['s']::INTEGER"
+
+
+@query(f"""
+    WITH bits AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_table),
+    digest AS (
+        SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, xor({_CRC}, 4294967295) AS text_crc32,
+            {_SHARD.format(n=16)} AS shard, {_SHARD.format(n=17)} AS grown_shard
+        FROM documents, bits)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+        row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, size, text_crc32, grown_shard)), 1, 3), doc_id) - 1 AS slot
+    FROM digest""")
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Law `key`: 16 shards of equal weight, and a seventeenth."""
     out = shards.shard_documents(table(spark, folder, "documents"), [1.0] * 16, [1.0] * 17)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-@query()
+def _canonical_sql(line: str) -> str:
+    out = f"regexp_replace(lower({line}), '{licences.COPYRIGHT}', '')"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    for pattern, replacement in licences.SPELLINGS:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
+    return f"trim({out})"
+
+
+_KNOWN_SQL = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in licences.KNOWN)
+_FORMS_SQL = f"list_transform(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: {_canonical_sql('x')})"
+_WHOLE_SQL = "array_to_string(list_filter(forms, lambda x: x <> ''), ' ')"
+
+
+@query(f"""
+    WITH known AS (
+        SELECT sha256({_WHOLE_SQL}) AS digest, min(license_id) AS license_id
+        FROM (SELECT license_id, {_FORMS_SQL} AS forms FROM (VALUES {_KNOWN_SQL}) AS t(license_id, text)) GROUP BY ALL),
+    forms AS (SELECT doc_id, {_FORMS_SQL} AS forms FROM documents WHERE text IS NOT NULL),
+    units AS (
+        SELECT doc_id, 'document' AS scope, 0 AS line, {_WHOLE_SQL} AS form FROM forms
+        UNION ALL SELECT doc_id, 'line', generate_subscripts(forms, 1)::INTEGER, unnest(forms) FROM forms)
+    SELECT doc_id, scope, line, license_id, digest
+    FROM (SELECT *, sha256(form) AS digest FROM units WHERE form <> '') JOIN known USING (digest)""")
 def op7_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"), licences.known_licences(spark))
 
@@ -58,7 +96,21 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_pages(table(spark, folder, "pages"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE split AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    sets AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM split),
+    sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+    shingles AS (SELECT doc_id, n, unnest(s) AS shingle FROM sized),
+    links AS (
+        SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND b.n * 100 >= a.n * 90 AND a.n * 100 >= b.n * 90
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+    SELECT doc_id, n AS n_shingles, min(y) AS component_id FROM sized JOIN reach ON doc_id = x GROUP BY doc_id, n""")
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Three-word shingles, linked at nine tenths."""
     return ngram_join.join_documents(table(spark, folder, "documents"), n=3, share=(9, 10))
