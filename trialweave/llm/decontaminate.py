@@ -157,7 +157,17 @@ class Benchmark:
             if distance <= allowed:
                 _, back = edit_distance(item[::-1], region[:end][::-1], anchored=True)
                 found.add((row, i, low + end - back - begin, back, distance))
-        return found
+        return _apart(found)
+
+
+def _apart(found: set[tuple[int, int, int, int, int]]) -> set[tuple[int, int, int, int, int]]:
+    """Of passages of one item that overlap, the one with the least distance (then the first)."""
+    kept: dict[tuple[int, int], list[tuple[int, int, int, int, int]]] = {}
+    for hit in sorted(found, key=lambda h: (h[4], h)):
+        others = kept.setdefault(hit[:2], [])
+        if all(hit[2] >= o[2] + o[3] or o[2] >= hit[2] + hit[3] for o in others):
+            others.append(hit)
+    return {hit for hits in kept.values() for hit in hits}
 
 
 def _blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, rule: Rule) -> Iterator:

@@ -203,7 +203,8 @@ def _accepts(good: Column, toxic: Column) -> Column:
 
 
 def _logit(p: Column) -> Column:
-    return F.log(F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)) / (1 - F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))))
+    inside = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))  # both skip nulls
+    return F.when(p.isNotNull(), F.log(inside / (1 - inside)))
 
 
 def _strength(groups: DataFrame, mean: str, prior: Column) -> float:
