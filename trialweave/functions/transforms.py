@@ -51,7 +51,10 @@ def linspace(low: Column, high: Column, n: int) -> Column:
 
 
 def hounsfield(value: Column, slope: Column, intercept: Column) -> Column:
-    """int16 voxels: out-of-scan values to 0, then the slope (truncated), then the intercept."""
-    inside = F.when(value < -1000, F.lit(0)).otherwise(value.cast("int"))
-    scaled = F.when(slope != 1, (slope * inside.cast("double")).cast("int")).otherwise(inside)
-    return (scaled + intercept.cast("int")).cast("smallint")
+    """int16 voxels: out-of-scan values to 0, then the slope (truncated), then the intercept.
+
+    A value beyond int16 becomes null and never stops the job; quarantine reports an image with such a voxel as "missing values".
+    """
+    inside = F.when(value < -1000, F.lit(0)).otherwise(value.try_cast("int"))
+    scaled = F.when(slope != 1, (slope * inside.cast("double")).try_cast("int")).otherwise(inside)
+    return F.try_add(scaled, intercept.try_cast("int")).try_cast("smallint")

@@ -27,13 +27,11 @@ def along_axis(
     inputs: list[str],
     outputs: Callable[[dict[str, Column]], dict[str, Column]],
     per_image: list[str] | None = None,
-    prepared: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
-    """Rewrite every line along one axis: outputs maps the input arrays to new arrays.
+    """Rewrite every line along one axis on a new grid: outputs maps the input arrays to new arrays.
 
-    The voxels of a line are taken in coordinate order and numbered from 0 in the result.
-    per_image names columns that are constant per image and stay available to outputs; prepared changes an
-    input array before outputs sees it.
+    The voxels of a line are taken in coordinate order and numbered from 0 in the result, so lines must have no gaps
+    (quarantine reports them). per_image names columns that are constant per image and stay available to outputs.
     """
     others = [a for a in AXES if a != axis]
     constant = per_image or []
@@ -44,8 +42,6 @@ def along_axis(
     arrays = lines.select(
         *keys, *others, *constant, *[_field("line", c).alias(c) for c in inputs]
     )
-    for name, change in (prepared or {}).items():
-        arrays = arrays.withColumn(name, change(F.col(name)))
     results = outputs({c: F.col(c) for c in inputs})
     named = arrays.select(*keys, *others, *constant, *[array.alias(f"_{n}") for n, array in results.items()])
     exploded = named.select(

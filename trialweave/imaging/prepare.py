@@ -26,8 +26,11 @@ def geometry_check(images: DataFrame, masks: DataFrame) -> DataFrame:
     return joined.withColumn("geometry_ok", same)
 
 
-def image_faults(voxels: DataFrame, masks: DataFrame, label: int = 1) -> DataFrame:
-    """One row per image: (image_name, reason), with a null reason for a usable one."""
+def image_faults(voxels: DataFrame, masks: DataFrame, label: int = 1, plan: DataFrame | None = None) -> DataFrame:
+    """One row per image: (image_name, reason), with a null reason for a usable one.
+
+    With a resampling plan, an image that has no row in it, or an extent there that is null or below 1, is reported as "no grid".
+    """
     geometry = geometry_check(voxels, masks)
     content = voxels.groupBy("image_name").agg(
         F.count_if(F.col("mask") == label).alias("n_region"),
@@ -38,13 +41,24 @@ def image_faults(voxels: DataFrame, masks: DataFrame, label: int = 1) -> DataFra
         .when(F.col("n_region") == 0, "empty mask")
         .when(F.col("n_region") == 1, "single voxel")
         .when(F.col("n_null") > 0, "missing values")
+        .when(F.col("n_voxels_image") != F.col("n_z_image") * F.col("n_y_image") * F.col("n_x_image"), "gap")
     )
-    return geometry.join(content, "image_name", "left").select("image_name", reason.alias("reason"))
-
-
-def quarantine(voxels: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Voxels of usable images, and the other images with the reason; a bad image never stops the job."""
-    faults = image_faults(voxels, masks)
+    joined = geometry.join(content, "image_name", "left")
+    if plan is not None:
+        fits = F.lit(True)
+        for a in AXES:
+            fits = fits & F.coalesce(F.col(f"new_n_{a}") >= 1, F.lit(False))
+        grids = plan.groupBy("image_name").agg(F.bool_and(fits).alias("_fits"))
+        joined = joined.join(grids, "image_name", "left")
+        reason = F.coalesce(reason, F.when(~F.coalesce("_fits", F.lit(False)), "no grid"))
+    return joined.select("image_name", reason.alias("reason"))
+
+
+def quarantine(voxels: DataFrame, masks: DataFrame, plan: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Voxels of usable images, and the other images with the reason; a bad image never stops the job.
+
+    An image that is to be resampled needs a row with valid extents in the plan."""
+    faults = image_faults(voxels, masks, plan=plan)
     bad = faults.filter(F.col("reason").isNotNull())
     return voxels.join(bad.select("image_name"), "image_name", "left_anti"), bad
 
@@ -91,6 +105,8 @@ def _source(i: Column, n_in: Column, n_out: Column) -> Column:
 def resample_volume(voxels: DataFrame, plan: DataFrame) -> DataFrame:
     """Image by linear, mask by nearest interpolation on the grid of the plan, one axis after the other.
 
+    Only images with valid extents in the plan have a grid; quarantine with the plan reports the others.
+
     Linear interpolation in space is the product of the three axes, so three passes over lines replace the
     eight-corner lookup.
     """

@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from trialweave.operators.ranking import positions
+from trialweave.session import cut_lineage
 
 
 class CategoryCodes:
-    """Sorted distinct values -> 0..k-1, null and unseen -> -1. The vocabulary stays a distributed table."""
+    """Sorted distinct values -> 0..k-1, null and unseen -> -1. The vocabulary stays a distributed table, written when it is fitted."""
 
     def __init__(self, columns: list[str]):
         self.columns = columns
 
     def fit(self, df: DataFrame) -> CategoryCodes:
         self.tables = {
-            c: positions(df.select(c).dropna().distinct(), [], [c], "_code") for c in self.columns
+            c: cut_lineage(positions(cut_lineage(df.select(c).dropna().distinct()), [], [c], "_code")) for c in self.columns
         }
         return self
 
@@ -88,6 +89,13 @@ class PopulationScalerModel(Model, _ScalerParams, DefaultParamsReadable, Default
         return scaler.transform(df)
 
 
+def mean_filled(columns: list[str]) -> list:
+    """Stages that add `<column>_value`: the column as a double, nulls replaced by the mean of the rows they are fitted on."""
+    doubles = ", ".join(f"cast(`{c}` as double) as `{c}_value`" for c in columns)
+    values = [f"{c}_value" for c in columns]
+    return [SQLTransformer(statement=f"SELECT *, {doubles} FROM __THIS__"), Imputer(strategy="mean", inputCols=values, outputCols=values)]
+
+
 def fill_text(columns: list[str], value: str = "Missing") -> SQLTransformer:
     """Stage that gives null its own category; other columns pass through."""
     filled = ", ".join(f"coalesce(cast(`{c}` as string), '{value}') as `{c}_text`" for c in columns)
@@ -117,12 +125,8 @@ def preprocessor(numeric: list[str], categorical: list[str], scale: bool = False
 
     Fit on training rows only; all statistics and categories come from them.
     """
-    doubles = ", ".join(f"cast(`{c}` as double) as `{c}_value`" for c in numeric)
     values = [f"{c}_value" for c in numeric]
-    stages: list = [
-        SQLTransformer(statement=f"SELECT *, {doubles} FROM __THIS__"),
-        Imputer(strategy="mean", inputCols=values, outputCols=values),
-    ]
+    stages: list = mean_filled(numeric)
     if scale:
         stages.append(PopulationScaler(inputCols=values))
     if categorical:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.operators.ranking import running_sums
+from trialweave.session import cut_lineage
 
 
 def class_counts(df: DataFrame, by: list[str], label: str = "label") -> DataFrame:
@@ -57,8 +61,8 @@ def threshold_sweep(
 
 
 def cumulative_counts(df: DataFrame, by: list[str], score: str = "prob", label: str = "label") -> DataFrame:
-    """Per distinct score, the positives and negatives at or above it; scores fall, counts rise."""
-    grouped = df.groupBy(*by, score).agg(
+    """Per distinct score, the positives and negatives at or above it; scores fall, counts rise. Rows without a score or label do not count."""
+    grouped = df.dropna(subset=[score, label]).groupBy(*by, score).agg(
         F.sum(F.col(label)).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg")
     )
     falling = grouped.withColumn("_falling", -F.col(score))
@@ -77,7 +81,7 @@ def roc_auc(df: DataFrame, by: list[str], score: str = "prob", label: str = "lab
     Exact in integers up to the last division: every score group adds the pairs of its negatives with
     the positives above it (twice) and beside it (once).
     """
-    steps = cumulative_counts(df.dropna(subset=[score, label]), by, score, label)
+    steps = cumulative_counts(df, by, score, label)
     beaten = (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(19,0)")
     twice = F.sum(F.col("neg").cast("decimal(18,0)") * beaten)
     pairs = 2 * F.sum("pos").cast("decimal(19,0)") * F.sum("neg").cast("decimal(19,0)")
@@ -86,12 +90,17 @@ def roc_auc(df: DataFrame, by: list[str], score: str = "prob", label: str = "lab
 
 
 def roc_curve(df: DataFrame, by: list[str], score: str = "prob", label: str = "label") -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score plus the origin, whose threshold is null."""
+    """(threshold, fpr, tpr) per distinct score plus the origin, whose threshold is null; as in roc_auc, rows without a score or label do not count.
+
+    The class totals are one row per group; they are written, so that their size is known and many scores of few groups are not shuffled.
+    """
     steps = cumulative_counts(df, by, score, label)
-    totals = _class_totals(df, by, label)
-    joined = steps.join(totals, by) if by else steps.withColumns(
-        dict(zip(("total_pos", "total_neg"), map(F.lit, totals.first())))
-    )
+    totals = cut_lineage(_class_totals(df.dropna(subset=[score, label]), by, label))
+    if by:
+        of = totals.select(*[F.col(g).alias(f"_of_{g}") for g in by], "total_pos", "total_neg")
+        joined = steps.join(of, reduce(and_, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in by]))
+    else:
+        joined = steps.withColumns(dict(zip(("total_pos", "total_neg"), map(F.lit, totals.first()))))
     points = joined.select(
         *by,
         F.col(score).alias("threshold"),

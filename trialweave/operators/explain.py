@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.operators.models import forest_classifier, training_layout
 from trialweave.operators.ranking import hash_positions
-from trialweave.operators.relational import top_k
+from trialweave.operators.relational import above_nth_largest, top_k
 from trialweave.session import cut_lineage, scratch_path
 
 
@@ -27,13 +27,21 @@ def importance_table(spark: SparkSession, model: Model, columns: list[str]) -> D
 def rank_features(
     df: DataFrame, columns: list[str], label: str, key: str, trees: int = 100, seed: int = 21, depth: int = 5
 ) -> DataFrame:
-    """(feature, importance) of a forest on the given rows; pass training cohorts only."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
+    """(feature, importance) of a forest on the given rows; pass training cohorts only. Nulls count as the mean of their column, or 0 without one."""
+    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in columns]).first()
+    filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(means[c] or 0.0)) for c in columns}
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df.withColumns(filled))
     forest = forest_classifier(trees, seed, labelCol=label, maxDepth=depth)
     model = forest.fit(training_layout(vectors.select(key, label, "features"), key))
     return importance_table(df.sparkSession, model, columns)
 
 
+def select_features_by(df: DataFrame, importances: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """The table with the columns in `keep` and the features strictly above the n-th largest importance, in the table's order."""
+    chosen = {r.feature for r in above_nth_largest(importances, "importance", n).select("feature").collect()}
+    return df.select(*keep, *[c for c in df.columns if c in chosen and c not in keep])
+
+
 def shadow_columns(base: DataFrame, df: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
     """(key, shadow_<column>...): every column shuffled on its own.
 
@@ -63,11 +71,13 @@ def shadow_select(
 ) -> DataFrame:
     """(feature, hits, ranking): a hit is an importance above the best shuffled copy of any column.
 
-    ranking 1 is kept, 2 undecided, 3 rejected, by binomial tests corrected for the number of columns.
+    ranking 1 is kept and 2 undecided, by binomial tests corrected for the number of columns; rejected columns follow as 3, 4, 5, ...
+    by falling hits and mean importance (equal ones share a rank), so a limit on the ranking takes the best of them.
     """
     rows = cut_lineage(df.select(key, label, *[F.col(c).cast("double").alias(c) for c in columns]))
     base = cut_lineage(hash_positions(rows.select(key), [], key, seed, "position"))
     hits = dict.fromkeys(columns, 0)
+    total = dict.fromkeys(columns, 0.0)
     names = columns + [f"shadow_{c}" for c in columns]
     for r in range(rounds):
         both = rows.join(shadow_columns(base, rows, columns, key, seed + 1 + r), key)
@@ -76,11 +86,17 @@ def shadow_select(
         bar = max(importance[f"shadow_{c}"] for c in columns)
         for c in columns:
             hits[c] += importance[c] > bar
+            total[c] += importance[c]
     limit = alpha / len(columns)
+    rejected = {c for c in columns if _tail(rounds - hits[c], rounds) < limit}
+    order = sorted({(-hits[c], -total[c]) for c in rejected})
     table = []
     for c in columns:
-        kept, rejected = _tail(hits[c], rounds) < limit, _tail(rounds - hits[c], rounds) < limit
-        table.append((c, hits[c], 1 if kept else 3 if rejected else 2))
+        if c in rejected:
+            ranking = 3 + order.index((-hits[c], -total[c]))
+        else:
+            ranking = 1 if _tail(hits[c], rounds) < limit else 2
+        table.append((c, hits[c], ranking))
     return df.sparkSession.createDataFrame(table, "feature string, hits int, ranking int")
 
 

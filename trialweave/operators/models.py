@@ -7,7 +7,7 @@ layout (training_layout), because tree ensembles depend on how the rows are part
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,14 +23,14 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler, VectorIndexer, VectorSlicer
+from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.operators.encode import fill_text, preprocessor
+from trialweave.operators.encode import fill_text, mean_filled, preprocessor
 from trialweave.operators.evaluate import accuracy_at, log_loss, roc_auc
 
 # Values of the five grids, parameter name -> values; None is "no limit". Fixed values.
@@ -83,21 +83,34 @@ def boosted_regressor(
     return GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, labelCol=label, **params)
 
 
+class WideEnough(Estimator):
+    """A tree estimator whose maxBins is raised to the most categories of any feature of the rows it is fitted on."""
+
+    def __init__(self, trees: Estimator):
+        super().__init__()
+        self.trees = trees
+
+    def _fit(self, df: DataFrame) -> Transformer:
+        nominal = df.schema[self.trees.getFeaturesCol()].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+        widest = max([self.trees.getMaxBins(), *(a.get("num_vals", len(a.get("vals", []))) for a in nominal)])
+        return self.trees.copy({self.trees.maxBins: widest}).fit(df)
+
+
 def sampled_boosting(
-    numeric: list[str], categorical: list[str], max_categories: int = 32, **params
+    numeric: list[str], categorical: list[str], **params
 ) -> Pipeline:
-    """Boosted trees on row samples; categories enter as codes that the trees split as categories.
+    """Boosted trees on row samples; categories enter as codes that the trees split as categories, numbers stay numbers.
 
-    Trees grow by depth; a leaf cap is the depth of as many leaves.
+    Trees grow by depth; a leaf cap is the depth of as many leaves. Null numbers count as the mean of the training rows.
     """
     texts = [f"{c}_text" for c in categorical]
     codes = [f"{c}_code" for c in texts]
     stages = [
+        *mean_filled(numeric),
         fill_text(categorical),
         StringIndexer(inputCols=texts, outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        VectorAssembler(inputCols=[*numeric, *codes], outputCol="_assembled", handleInvalid="keep"),
-        VectorIndexer(inputCol="_assembled", outputCol="features", maxCategories=max_categories, handleInvalid="keep"),
-        GBTClassifier(**params),
+        VectorAssembler(inputCols=[*[f"{c}_value" for c in numeric], *codes], outputCol="features"),
+        WideEnough(GBTClassifier(**params)),
     ]
     return Pipeline(stages=stages)
 
@@ -105,17 +118,18 @@ def sampled_boosting(
 def target_encoded_boosting(
     numeric: list[str], categorical: list[str], label: str = "label", smoothing: float = 1.0, **params
 ) -> Pipeline:
-    """Boosted trees on smoothed label means per category, learned by the pipeline from its training rows."""
+    """Boosted trees on smoothed label means per category, learned by the pipeline from its training rows, as are the means of null numbers."""
     texts = [f"{c}_text" for c in categorical]
     codes = [f"{c}_code" for c in texts]
     means = [f"{c}_mean" for c in categorical]
     stages = [
+        *mean_filled(numeric),
         fill_text(categorical),
         StringIndexer(inputCols=texts, outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"),
         TargetEncoder(
             inputCols=codes, outputCols=means, labelCol=label, targetType="binary", smoothing=smoothing, handleInvalid="keep"
         ),
-        VectorAssembler(inputCols=[*numeric, *means], outputCol="features"),
+        VectorAssembler(inputCols=[*[f"{c}_value" for c in numeric], *means], outputCol="features"),
         GBTClassifier(labelCol=label, **params),
     ]
     return Pipeline(stages=stages)
@@ -140,12 +154,15 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         size, gamma, seed = (self.getOrDefault(p) for p in ("size", "gamma", "seed"))
 
         @F.pandas_udf("array<double>")
-        def project(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy())
-            random = np.random.default_rng(seed)
-            directions = random.normal(0, math.sqrt(2 * gamma), (x.shape[1], size))
-            shifts = random.uniform(0, 2 * math.pi, size)
-            return pd.Series(list(math.sqrt(2 / size) * np.cos(x @ directions + shifts)))
+        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            directions = shifts = None
+            for vectors in batches:
+                x = np.stack(vectors.to_numpy())
+                if directions is None:
+                    random = np.random.default_rng(seed)
+                    directions = random.normal(0, math.sqrt(2 * gamma), (x.shape[1], size))
+                    shifts = random.uniform(0, 2 * math.pi, size)
+                yield pd.Series(list(math.sqrt(2 / size) * np.cos(x @ directions + shifts)))
 
         projected = project(vector_to_array(self.getOrDefault("inputCol")))
         return df.withColumn(self.getOrDefault("outputCol"), array_to_vector(projected))
@@ -169,12 +186,15 @@ def svm_stages(
 def svm_with_probability(
     encoded: DataFrame, fold_col: str, kernel: str = "rbf", C: float = 1.0, gamma: float = 0.1, iterations: int = 100
 ) -> PipelineModel:
-    """SVM on all rows, and a logistic curve from margin to probability fitted on out-of-fold margins."""
+    """SVM on all rows, and a logistic curve from margin to probability fitted on out-of-fold margins; C means the same in every fit."""
     folds = [r[0] for r in encoded.select(fold_col).distinct().collect()]
-    stages = svm_stages(encoded.count(), kernel, C, gamma, iterations=iterations, prediction="svm_class")
+    rows = encoded.count()
+    stages = svm_stages(rows, kernel, C, gamma, iterations=iterations, prediction="svm_class")
     margins = []
     for fold in folds:
-        model = Pipeline(stages=stages).fit(encoded.filter(F.col(fold_col) != fold))
+        others = encoded.filter(F.col(fold_col) != fold)
+        of_fold = svm_stages(others.count(), kernel, C, gamma, iterations=iterations, prediction="svm_class")
+        model = Pipeline(stages=of_fold).fit(others)
         margins.append(model.transform(encoded.filter(F.col(fold_col) == fold)).select("label", "margin"))
     signed = VectorSlicer(inputCol="margin", outputCol="signed_margin", indices=[1])
     curve = LogisticRegression(featuresCol="signed_margin")
@@ -190,7 +210,7 @@ def network(width: int, iterations: int = 40, seed: int = 42, **params) -> Multi
 def with_class_weight(df: DataFrame, label: str = "label", name: str = "class_weight") -> DataFrame:
     """Positives weigh negatives / positives, negatives weigh 1."""
     counts = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
-    ratio = counts[0] / counts[1]
+    ratio = counts[0] / counts[1] if counts[1] else 1.0
     return df.withColumn(name, F.when(F.col(label) == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
 
 

@@ -48,8 +48,8 @@ def _bucket(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
 
 
 def hash_key(column: str, seed: int) -> Column:
-    """Repeatable shuffle order: md5 of seed and id, the same on every engine and every layout."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
+    """Repeatable shuffle order: md5 of seed and id, the same on every engine and every layout. A null id hashes like no text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("\x00"))))
 
 
 def _with_offsets(df: DataFrame, group: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -63,7 +63,7 @@ def _with_offsets(df: DataFrame, group: list[str], sums: dict[str, Column]) -> D
         F.col("_bucket").alias("_bucket_of"),
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums],
     )
-    condition = df["_bucket"] == offsets["_bucket_of"]
+    condition = df["_bucket"].eqNullSafe(offsets["_bucket_of"])
     for g in group:
         condition = condition & df[g].eqNullSafe(offsets[f"_group_{g}"])
     return df.join(offsets, condition).drop("_bucket_of", *[f"_group_{g}" for g in group])
@@ -115,12 +115,13 @@ def smallest_hashes(df: DataFrame, key: str, seed: int, n: int, digits: int = HA
     """The hash of the n-th row in hash order, found digit by digit from counts.
 
     Each pass counts the rows per next few hex digits, so at most 16**digits rows reach the driver and
-    the table itself is never sorted. Rows at or below the returned hash are the first n, for unique keys.
+    the table itself is never sorted. Rows at or below the returned hash are the first n, for unique keys; rows
+    that share a key (null counts as one) lie on the same side of the cut.
     """
     if n <= 0:
         return None
     hashed = df.select(hash_key(key, seed).alias("h"))
-    prefix = ""
+    prefix, last = "", 0
     while len(prefix) < 32:
         counts = (
             hashed.filter(F.col("h").startswith(prefix))

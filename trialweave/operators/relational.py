@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType, StructType
 
+from trialweave.session import cut_lineage
+
 # Columns of a modelling table that are never features. Fixed values.
 NON_FEATURES = ["imageName", "Group", "set", "ORR", "y"]
 
@@ -34,8 +36,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], value: str, default: Column) -> DataFrame:
-    """Attach the value of a key table that holds each key once; rows without an entry get the default."""
-    return df.join(table.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, default))
+    """Attach the value of a key table that holds each key once; rows without an entry get the default.
+
+    The key table is written first: its size is then known when the join is planned, so a small one is broadcast and the rows stay
+    where they are, and a large one is joined by a shuffle.
+    """
+    return df.join(cut_lineage(table.select(*keys, value)), keys, "left").withColumn(value, F.coalesce(value, default))
 
 
 def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], salts: int = 16) -> DataFrame:
