@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.operators.models import forest_classifier, training_layout
+from trialweave.operators.models import MAX_DEPTH, forest_classifier, training_layout
 from trialweave.operators.ranking import hash_positions
 from trialweave.operators.relational import above_nth_largest, top_k
 from trialweave.session import cut_lineage, scratch_path
@@ -25,7 +25,7 @@ def importance_table(spark: SparkSession, model: Model, columns: list[str]) -> D
 
 
 def rank_features(
-    df: DataFrame, columns: list[str], label: str, key: str, trees: int = 100, seed: int = 21, depth: int = 5
+    df: DataFrame, columns: list[str], label: str, key: str, trees: int = 100, seed: int = 21, depth: int = MAX_DEPTH
 ) -> DataFrame:
     """(feature, importance) of a forest on the given rows; pass training cohorts only. Nulls count as the mean of their column, or 0 without one."""
     means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in columns]).first()

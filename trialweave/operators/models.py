@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -66,11 +67,12 @@ def training_layout(df: DataFrame, key: str, rows_per_partition: int = 100_000)
 
 
 def forest_classifier(trees: int = 100, seed: int = 42, **params) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, impurity="gini", seed=seed, **params)
+    """Without a depth the trees have no limit but the library's."""
+    return RandomForestClassifier(numTrees=trees, impurity="gini", seed=seed, **({"maxDepth": MAX_DEPTH} | params))
 
 
 def forest_regressor(trees: int = 100, seed: int = 42, label: str = "y", **params) -> RandomForestRegressor:
-    return RandomForestRegressor(numTrees=trees, seed=seed, labelCol=label, **params)
+    return RandomForestRegressor(numTrees=trees, seed=seed, labelCol=label, **({"maxDepth": MAX_DEPTH} | params))
 
 
 def boosted_classifier(rounds: int = 100, depth: int = 6, rate: float = 0.3, seed: int = 42, **params) -> GBTClassifier:
@@ -222,14 +224,23 @@ def score_table(model: Transformer, df: DataFrame, keep: list[str]) -> DataFrame
     )
 
 
-def oof_predict(estimator: Estimator, df: DataFrame, fold_col: str, keep: list[str]) -> DataFrame:
-    """Class and probability of every row from the model that was fitted without its fold."""
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    parts = []
-    for fold in folds:
+def in_parallel(work: Callable, items: list, parallelism: int) -> list:
+    """Results of work on each item, in order; up to `parallelism` Spark jobs run side by side."""
+    if parallelism <= 1 or len(items) <= 1:
+        return [work(x) for x in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items, chunksize=1)
+
+
+def oof_predict(estimator: Estimator, df: DataFrame, fold_col: str, keep: list[str], parallelism: int = 4) -> DataFrame:
+    """Class and probability of every row from the model that was fitted without its fold; folds are fitted side by side."""
+
+    def scored(fold) -> DataFrame:
         model = estimator.fit(df.filter(F.col(fold_col) != fold))
-        parts.append(score_table(model, df.filter(F.col(fold_col) == fold), [*keep, fold_col]))
-    return reduce(DataFrame.unionByName, parts)
+        return score_table(model, df.filter(F.col(fold_col) == fold), [*keep, fold_col])
+
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    return reduce(DataFrame.unionByName, in_parallel(scored, folds, parallelism))
 
 
 def grid_points(grid: dict[str, list]) -> list[dict]:
@@ -246,12 +257,13 @@ def evaluator(metric: str, label: str = "label") -> Evaluator:
 
 
 def tune(
-    encoder: Pipeline, build: Callable[[dict], Estimator], points: list[dict], df: DataFrame, metric: str, fold_col: str
+    encoder: Pipeline, build: Callable[[dict], Estimator], points: list[dict], df: DataFrame, metric: str, fold_col: str,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, dict]:
     """All grid points on all folds: the table (point, params, fold, metric, best) and the best point.
 
     build makes the estimator of a point. The encoder is fitted once per fold, on the other folds, and its output
-    is kept for all grid points. The best mean metric wins, and the first of equal ones.
+    is kept for all grid points, which are fitted side by side. The best mean metric wins, and the first of equal ones.
     """
     judge = evaluator(metric)
     rows = []
@@ -259,9 +271,13 @@ def tune(
         train, held_out = df.filter(F.col(fold_col) != fold), df.filter(F.col(fold_col) == fold)
         encode = encoder.fit(train)
         train, held_out = encode.transform(train).persist(), encode.transform(held_out).persist()
-        for index, point in enumerate(points):
+
+        def judged(numbered: tuple[int, dict], train: DataFrame = train, held_out: DataFrame = held_out, fold=fold) -> tuple:
+            index, point = numbered
             model = build(point).fit(train)
-            rows.append((index, str(point), int(fold), float(judge.evaluate(model.transform(held_out)))))
+            return index, str(point), int(fold), float(judge.evaluate(model.transform(held_out)))
+
+        rows += in_parallel(judged, list(enumerate(points)), parallelism)
         train.unpersist()
         held_out.unpersist()
     means = [np.mean([m for i, _, _, m in rows if i == k]) for k in range(len(points))]

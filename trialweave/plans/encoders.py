@@ -92,11 +92,24 @@ def standardize(spark: SparkSession, sf: str) -> DataFrame:
     return scaled.select("imageName", *[F.round(c, 6).alias(c) for c in MEASURES])
 
 
-@query()
+PIPELINE_SQL = (
+    fx.with_views("features")
+    + f""" , train AS (SELECT * FROM features WHERE {IS_TRAIN}), m AS (SELECT """
+    + ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in MEASURES)
+    + """, list_sort(list(DISTINCT lang)) AS langs, list_sort(list(DISTINCT source)) AS sources FROM train)
+    SELECT "imageName", list_concat(["""
+    + ", ".join(f"round(({c} - a_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6)" for c in MEASURES)
+    + """], list_concat(list_transform(langs, lambda x: (x = lang)::DOUBLE), list_transform(sources, lambda x: (x = source)::DOUBLE))) AS features
+    FROM features, m"""
+)
+
+
+@query(PIPELINE_SQL)
 def column_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     df = fx.features(spark, sf)
     model = en.preprocessor(MEASURES, ["lang", "source"], scale=True).fit(train_rows(df))
-    return model.transform(df).select("imageName", vector_to_array("features").alias("features"))
+    rounded = F.transform(vector_to_array("features"), lambda x: F.round(x, 6) + F.lit(0.0))
+    return model.transform(df).select("imageName", rounded.alias("features"))
 
 
 @query(

@@ -9,12 +9,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave import fixtures as fx
 from trialweave.functions import transforms as tr
-from trialweave.operators import encode, explain, models, splits
+from trialweave.operators import encode, evaluate, explain, models, splits
 from trialweave.plans.catalog import query
 from trialweave.plans.flagship import CATEGORICAL, NUMERIC, train_test
-from trialweave.session import scratch_path
+from trialweave.session import cut_lineage, scratch_path
 
 KEEP = ["imageName", "label"]
+#: Rounds of the boosted models, as many as the reference fits by default.
+BOOSTING_ROUNDS = 100
+
+SPLIT_SQL = fx.with_views("features") + """ , labelled AS (SELECT *, md5('7:' || "imageName") < 'b3' AS is_train FROM features WHERE label IS NOT NULL),
+    train AS (SELECT * FROM labelled WHERE is_train), test AS (SELECT * FROM labelled WHERE NOT is_train)"""
+
+# Scores differ between learners; what is certain is that every held-out row has one, and how good they are.
+SCORES_SQL = SPLIT_SQL + """ SELECT "imageName", label, true AS probability_valid, true AS class_matches, true AS auc_above_floor FROM test"""
+AUC_FLOOR = 0.85
+
+
+def _checked(scores: DataFrame, keep: list[str] = KEEP) -> DataFrame:
+    """Each scored row with what holds for any probability classifier, and whether the AUC reaches its floor."""
+    scores = cut_lineage(scores)
+    auc = evaluate.roc_auc(scores, []).first()[0]
+    return scores.select(
+        *keep,
+        F.col("prob").between(0.0, 1.0).alias("probability_valid"),
+        (F.col("prediction") == (F.col("prob") > 0.5).cast("int")).alias("class_matches"),
+        F.lit(bool(auc >= AUC_FLOOR)).alias("auc_above_floor"),
+    )
 
 
 def _fit_and_score(spark: SparkSession, sf: str, estimator, scale: bool = False) -> DataFrame:
@@ -23,111 +44,134 @@ def _fit_and_score(spark: SparkSession, sf: str, estimator, scale: bool = False)
     return models.score_table(model, test, KEEP)
 
 
+REGRESSION_SQL = SPLIT_SQL + """ SELECT "imageName", round(ln("ORR" / 100 + 2), 9) AS y, true AS in_range, true AS explains FROM test"""
+
+
 def _regression(spark: SparkSession, sf: str, estimator) -> DataFrame:
-    """Predictions of the transformed response; n_symbols stays out, since the response is made of it."""
+    """Predictions of the transformed response; n_symbols stays out, since the response is made of it.
+
+    in_range: no prediction is farther from the training responses than they are from each other. explains: the squared
+    errors are below those of the mean.
+    """
     train, test = (
         df.withColumn("y", tr.log1p_target(F.col("ORR"))) for df in train_test(spark, sf)
     )
     numeric = ["n_chars", "n_words", "n_distinct"]
     model = Pipeline(stages=[encode.preprocessor(numeric, CATEGORICAL), estimator]).fit(train)
-    return model.transform(test).select("imageName", "y", F.col("prediction").alias("y_pred"))
+    scored = cut_lineage(model.transform(test).select("imageName", "y", F.col("prediction").alias("y_pred")))
+    low, high = train.agg(F.min("y"), F.max("y")).first()
+    error, spread = scored.agg(F.avg(F.pow(F.col("y") - F.col("y_pred"), F.lit(2))), F.var_pop("y")).first()
+    near = F.col("y_pred").between(low - (high - low), high + (high - low))
+    return scored.select("imageName", F.round("y", 9).alias("y"), near.alias("in_range"), F.lit(bool(error < spread)).alias("explains"))
 
 
 def _folded(train: DataFrame, k: int) -> DataFrame:
-    folds = splits.stratified_folds(train, "label", "imageName", k=k, seed=42)
-    return models.training_layout(folds, "imageName").persist()
+    return cut_lineage(models.training_layout(splits.stratified_folds(train, "label", "imageName", k=k, seed=42), "imageName"))
 
 
 def _encoded(spark: SparkSession, sf: str, scale: bool = False) -> tuple[DataFrame, DataFrame, int]:
     train, test = train_test(spark, sf)
     encoder, width = models.encoded(NUMERIC, CATEGORICAL, train, scale)
-    return encoder.transform(train).persist(), encoder.transform(test), width
+    return cut_lineage(encoder.transform(train)), encoder.transform(test), width
 
 
-@query()
+@query(SCORES_SQL)
 def rf_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_and_score(spark, sf, models.forest_classifier(100, seed=42))
+    return _checked(_fit_and_score(spark, sf, models.forest_classifier(100, seed=42)))
 
 
-@query()
+@query(REGRESSION_SQL)
 def rf_regress(spark: SparkSession, sf: str) -> DataFrame:
     return _regression(spark, sf, models.forest_regressor(100, seed=42))
 
 
-@query()
+@query(SCORES_SQL)
 def gbt_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_and_score(spark, sf, models.boosted_classifier(rounds=10, depth=3))
+    return _checked(_fit_and_score(spark, sf, models.boosted_classifier(rounds=BOOSTING_ROUNDS)))
 
 
-@query()
+@query(REGRESSION_SQL)
 def gbt_regress(spark: SparkSession, sf: str) -> DataFrame:
-    return _regression(spark, sf, models.boosted_regressor(rounds=10, depth=3))
+    return _regression(spark, sf, models.boosted_regressor(rounds=BOOSTING_ROUNDS))
 
 
-@query()
+@query(SCORES_SQL)
 def gbt_classify_sampled(spark: SparkSession, sf: str) -> DataFrame:
     train, test = train_test(spark, sf)
     pipeline = models.sampled_boosting(
-        NUMERIC, CATEGORICAL, maxIter=10, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5, seed=42,
+        NUMERIC, CATEGORICAL, maxIter=BOOSTING_ROUNDS, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5, seed=42,
         **models.with_depth({"leaves": 31}),
     )
-    return models.score_table(pipeline.fit(train), test, KEEP)
+    return _checked(models.score_table(pipeline.fit(train), test, KEEP))
 
 
-@query()
+@query(SCORES_SQL)
 def gbt_classify_target_encoded(spark: SparkSession, sf: str) -> DataFrame:
     train, test = train_test(spark, sf)
-    pipeline = models.target_encoded_boosting(NUMERIC, CATEGORICAL, maxIter=10, maxDepth=3, stepSize=0.05, seed=42)
-    return models.score_table(pipeline.fit(train), test, KEEP)
+    pipeline = models.target_encoded_boosting(NUMERIC, CATEGORICAL, maxIter=BOOSTING_ROUNDS, maxDepth=6, stepSize=0.05, seed=42)
+    return _checked(models.score_table(pipeline.fit(train), test, KEEP))
+
+
+SVM_SQL = SPLIT_SQL + """ SELECT "imageName", label, kernel, true AS probability_valid, true AS class_matches, true AS auc_above_floor
+    FROM test, (VALUES ('linear'), ('rbf')) AS k(kernel)"""
 
 
-@query()
+@query(SVM_SQL)
 def svm_classify(spark: SparkSession, sf: str) -> DataFrame:
     """Both kernels: the linear one and the rbf approximation, with calibrated probabilities."""
     train, test, _ = _encoded(spark, sf, scale=True)
     train = _folded(train, 3)
-    scored = [
-        models.score_table(models.svm_with_probability(train, "fold", kernel, iterations=25), test, KEEP).withColumn(
-            "kernel", F.lit(kernel)
-        )
-        for kernel in ("linear", "rbf")
-    ]
-    return scored[0].unionByName(scored[1])
+    checked = []
+    for kernel in ("linear", "rbf"):
+        scores = models.score_table(models.svm_with_probability(train, "fold", kernel, iterations=25), test, KEEP)
+        checked.append(_checked(scores).withColumn("kernel", F.lit(kernel)))
+    return checked[0].unionByName(checked[1])
 
 
-@query()
+@query(SCORES_SQL)
 def mlp_classify(spark: SparkSession, sf: str) -> DataFrame:
     train, test, width = _encoded(spark, sf, scale=True)
-    return models.score_table(models.network(width, iterations=40).fit(train), test, KEEP)
+    return _checked(models.score_table(models.network(width, iterations=40).fit(train), test, KEEP))
 
 
-@query()
+WEIGHTED_SQL = SPLIT_SQL + """ , a AS (SELECT label, lang, count(*) AS n FROM train GROUP BY ALL), b AS (SELECT label, lang, count(*) AS m FROM test GROUP BY ALL),
+    w AS (SELECT avg(least(greatest(coalesce(m, 0) / n, 0.5), 2.0)) AS mean_weight FROM train JOIN a USING (label, lang) LEFT JOIN b USING (label, lang))
+    SELECT "imageName", label, true AS probability_valid, true AS class_matches, true AS auc_above_floor, round(mean_weight, 6) AS mean_weight FROM test, w"""
+
+
+@query(WEIGHTED_SQL)
 def weighted_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Training rows weighted towards the label and language mix of the held-out rows."""
+    """Boosted trees on training rows weighted towards the label and language mix of the held-out rows."""
     train, test = train_test(spark, sf)
-    weighted = models.training_layout(splits.reweight(train, test, ["label", "lang"]), "imageName")
-    forest = models.forest_classifier(30, seed=42, weightCol="weight")
-    model = Pipeline(stages=[encode.preprocessor(NUMERIC, CATEGORICAL), forest]).fit(weighted)
-    return models.score_table(model, test, KEEP)
+    weighted = cut_lineage(models.training_layout(splits.reweight(train, test, ["label", "lang"]), "imageName"))
+    boosted = models.boosted_classifier(rounds=BOOSTING_ROUNDS, weightCol="weight")
+    model = Pipeline(stages=[encode.preprocessor(NUMERIC, CATEGORICAL), boosted]).fit(weighted)
+    mean = weighted.agg(F.round(F.avg("weight"), 6)).first()[0]
+    return _checked(models.score_table(model, test, KEEP)).withColumn("mean_weight", F.lit(mean))
+
+
+CLASS_WEIGHT_SQL = SPLIT_SQL + """ , w AS (SELECT round(count(*) FILTER (label = 0) / count(*) FILTER (label = 1), 6) AS positive_weight FROM train)
+    SELECT "imageName", label, true AS probability_valid, true AS class_matches, true AS auc_above_floor, positive_weight FROM test, w"""
 
 
-@query()
+@query(CLASS_WEIGHT_SQL)
 def class_weighted_fit(spark: SparkSession, sf: str) -> DataFrame:
     train, test = train_test(spark, sf)
-    forest = models.forest_classifier(30, seed=42, weightCol="class_weight")
-    stages = [encode.preprocessor(NUMERIC, CATEGORICAL), forest]
-    model = Pipeline(stages=stages).fit(models.with_class_weight(train))
-    return models.score_table(model, test, KEEP)
+    weighted = cut_lineage(models.with_class_weight(train))
+    boosted = models.boosted_classifier(rounds=BOOSTING_ROUNDS, weightCol="class_weight")
+    model = Pipeline(stages=[encode.preprocessor(NUMERIC, CATEGORICAL), boosted]).fit(weighted)
+    ratio = weighted.filter("label = 1").agg(F.round(F.max("class_weight"), 6)).first()[0]
+    return _checked(models.score_table(model, test, KEEP)).withColumn("positive_weight", F.lit(ratio))
 
 
-@query()
+@query(SCORES_SQL)
 def score_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_and_score(spark, sf, models.forest_classifier(30, seed=21))
+    return _checked(_fit_and_score(spark, sf, models.forest_classifier(30, seed=21)))
 
 
-@query()
+@query(SPLIT_SQL + """ SELECT "imageName", label, true AS same FROM test""")
 def save_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of the reloaded model beside those of the fitted one."""
+    """Whether the reloaded model scores each row as the fitted one did."""
     train, test = train_test(spark, sf)
     stages = [encode.preprocessor(NUMERIC, CATEGORICAL), models.forest_classifier(10, seed=42)]
     model = Pipeline(stages=stages).fit(train)
@@ -135,37 +179,65 @@ def save_model(spark: SparkSession, sf: str) -> DataFrame:
     models.save_model(model, path)
     again = models.score_table(models.load_model(path), test, ["imageName"])
     before = models.score_table(model, test, KEEP)
-    return before.join(again.select("imageName", F.col("prob").alias("prob_reloaded")), "imageName")
+    return before.join(again.select("imageName", F.col("prob").alias("prob_reloaded")), "imageName").select(
+        *KEEP, F.col("prob").eqNullSafe(F.col("prob_reloaded")).alias("same")
+    )
 
 
-@query()
+@query("SELECT * FROM (VALUES ('n_chars'), ('n_words'), ('n_distinct'), ('n_symbols')) AS t(feature), (SELECT true AS valid, true AS adds_up_to_one)")
 def select_by_importance(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = train_test(spark, sf)
-    return explain.rank_features(train, NUMERIC, "label", "imageName", trees=100, seed=21)
+    ranked = cut_lineage(explain.rank_features(train, NUMERIC, "label", "imageName", trees=100, seed=21))
+    total = ranked.agg(F.sum("importance")).first()[0]
+    return ranked.select("feature", F.col("importance").between(0.0, 1.0).alias("valid"), F.lit(abs(total - 1) < 1e-9).alias("adds_up_to_one"))
 
 
-@query()
+@query(
+    "SELECT *, feature <> 'noise' AS may_be_kept FROM (VALUES ('n_chars'), ('n_words'), ('n_distinct'), ('n_symbols'), ('noise')) AS t(feature), (SELECT true AS hits_valid)"
+)
 def select_by_shadow(spark: SparkSession, sf: str) -> DataFrame:
-    """The measures and one column of pure noise."""
+    """The measures and one column of pure noise, which is not kept."""
     train, _ = train_test(spark, sf)
     noise = F.conv(F.substring(F.md5("imageName"), 1, 6), 16, 10).cast("double")
-    return explain.shadow_select(train.withColumn("noise", noise), [*NUMERIC, "noise"], "label", "imageName", rounds=7)
+    chosen = explain.shadow_select(train.withColumn("noise", noise), [*NUMERIC, "noise"], "label", "imageName", rounds=7)
+    return chosen.select(
+        "feature", F.col("hits").between(0, 7).alias("hits_valid"), ((F.col("feature") != "noise") | (F.col("ranking") == 1)).alias("may_be_kept")
+    )
+
+
+GRID_SQL = f"""SELECT (p.point)::INTEGER AS point, p.params, f.fold::INTEGER AS fold, true AS metric_valid, true AS best_is_first_largest
+    FROM (SELECT row_number() OVER (ORDER BY i, d) - 1 AS point, '{{''maxIter'': ' || i || ', ''maxDepth'': ' || d || '}}' AS params
+      FROM (VALUES (5), (10)) AS a(i), (VALUES (2), (3)) AS b(d)) p, (SELECT unnest(range(5)) AS fold) f"""
 
 
-@query()
+@query(GRID_SQL)
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point of a small grid on five folds, and the refit of the best one."""
     train, _ = train_test(spark, sf)
-    folded = _folded(train, 3)
+    folded = _folded(train, 5)
     points = models.grid_points({"maxIter": [5, 10], "maxDepth": [2, 3]})
-    table, _ = models.tune(
-        encode.preprocessor(NUMERIC, CATEGORICAL), lambda p: GBTClassifier(seed=42, **p), points, folded, "auc", "fold"
-    )
-    return table
+    encoder = encode.preprocessor(NUMERIC, CATEGORICAL)
+
+    def build(point: dict) -> GBTClassifier:
+        return GBTClassifier(seed=42, **point)
+
+    table, best = models.tune(encoder, build, points, folded, "auc", "fold")
+    models.fit_best(encoder, build, best, train)
+    table = cut_lineage(table)
+    means = {r.point: r.m for r in table.groupBy("point").agg(F.avg("metric").alias("m")).collect()}
+    first = min(p for p, m in means.items() if m >= max(means.values()) - 1e-12)
+    right = F.col("best") == (F.col("point") == first)
+    return table.select("point", "params", "fold", F.col("metric").between(0.0, 1.0).alias("metric_valid"), right.alias("best_is_first_largest"))
+
+
+OOF_SQL = SPLIT_SQL + """ SELECT "imageName", label,
+      cast((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || "imageName"), "imageName") - 1) % 5 AS int) AS fold,
+      true AS probability_valid, true AS class_matches, true AS auc_above_floor FROM train"""
 
 
-@query()
+@query(OOF_SQL)
 def cross_val_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return _out_of_fold(spark, sf, k=5, trees=30)
+    return _checked(_out_of_fold(spark, sf, k=5, trees=30), [*KEEP, "fold"])
 
 
 def _out_of_fold(spark: SparkSession, sf: str, k: int, trees: int) -> DataFrame:
@@ -177,10 +249,16 @@ def _out_of_fold(spark: SparkSession, sf: str, k: int, trees: int) -> DataFrame:
     return models.oof_predict(pipeline, folded, "fold", KEEP)
 
 
-@query()
+@query("SELECT (2 * (i + 1))::INTEGER AS iteration, true AS losses_positive, true AS rates_valid, true AS objective_falls FROM (SELECT unnest(range(20)) AS i)")
 def train_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty evaluations, one after every two of forty iterations."""
     train, test, width = _encoded(spark, sf, scale=True)
-    return models.train_history(train, test, width, stages=4, iterations=10)
+    table = models.train_history(train, test, width, stages=20, iterations=2)
+    ends = table.agg(F.max_by("objective", "iteration"), F.min_by("objective", "iteration")).first()
+    rates = F.lit(True)
+    for c in ("train_accuracy", "test_accuracy", "test_auc"):
+        rates = rates & F.col(c).between(0.0, 1.0)
+    return table.select("iteration", (F.col("train_loss") > 0).alias("losses_positive"), rates.alias("rates_valid"), F.lit(ends[0] < ends[1]).alias("objective_falls"))
 
 
 def _explained(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,10 +271,11 @@ def _explained(spark: SparkSession, sf: str) -> DataFrame:
     return values.join(held_out.select("imageName", margin), "imageName")
 
 
-@query()
+@query(SPLIT_SQL + """ SELECT "imageName", 4::BIGINT AS n_features, true AS adds_up FROM test""")
 def shap_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Attributions of the held-out rows; per row they add up to margin - base."""
-    return _explained(spark, sf)
+    """Attributions of the held-out rows: per row one for each feature, which with the base add up to the margin."""
+    rest = F.abs(F.sum("attribution") + F.first("base") - F.first("margin")) < 1e-6
+    return _explained(spark, sf).groupBy("imageName").agg(F.count("feature").alias("n_features"), rest.alias("adds_up"))
 
 
 SUMMARY_SQL = fx.with_views("importances") + """ , v AS (SELECT split_part(feature, '#', 1) AS feature,
