@@ -14,6 +14,8 @@ of other components. A pair whose ends are already connected cannot change a com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -122,19 +124,25 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, bands: Bands) -> Data
     return rows.mapInArrow(batches, f"key {rows.schema['key'].dataType.simpleString()}, size long, class long, bitmap array<long>, tiles array<long>")
 
 
+_WORDS = [f"w{i}" for i in range(BITS // 64)]
+
+
 def _bound(share: tuple[int, int]) -> Column:
-    """Whether sizes and bitmaps of the sides l and r allow a link."""
+    """Whether sizes, and then bitmaps, of the sides l and r allow a link: each bit that one has and the other lacks is a
+    member that is not shared. Over plain columns, so a join checks it in generated code before it makes a row."""
+    left, right = F.col("l.size"), F.col("r.size")
+    sizes = (left * share[1] >= right * share[0]) & (right * share[1] >= left * share[0])
     extra = [
-        F.aggregate(F.zip_with(f"{x}.bitmap", f"{y}.bitmap", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, c: s + c)
+        reduce(add, [F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in _WORDS])
         for x, y in (("l", "r"), ("r", "l"))
     ]
-    most = F.least(F.col("l.size") - extra[0], F.col("r.size") - extra[1])
-    return most * share[1] >= (F.col("l.size") + F.col("r.size") - most) * share[0]
+    most = F.least(left - extra[0], right - extra[1])
+    return sizes & (most * share[1] >= (left + right - most) * share[0])
 
 
 def _verified(pairs: DataFrame, cards: DataFrame, docs: DataFrame, key: str, text: str, n: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b of classes) whose sets reach the bound: bitmap counts first, then sorted arrays."""
-    card = cards.select("class", "size", "bitmap")
+    card = cards.select("class", "size", *_WORDS)
     near = cut_lineage(
         pairs.join(card.alias("l"), F.col("a") == F.col("l.class")).join(card.alias("r"), F.col("b") == F.col("r.class"))
         .where(_bound(share)).select("a", "b")
@@ -178,7 +186,8 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, share: tuple[int,
     """(key, size, class) of each row, and (class, root) of each class that is linked to another one."""
     bands = Bands(share)
     sketch = cut_lineage(sketches(docs, key, text, n, bands))
-    cards = cut_lineage(sketch.where("bitmap IS NOT NULL").groupBy("class").agg(F.min("size").alias("size"), F.min("bitmap").alias("bitmap"), F.min("key").alias("holder")))
+    one = sketch.where("bitmap IS NOT NULL").groupBy("class").agg(F.min("size").alias("size"), F.min("bitmap").alias("bitmap"), F.min("key").alias("holder"))
+    cards = cut_lineage(one.select("class", "size", "holder", *[F.get("bitmap", F.lit(i)).alias(w) for i, w in enumerate(_WORDS)]))
     dealt = sketch.where("tiles IS NOT NULL").select(F.explode("tiles").alias("tile"), "class")
     shared = dealt.groupBy("tile").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("tile", "least")
     members = cut_lineage(dealt.join(shared, "tile").distinct())
@@ -194,15 +203,15 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, share: tuple[int,
         members.join(rooted("class", "root"), "class", "left").join(rooted("least", "least_root"), "least", "left")
         .select("tile", "class", F.coalesce("root", "class").alias("root"), F.coalesce("least_root", "least").alias("least_root"), (F.col("class") == F.col("least")).alias("is_least"))
     )
-    strays = placed.where("root <> least_root")
-    mixed = placed.join(strays.select("tile").distinct(), "tile", "left_semi")
+    # A stray has another component than its tile's smallest member, which it has been compared with.
+    split = placed.where("root <> least_root").select("tile").distinct()
+    mixed = placed.where("NOT is_least").join(split, "tile", "left_semi").join(cards.drop("holder"), "class")
+    mixed = cut_lineage(mixed.withColumn("stray", F.col("root") != F.col("least_root")).drop("least_root", "is_least"))
+    others = (F.col("l.tile") == F.col("r.tile")) & (F.col("l.root") != F.col("r.root")) & (~F.col("r.stray") | (F.col("l.class") < F.col("r.class")))
     rest = (
-        strays.select("tile", F.col("class").alias("a"), F.col("root").alias("a_root"))
-        .join(mixed.where("NOT is_least").select("tile", F.col("class").alias("b"), F.col("root").alias("b_root")), "tile")
-        .where("a_root <> b_root")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+        mixed.where("stray").alias("l").join(mixed.alias("r"), others & _bound(share))
+        .select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b")).distinct()
+    )
     more = cut_lineage(_verified(rest, cards, docs, key, text, n, share))
     return sketch.select("key", "size", "class"), components(links.union(more))
 
