@@ -6,7 +6,6 @@ import re
 import pytest
 
 from trialweave.llm import ngram_join as nj
-from trialweave.llm.components import components
 
 
 def brute(rows, n, share):
@@ -85,14 +84,3 @@ def test_parts_are_enough_for_every_linked_pair():
                 if least <= small:
                     assert bands.of(large) - bands.of(small) in (0, 1)
                     assert small + large - 2 * least <= bands.differing(bands.of(large))
-
-
-def test_components_of_paths_stars_and_rings(spark):
-    path = [(i, i + 1) for i in range(0, 200)]
-    star = [(1000, 1000 + i) for i in range(1, 50)] + [(1020, 1020)]
-    ring = [(5000 + i, 5000 + (i + 1) % 30) for i in range(30)]
-    random.Random(1).shuffle(path)
-    edges = spark.createDataFrame(path + star + ring, "a long, b long")
-    roots = {r.node: r.root for r in components(edges).collect()}
-    assert roots == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {5000 + i: 5000 for i in range(30)}
-    assert components(edges.where("a < 0")).count() == 0
