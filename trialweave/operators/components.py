@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trialweave.session import cut_lineage
+from trialweave.session import cut_lineage, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,14 +13,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each node's larger (then smaller) neighbours are linked to its smallest
     neighbour, which halves long paths. A step is two aggregations and joins over the edges, so no task holds a component; hot
     nodes are aggregated before the shuffle and their join is an ordinary one that AQE can split. Each round is
-    written, so a lost executor rereads it. Self links only add the node itself. No edges: no rows.
+    written, so a lost executor rereads it, and the one before is deleted. Self links only add the node itself. No edges: no rows.
     """
     links = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     signature = None
     while True:
+        before = links
         both = links.union(links.select(F.col("v"), F.col("u"))).where("u <> v")
         links = _star(both, F.col("v") > F.col("u"))
         links = cut_lineage(_star(links.where("u <> v"), F.lit(True)))
+        discard(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == signature:
             break

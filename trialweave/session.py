@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,4 +65,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _stages[id(written)] = (weakref.ref(written, lambda _, key=id(written): _stages.pop(key, None)), path)
+    return written
+
+
+_stages: dict[int, tuple] = {}
+
+
+def discard(stage: DataFrame) -> None:
+    """Delete the table behind a frame that cut_lineage returned, once its successor has been written and nothing reads it any more."""
+    reference, path = _stages.get(id(stage), (None, None))
+    if reference is None or reference() is not stage:
+        raise ValueError("not a frame of cut_lineage")
+    context = stage.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
