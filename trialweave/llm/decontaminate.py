@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trialweave.llm import words
 
@@ -186,6 +187,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     words and no hits; items that are null or too short match nothing; repeated rows give their own hits; an empty benchmark gives none.
     Only the named columns are read. Documents are scanned once for each block of the benchmark, without a shuffle.
     """
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     out = None
@@ -201,7 +203,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     hits += [(known.ids[h[1]], *h[2:]) for h in new]
                 columns = list(zip(*hits)) if hits else [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], benchmark_type(item_kind)), *[pa.array(c, pa.int32()) for c in columns[1:]]],
+                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], item_type), *[pa.array(c, pa.int32()) for c in columns[1:]]],
                     names=["key", "item", "start_word", "n_words", "distance"],
                 )
 
@@ -210,11 +212,6 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return out.withColumnRenamed("key", key).withColumnRenamed("item", item)
 
 
-def benchmark_type(kind: str) -> pa.DataType:
-    """Arrow type of an item id (whole numbers and text)."""
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The rows of docs, all columns, that hold no passage of the benchmark; null and empty texts stay."""
     out = docs
