@@ -6,112 +6,171 @@ distinct word is solved once, however often it occurs.
 
 Solved words go back to the documents in two ways. Frequent words (chosen from a bounded sample of documents; the choice moves
 work and never changes a result) are a table of bounded size that every task has. The others are rare by choice, so they travel by shuffle: word to
-solution, and solutions to their document. Documents cross the network as word numbers, not as text.
+solution, and solutions to their document. Documents cross the network as word numbers, not as text. Words are told apart
+by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trialweave.llm.pieces import SPACE, PieceTable, pre_tokens
+from trialweave.llm import words
+from trialweave.llm.pieces import SPACE, STEPS, PieceTable
+from trialweave.session import cut_lineage
 
 #: Words that every task has, and documents whose words they are chosen from.
-FREQUENT, SAMPLE_DOCUMENTS = 400_000, 20_000
+FREQUENT, SAMPLE_DOCUMENTS = 300_000, 20_000
+
+
+# An edge is one number: its score in steps, then its length, then its piece. Of equal scores the longer edge is larger.
+_ID_BITS, _LENGTH_BITS = 21, 6
+_LOW = _ID_BITS + _LENGTH_BITS
+_UNKNOWN = (1 << _ID_BITS) - 1
+
+
+def _weight(score: float, length: int, piece: int) -> int:
+    return (round(score * STEPS) << _LOW) + (length << _ID_BITS) + piece
+
+
+def _length(edge: Column) -> Column:
+    return F.shiftright(edge, _ID_BITS).bitwiseAND((1 << _LENGTH_BITS) - 1).cast("int")
 
 
 def piece_frame(spark: SparkSession, table: PieceTable) -> DataFrame:
-    """(piece, id, score)."""
-    rows = [(p, i, s) for p, (i, s) in table.pieces.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """(piece, weight): the pieces as edges."""
+    if table.longest >= 1 << _LENGTH_BITS or max(i for i, _ in table.pieces.values()) >= _UNKNOWN:
+        raise ValueError("pieces of up to 63 characters with ids below 2097151 can be encoded")
+    return spark.createDataFrame([(p, _weight(s, len(p), i)) for p, (i, s) in table.pieces.items()], "piece string, weight long")
 
 
-def solve(words: DataFrame, pieces: DataFrame, table: PieceTable) -> DataFrame:
+def solve(distinct: DataFrame, pieces: DataFrame, table: PieceTable) -> DataFrame:
     """(word, ids) of the distinct, not null and not empty words of a frame (word).
 
-    Edges are the substrings that are pieces, and single characters that are none, which stand for their byte pieces. The fold
-    takes edges by end and start; of equal scores the longest last piece wins. `words` must be grouped by word: the grouping then needs no
-    second shuffle.
+    Edges are the substrings that are pieces, and single characters that are none, which stand for their byte pieces. The fold keeps the best edge into
+    each position, with the score of the whole path to it. A frame that is grouped or dealt by word needs no
+    shuffle here.
     """
-    longest = table.longest
-    found = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")).select(
-        "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("size")
+    found = distinct.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")).select(
+        "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1))).alias("size")
     )
     spelled = found.withColumn("part", F.expr("substring(word, start, size)"))
-    edges = spelled.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where("id IS NOT NULL OR size = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("size") - 1).alias("end"), (F.col("start") - 1).alias("start"),
-        F.coalesce("score", F.lit(table.unknown_score)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"),
-    )
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    # best[p]: score of the best path to p; chosen[p - 1]: its last edge. An edge of a new end closes the one before.
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<start:int,id:int>>").alias("chosen"), F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("id")).alias("edge"))
-
-    def closed(s):
-        return F.when(s["end"] == 0, s["best"]).otherwise(F.concat(s["best"], F.array(s["score"]))), F.when(s["end"] == 0, s["chosen"]).otherwise(F.concat(s["chosen"], F.array(s["edge"])))
+    edges = spelled.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where("weight IS NOT NULL OR size = 1")
+    weight = F.coalesce("weight", F.lit(_weight(table.unknown_score, 1, _UNKNOWN)))
+    edge = F.struct((F.col("start") + F.col("size") - 1).alias("end"), weight.alias("weight"))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    scores = F.lit(-(1 << _LOW)).cast("long")  # all but the low bits
 
-    def step(s, e):
-        mine = F.struct(e["start"].alias("start"), e["id"].alias("id"))
-        best, chosen = closed(s)
-        further = F.struct(best.alias("best"), chosen.alias("chosen"), e["end"].alias("end"), (F.element_at(best, e["start"] + 1) + e["score"]).alias("score"), mine.alias("edge"))
-        score = F.element_at(s["best"], e["start"] + 1) + e["score"]
-        better = F.struct(s["best"].alias("best"), s["chosen"].alias("chosen"), s["end"].alias("end"), score.alias("score"), mine.alias("edge"))
-        return F.when(e["end"] > s["end"], further).when(score > s["score"], better).otherwise(s)
+    def step(best, e):
+        new = F.get(best, e["end"] - _length(e["weight"])).bitwiseAND(scores) + e["weight"]
+        closed = F.size(best) == e["end"]
+        return F.when(closed, F.concat(best, F.array(new))).when(new > F.get(best, e["end"]), F.concat(F.slice(best, F.lit(1), e["end"]), F.array(new))).otherwise(best)
 
-    path = grouped.select("word", F.aggregate("edges", start, step, lambda s: closed(s)[1]).alias("path"))
+    best = grouped.select("word", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
 
     def back(s, p):
-        at = F.element_at("path", p)
-        return F.when(s["at"] == p, F.struct(at["start"].alias("at"), F.concat(s["edges"], F.array(F.struct(at["start"].alias("start"), at["id"].alias("id")))).alias("edges"))).otherwise(s)
+        edge = F.get("best", p)
+        return F.when(s["at"] == p, F.struct((p - _length(edge)).alias("at"), F.concat(F.array(edge), s["path"]).alias("path"))).otherwise(s)
 
-    backward = F.aggregate(
-        F.sequence(F.size("path"), F.lit(1), F.lit(-1)),
-        F.struct(F.size("path").alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("edges")), back, lambda s: F.reverse(s["edges"]),
+    path = F.aggregate(
+        F.sequence(F.size("best") - 1, F.lit(1), F.lit(-1)), F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<bigint>").alias("path")), back, lambda s: s["path"],
     )
     byte_ids = F.array(*[F.lit(i) for i in table.bytes])
 
-    def ids(e):
-        raw = F.encode(F.col("word").substr(e["start"] + 1, F.lit(1)), "UTF-8")
-        spelled_out = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + 1))
-        return F.when(e["id"] >= 0, F.array(e["id"])).otherwise(spelled_out)
+    def piece(edge):
+        return edge.bitwiseAND(_UNKNOWN).cast("int")
 
-    return path.select("word", F.flatten(F.transform(backward, ids)).alias("ids"))
+    def spell(s, edge):
+        raw = F.encode(F.col("word").substr(s["at"] + 1, F.lit(1)), "UTF-8")
+        by_byte = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + 1))
+        ids = F.when(piece(edge) == _UNKNOWN, by_byte).otherwise(F.array(piece(edge)))
+        return F.struct((s["at"] + _length(edge)).alias("at"), F.concat(s["ids"], ids).alias("ids"))
 
+    spelled = F.aggregate("path", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids")), spell, lambda s: s["ids"])
+    some_unknown = F.exists("path", lambda edge: piece(edge) == _UNKNOWN)
+    return best.select("word", path.alias("path")).select("word", F.when(some_unknown, spelled).otherwise(F.transform("path", piece)).alias("ids"))
 
-def _distinct(column: pa.Array) -> list[list[str]]:
-    return [pre_tokens(t) for t in column.to_pylist()]
 
+def _split(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, starts, ends, rows, hashes) of the pre-tokens of slices of texts, as `pre_tokens` cuts them.
 
-def frequent_words(docs: DataFrame, text: str, pieces: DataFrame, table: PieceTable) -> dict[str, tuple[int, ...]]:
-    """The most frequent words of a bounded sample, solved: at most `FREQUENT`, so their size on the driver and in tasks is bounded."""
+    Each text that is not empty gets a space in front, and U+2581 counts as a space. A pre-token starts at a line break, at
+    the first of a run of spaces, and behind a line break.
+    """
+    texts = pc.replace_substring(pc.fill_null(column, ""), SPACE, " ")
+    texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+    data, offsets = words.buffers(texts)
+    for low, high in words.slices(offsets):
+        part = offsets[low : high + 1] - offsets[low]
+        text = data[offsets[low] : offsets[high]]
+        space, line = text == 0x20, text == 0x0A
+        first = np.zeros(len(text) + 1, bool)
+        first[part] = True
+        start = line | first[:-1]
+        start[1:] |= (space[1:] & ~space[:-1]) | (~space[1:] & line[:-1])
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(text)) if len(starts) else starts
+        rows = np.repeat(np.arange(high - low), np.diff(np.searchsorted(starts, part)))
+        yield low, high, text, starts, ends, rows, words.hashes(text, starts, ends, fold=False)
+
+
+def _text(data: np.ndarray, start: int, end: int) -> str:
+    return data[start:end].tobytes().decode().replace(" ", SPACE)
+
+
+def frequent_words(docs: DataFrame, text: str, pieces: DataFrame, table: PieceTable) -> pa.Table:
+    """(word, ids) of the most frequent words of a bounded sample, most frequent first: at most `FREQUENT`, so their size on the
+    driver (as Arrow columns) and in tasks is bounded."""
+    spark = docs.sparkSession
     rows = docs.count()
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, rows))
     sample = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(text).cast("string"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            seen: Counter = Counter()
-            for low in range(0, len(part), 512):
-                seen.update(chain.from_iterable(_distinct(part.column(0)[low : low + 512])))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            for _, _, data, starts, ends, _, hashed in _split(part.column(0)):
+                _, first, n = np.unique(hashed, return_index=True, return_counts=True)
+                found = [_text(data, s, e) for s, e in zip(starts[first], ends[first])]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], names=["word", "n"])
 
     counted = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    chosen = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
-    return {r.word: tuple(r.ids) for r in solve(chosen.groupBy("word").agg(F.first("word").alias("_w")).select("word"), pieces, table).collect()}
+    chosen = cut_lineage(counted.orderBy(F.desc("n"), "word").limit(FREQUENT))
+    spread = chosen.select("word").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "word")
+    solved = solve(spread, pieces, table).join(chosen, "word").select("word", "ids", "n").toArrow()
+    return solved.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
 
 
 class _Coder:
-    """Frequent words as numbers in order, with their pieces in one flat array."""
-
-    def __init__(self, words: dict[str, tuple[int, ...]]) -> None:
-        self.number = {w: k for k, w in enumerate(words)}
-        self.flat = np.fromiter(chain.from_iterable(words.values()), np.int32)
-        self.ends = np.cumsum(np.fromiter(map(len, words.values()), np.int64, len(words)))
+    """Frequent words as numbers, small ones for the most frequent, with their pieces in one flat array."""
+
+    def __init__(self, solved: pa.Table) -> None:
+        data, offsets = words.buffers(pc.replace_substring(solved["word"], SPACE, " "))
+        hashed = words.hashes(data, offsets[:-1], offsets[1:], fold=False) if len(solved) else np.zeros(0, np.uint64)
+        order = np.argsort(hashed)
+        self.hashes, self.numbers = hashed[order], order
+        ids = solved["ids"].combine_chunks()
+        self.flat = ids.flatten().to_numpy().astype(np.int32)
+        self.sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def codes(self, rows: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code of each pre-token: the number of a frequent word, or their count plus the word's place among the other
+        distinct words of its row (in the order of their hashes). Also one pre-token for each such word, and its place."""
+        size = len(self.hashes)
+        near = np.minimum(np.searchsorted(self.hashes, hashed), max(0, size - 1))
+        known = self.hashes[near] == hashed if size else np.zeros(len(hashed), bool)
+        codes = self.numbers[near] if size else near
+        others = np.flatnonzero(~known)
+        order = others[np.lexsort((hashed[others], rows[others]))]
+        new_row = np.diff(rows[order], prepend=-1) != 0
+        new = new_row | (np.diff(hashed[order], prepend=np.uint64(0)) != 0)
+        count = np.cumsum(new)
+        place = count - np.repeat(count[new_row], np.diff(np.append(np.flatnonzero(new_row), len(order)))) if len(order) else count
+        codes[order] = size + place
+        return codes, order[new], place[new]
 
 
 def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,53 +180,52 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     pieces = piece_frame(spark, table)
-    frequent = frequent_words(docs, text, pieces, table)
-    shared = spark.sparkContext.broadcast(_Coder(frequent))
+    shared = spark.sparkContext.broadcast(_Coder(frequent_words(docs, text, pieces, table)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.select("key", "text", F.xxhash64("key", "text").alias("row"))
 
     def rare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value.number
+        coder = shared.value
         for part in parts:
-            names = part.column(0).to_pylist()
-            for low in range(0, len(part), 512):
-                found = [(r, k, w) for r, words in zip(names[low:], _distinct(part.column(1)[low : low + 512])) for k, w in enumerate(dict.fromkeys(w for w in words if w not in number))]
-                row, place, word = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(word, pa.string())], names=["row", "place", "word"])
+            for low, _, data, starts, ends, at, hashed in _split(part.column(1)):
+                _, one, place = coder.codes(at, hashed)
+                found = [_text(data, s, e) for s, e in zip(starts[one], ends[one])]
+                names = part.column(0).take(pa.array(low + at[one]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(place.astype(np.int32)), pa.array(found, pa.string())], names=["row", "place", "word"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     wanted = rows.select("row", "text").mapInArrow(rare, "row long, place int, word string").repartition(parts, "word")
     solved = solve(wanted.groupBy("word").agg(F.first("row").alias("_r")).select("word"), pieces, table)
-    answers = wanted.join(solved, "word").groupBy("row").agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
+    answers = wanted.join(solved, "word").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("rare"))
+    answers = answers.select("row", F.flatten("rare.ids").alias("own"), F.transform("rare.ids", F.size).alias("sizes"))
 
     def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value.number
-        size = len(number)
+        coder = shared.value
         for part in parts:
-            bodies = []
-            for low in range(0, len(part), 512):
-                for words in _distinct(part.column(2)[low : low + 512]):
-                    others: dict[str, int] = {}
-                    codes = [number[w] if w in number else size + others.setdefault(w, len(others)) for w in words]
-                    bodies.append(_pack(np.array(codes, np.uint32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b if v else None for b, v in zip(bodies, part.column(2).is_valid().to_pylist())], pa.binary())], names=["key", "row", "body"])
+            valid = part.column(2).is_valid().to_numpy(zero_copy_only=False)
+            bodies: list[bytes | None] = []
+            for low, high, _, _, _, at, hashed in _split(part.column(2)):
+                codes = coder.codes(at, hashed)[0].astype(np.uint32)
+                ends = np.searchsorted(at, np.arange(high - low + 1))
+                bodies += [_pack(codes[ends[i] : ends[i + 1]]) if valid[low + i] else None for i in range(high - low)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], names=["key", "row", "body"])
 
     kind = rows.schema["key"].dataType.simpleString()
     bodies = rows.select("key", "row", "text").mapInArrow(coded, f"key {kind}, row long, body binary")
 
     def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
-        size = len(coder.ends)
         for part in parts:
             for low in range(0, len(part), 256):
                 some = part.slice(low, 256)
                 out = []
-                for body, answer in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
-                    own = {a["place"]: a["ids"] for a in answer or ()}
-                    out.append(None if body is None else _spell(_unpack(body), coder, size, own))
+                for i, body in enumerate(some.column(1).to_pylist()):
+                    own, sizes = some.column(2)[i].values, some.column(3)[i].values
+                    none = np.zeros(0, np.int32)
+                    out.append(None if body is None else _spell(_unpack(body), coder, none if own is None else own.to_numpy(), none if sizes is None else sizes.to_numpy()))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
 
-    together = bodies.join(answers, "row", "left").select("key", "body", "rare")
+    together = bodies.join(answers, "row", "left").select("key", "body", "own", "sizes")
     return together.mapInArrow(joined, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
@@ -184,18 +242,18 @@ def _unpack(body: bytes) -> np.ndarray:
     return codes
 
 
-def _spell(codes: np.ndarray, coder: _Coder, size: int, own: dict[int, list[int]]) -> np.ndarray:
-    """Pieces of a document's word numbers; numbers from `size` on are the document's own words."""
-    lengths_of_own = np.array([len(own[k]) for k in range(len(own))], np.int64)
-    flat = np.concatenate([coder.flat, *[np.array(own[k], np.int32) for k in range(len(own))]]) if own else coder.flat
-    ends = np.concatenate([coder.ends, (coder.ends[-1] if size else 0) + np.cumsum(lengths_of_own)]) if own else coder.ends
-    if not len(codes):
-        return np.zeros(0, np.int32)
-    stop = ends[codes]
-    start = np.where(codes > 0, ends[np.maximum(codes.astype(np.int64) - 1, 0)], 0)
-    count = stop - start
-    at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    return flat[at]
+def _spell(codes: np.ndarray, coder: _Coder, own: np.ndarray, own_sizes: np.ndarray) -> np.ndarray:
+    """Pieces of a document's word numbers; numbers from the count of frequent words on are the document's own words."""
+    size = len(coder.sizes)
+    codes = codes.astype(np.int64)
+    mine = codes >= size
+    counts, begins = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+    counts[~mine], begins[~mine] = coder.sizes[codes[~mine]], coder.begins[codes[~mine]]
+    counts[mine], begins[mine] = own_sizes[codes[mine] - size], (np.cumsum(own_sizes) - own_sizes)[codes[mine] - size]
+    at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    out, from_own = np.empty(len(at), np.int32), np.repeat(mine, counts)
+    out[from_own], out[~from_own] = own[at[from_own]], coder.flat[at[~from_own]]
+    return out
 
 
 def decode(encoded: DataFrame, table: PieceTable, key: str = "doc_id", ids: str = "ids") -> DataFrame:

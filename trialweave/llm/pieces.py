@@ -9,6 +9,8 @@ from dataclasses import dataclass
 SPACE = "▁"
 #: Known tables have 10^4 to 10^6 pieces; what goes to every task is checked against this.
 MAX_PIECES = 2_000_000
+#: Scores are multiples of one over this, so that sums are exact and ties do not depend on the order of addition.
+STEPS = 4096
 #: A run of spaces with the word behind it, or a line break by itself.
 PRE_TOKEN = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -30,9 +32,8 @@ class PieceTable:
 def load_pieces(model_file: str) -> PieceTable:
     """The table of a SentencePiece model file (read on the driver; the path is the user's).
 
-    A unigram model has log probabilities, which are taken as they are. A merge model has ranks instead; rank r becomes
-    ln(1 / ((r + 1) H)), H the sum of 1 / (r + 1): a word list in order of use with Zipf's frequencies, in steps of 1/256, so that sums are exact
-    and ties do not depend on the order of addition. Nothing is trained. Control
+    A unigram model has log probabilities, which are taken to the next step. A merge model has ranks instead; rank r becomes
+    ln(1 / ((r + 1) H)), H the sum of 1 / (r + 1): a word list in order of use with Zipf's frequencies, in steps of 1/256. Nothing is trained. Control
     pieces are left out, byte pieces spell characters that are no piece, at ten below the smallest score.
     """
     import sentencepiece
@@ -47,14 +48,14 @@ def load_pieces(model_file: str) -> PieceTable:
         order = sorted(plain, key=lambda i: (-scores[i], i))
         total = sum(1 / (r + 1) for r in range(len(order)))
         scores = {i: round(-256 * math.log((r + 1) * total)) / 256 for r, i in enumerate(order)}
-    pieces = {model.id_to_piece(i): (i, scores[i]) for i in plain}
+    pieces = {model.id_to_piece(i): (i, round(scores[i] * STEPS) / STEPS) for i in plain}
     crossing = [p for p in pieces if not PRE_TOKEN.fullmatch(p)]
     if crossing:
         raise ValueError(f"pieces cross the cuts between pre-tokens: {crossing[:5]}")
     spelled = sorted((model.id_to_piece(i), i) for i in range(size) if model.is_byte(i))
     if len(spelled) != 256:
         raise ValueError("the table needs the 256 byte pieces")
-    return PieceTable(pieces, [i for _, i in spelled], min(scores.values()) - 10, model.unk_id())
+    return PieceTable(pieces, [i for _, i in spelled], min(s for _, s in pieces.values()) - 10, model.unk_id())
 
 
 def pre_tokens(text: str | None) -> list[str]:

@@ -88,10 +88,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, ASCII case folded; with several `ends`, one row of hashes for each."""
+def hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each byte span, ASCII case folded unless told otherwise; with several `ends`, one row of hashes for each."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_FOLDED[data] * _power_run(_PRIME, len(data))[: len(data)], out=total[1:])
+    np.cumsum((_FOLDED if fold else _BYTE_VALUES)[data] * _power_run(_PRIME, len(data))[: len(data)], out=total[1:])
     base, scale = total[starts], _power_run(_INVERSE, len(data))[starts]
     out = [mix((total[e] - base) * scale) for e in ends]
     return out[0] if len(out) == 1 else np.stack(out)
