@@ -13,6 +13,7 @@ of other components. A pair whose ends are already connected cannot change a com
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -26,8 +27,9 @@ from trialweave.operators.components import components
 from trialweave.session import cut_lineage
 
 BITS = 1024
-#: Parts beyond the differences that a pair can have: empty parts may be left out while no more than these are empty.
-SPARE = 2
+#: Parts beyond the differences that a pair can have, as a least number and a share: parts with few shingles, which frequent
+#: shingles would fill alike in many sets, are left out while there are no more of them than these.
+SPARE, SPARE_SHARE = 2, 0.15
 #: Ids that are broadcast to select documents; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -52,6 +54,9 @@ class Bands:
         top, (a, b) = self.starts[band + 1] - 1, self.share
         return 2 * top * (b - a) // (a + b)
 
+    def spare(self, band: int) -> int:
+        return max(SPARE, math.ceil(SPARE_SHARE * self.differing(band)))
+
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its n-word shingles: words end at white space, A-Z is read as a-z. With fewer
@@ -86,14 +91,16 @@ def _tiles(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         differing = bands.differing(instance)
         if differing == 0:
             continue  # only equal sets can be linked
-        parts = differing + 1 + SPARE
+        spare = bands.spare(instance)
+        parts = differing + 1 + spare
         part = (members % np.uint64(parts)).astype(np.int64)
         filled = np.bincount(part, minlength=parts)
         order = np.argsort(part, kind="stable")
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles[order] * np.uint64(0x9E3779B97F4A7C15), dtype=np.uint64)])
         ends = np.cumsum(filled)
         totals = running[ends] - running[ends - filled]
-        keep = np.arange(parts) if (filled == 0).sum() > SPARE else np.flatnonzero(filled)
+        least = next(n for n in (1, 0, -1) if (filled <= n).sum() <= spare)
+        keep = np.flatnonzero(filled > least)
         out.append(words.mix(words.mix(totals[keep]) + keep.astype(np.uint64) * _SEED + np.uint64(instance << 1 | 1)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -188,7 +195,9 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, share: tuple[int,
     sketch = cut_lineage(sketches(docs, key, text, n, bands))
     one = sketch.where("bitmap IS NOT NULL").groupBy("class").agg(F.min("size").alias("size"), F.min("bitmap").alias("bitmap"), F.min("key").alias("holder"))
     cards = cut_lineage(one.select("class", "size", "holder", *[F.get("bitmap", F.lit(i)).alias(w) for i, w in enumerate(_WORDS)]))
-    dealt = sketch.where("tiles IS NOT NULL").select(F.explode("tiles").alias("tile"), "class")
+    # Dealt by tile once: the grouping and the join on the tile both find it so.
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = sketch.where("tiles IS NOT NULL").select(F.explode("tiles").alias("tile"), "class").repartition(parts, "tile")
     shared = dealt.groupBy("tile").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("tile", "least")
     members = cut_lineage(dealt.join(shared, "tile").distinct())
 
