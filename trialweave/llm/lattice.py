@@ -94,7 +94,18 @@ def solve(distinct: DataFrame, pieces: DataFrame, table: PieceTable) -> DataFram
     return best.select("word", path.alias("path")).select("word", F.when(some_unknown, spelled).otherwise(F.transform("path", piece)).alias("ids"))
 
 
+#: Rows whose texts are copied at once.
+_ROWS = 256
+
+
 def _split(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What `_split_rows` gives, some rows at a time, so that a task copies little of a batch."""
+    for at in range(0, len(column), _ROWS):
+        for low, high, *found in _split_rows(column.slice(at, _ROWS)):
+            yield at + low, at + high, *found
+
+
+def _split_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, starts, ends, rows, hashes) of the pre-tokens of slices of texts, as `pre_tokens` cuts them.
 
     Each text that is not empty gets a space in front, and U+2581 counts as a space. A pre-token starts at a line break, at
