@@ -118,7 +118,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    out = line_dedup.dedup_lines(table(spark, folder, "documents"), find=line_dedup.block_lines)
     return out.select("doc_id", "text", "deleted_lines")
 
 
