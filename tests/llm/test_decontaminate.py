@@ -74,6 +74,25 @@ def test_exact_passages_are_always_found(case):
         assert hits >= {(k, items[k % 40][0]) for k in range(low, high)}
 
 
+@pytest.mark.parametrize("n", [18, 26, 51, 97, 151, 235])
+@pytest.mark.parametrize("mixed", [False, True])
+def test_recall_at_the_edit_bound_does_not_fall_with_length(n, mixed):
+    draw = random.Random(n)
+    items = [[f"i{k}w{j}" for j in range(n)] for k in range(3000 // n + 10)]
+    texts = []
+    for item in items:
+        out = list(item)
+        for at in sorted(draw.sample(range(n), n // 5), reverse=True):
+            kind = draw.randrange(3) if mixed else 0
+            out[at : at + (kind < 2)] = [] if kind == 1 else [f"new{draw.random()}"]
+        texts.append(" ".join(["before", "it", *out, *(f"then{draw.random()}" for _ in range(n))]).replace("0.", ""))
+    known = dc.Benchmark(list(range(len(items))), [" ".join(x) for x in items], dc.Rule())
+    found = set()
+    for low, _, values, firsts in words.hashed_words(pa.array(texts), words.MARKS):
+        found |= {low + h[0] for h in known.hits(values, firsts) if known.ids[h[1]] == low + h[0]}
+    assert len(found) >= 0.95 * len(items)
+
+
 def test_blocks_give_the_same(spark, case, monkeypatch):
     items, docs = case
     benchmark = spark.createDataFrame(items, "item_id long, text string")

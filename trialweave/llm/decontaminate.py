@@ -2,17 +2,19 @@
 
 A window of a document and a window of an item are embedded by a CGK random walk: at step j the walk emits the word under its
 pointer and moves on by a random bit that depends on j and the word, so few edits become few differing steps. A
-repetition samples some steps; windows whose sampled steps agree are candidates, and several repetitions with walks and
-samples of their own reach the target recall. Candidates are decided by the exact edit distance of the whole item.
+repetition samples some steps; windows whose sampled steps agree are candidates, and as many repetitions with walks and samples of their
+own are made as reach the target recall in simulated windows at the edit bound. Candidates are decided by the exact edit distance of the whole item.
 
-Windows start at every word and are as long as the items of a length class. Before the walk a window must share as many runs of
-three words (of two for the shortest items) with the items of its class as the edit bound leaves in place, which loses no match.
+Windows start at every word and are as long as the items of a length class; those of items of `SPLIT` words and more are a whole part of that length, so
+that one of the parts that lie side by side has its share of the allowed edits at most. Before the walk a window must share as many runs of
+three words (of two for the shortest items) with the items of its class as that share leaves in place, which loses no match.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,10 @@ from trialweave.llm import words
 
 #: Benchmark bytes that go to every task at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 4 << 20
-REPETITIONS, SAMPLED = 12, 3
+#: Sampled steps of a repetition, the share of simulated matches that become candidates, simulated matches of a class, and the most repetitions.
+SAMPLED, RECALL, SIMULATED, MOST_REPETITIONS = 3, 0.99, 1000, 96
+#: Items of so many words and more are found by windows of a part of their length, each of at least half as many words.
+SPLIT = 24
 #: Text bytes that a task works on at once.
 SLICE_BYTES = 2 << 20
 
@@ -45,19 +50,45 @@ class Rule:
             length = longer
         return length
 
+    def searched(self, n: int) -> tuple[int, int]:
+        """Window length for items of n words, and the most edits of the best of the windows that lie side by side in such an item."""
+        low = self.window(n)
+        parts = max(1, low // (SPLIT // 2)) if low >= SPLIT else 1
+        return low // parts, self.allowed(self.next_window(low) - 1) // parts
+
     @staticmethod
     def next_window(length: int) -> int:
         return max(length + 1, length * 5 // 4)
 
 
-def _walks(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+@lru_cache(maxsize=None)
+def repetitions(length: int, edits: int) -> int:
+    """The fewest repetitions that make `RECALL` of simulated windows of distinct words with that many word edits a candidate."""
+    draw = np.random.default_rng((length, edits))
+    texts = []
+    for _ in range(SIMULATED):
+        item = draw.integers(0, 1 << 63, length, dtype=np.uint64)
+        changed = item.tolist()
+        for at in sorted(draw.choice(length, edits, replace=False).tolist(), reverse=True):
+            kind = draw.integers(0, 3)  # a replaced, a deleted or an inserted word
+            changed[at : at + (kind < 2)] = [] if kind == 1 else [int(draw.integers(0, 1 << 63))]
+        changed += draw.integers(0, 1 << 63, length, dtype=np.uint64).tolist()  # the words behind the passage
+        texts += [item, np.array(changed[:length], np.uint64)]
+    starts = np.arange(2 * SIMULATED) * length
+    found = _walks(np.concatenate(texts), starts, starts + length, length, MOST_REPETITIONS)
+    recall = np.maximum.accumulate(found[:, ::2] == found[:, 1::2], axis=0).mean(axis=1)
+    return int(np.argmax(recall >= RECALL)) + 1 if recall[-1] >= RECALL else MOST_REPETITIONS
+
+
+def _walks(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, repeated: int) -> np.ndarray:
     """(repetitions, windows): the signature of each window in each repetition, from the sampled steps of its walk of 2 * length steps."""
     draw = np.random.default_rng(length)
-    sampled = np.zeros((REPETITIONS, 2 * length), bool)
-    for repetition in sampled:
+    sampled = np.zeros((repeated, 2 * length), bool)
+    salts = np.empty((repeated, 2 * length), np.uint64)
+    for repetition, salt in zip(sampled, salts):
         repetition[draw.choice(2 * length, SAMPLED, replace=False)] = True
-    salts = draw.integers(0, 1 << 63, (REPETITIONS, 2 * length), dtype=np.uint64)
-    at = np.repeat(starts[None, :], REPETITIONS, axis=0)
+        salt[:] = draw.integers(0, 1 << 63, 2 * length, dtype=np.uint64)
+    at = np.repeat(starts[None, :], repeated, axis=0)
     out = np.full(at.shape, length, np.uint64)
     last = len(values) - 1
     for j in range(int(np.flatnonzero(sampled.any(axis=0))[-1]) + 1):
@@ -93,25 +124,24 @@ class Benchmark:
                     self.ids.append(ids[low + i])
                     self.items.append(values[firsts[i] : firsts[i + 1]].copy())
         self.classes = {}
-        for length in sorted({rule.window(len(x)) for x in self.items}):
-            mine = [i for i, x in enumerate(self.items) if rule.window(len(x)) == length]
+        for length, spoilt in sorted({rule.searched(len(x)) for x in self.items}):
+            mine = [i for i, x in enumerate(self.items) if rule.searched(len(x)) == (length, spoilt)]
             item = np.concatenate([np.full(len(self.items[i]) - length + 1, i) for i in mine])
             offset = np.concatenate([np.arange(len(self.items[i]) - length + 1) for i in mine])
             lengths = np.array([len(x) for x in self.items])
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             starts = begins[item] + offset
             values = np.concatenate(self.items)
-            spoilt = rule.allowed(rule.next_window(length) - 1)
             run = 3 if length - 2 - 3 * spoilt >= 2 else 2
             runs = np.concatenate([words.chained(self.items[i], run) for i in mine])
             mask = np.uint64((1 << max(16, (64 * len(runs)).bit_length())) - 1)
             known = np.zeros(int(mask) + 1, bool)
             known[runs & mask] = True
             tables = []
-            for signature in _walks(values, starts, starts + length, length):
+            for signature in _walks(values, starts, starts + length, length, repetitions(length, spoilt)):
                 order = np.argsort(signature, kind="stable")
                 tables.append((signature[order], item[order], offset[order]))
-            self.classes[length] = (spoilt, run, mask, known, tables)
+            self.classes[length, spoilt] = (run, mask, known, tables)
 
     def hits(self, values: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, distance) of every matching passage, each once, in order."""
@@ -121,8 +151,8 @@ class Benchmark:
         row_of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         row_end = firsts[1:][row_of]
         at, found = np.arange(n), set()
-        chained = {run: words.chained(values, run) for run in {c[1] for c in self.classes.values()}}
-        for length, (spoilt, run, mask, known, tables) in self.classes.items():
+        chained = {run: words.chained(values, run) for run in {c[0] for c in self.classes.values()}}
+        for (length, spoilt), (run, mask, known, tables) in self.classes.items():
             running = np.zeros(n + 1, np.int32)
             inside = max(0, n - run + 1)
             running[1 : inside + 1] = np.cumsum(known[chained[run] & mask], dtype=np.int32)
@@ -133,7 +163,7 @@ class Benchmark:
             if not len(starts):
                 continue
             candidates = set()
-            for mine, (signatures, item, offset) in zip(_walks(values, starts, ends[starts], length), tables):
+            for mine, (signatures, item, offset) in zip(_walks(values, starts, ends[starts], length, len(tables)), tables):
                 low, high = np.searchsorted(signatures, mine, "left"), np.searchsorted(signatures, mine, "right")
                 for k in np.flatnonzero(high > low):
                     s = int(starts[k])
