@@ -55,6 +55,12 @@ def test_constant_nodes_are_template_and_varying_ones_content(spark):
     assert all(t.startswith("Subscribe") for t in few)
 
 
+def test_a_stub_page_does_not_hide_the_template_of_its_host(spark):
+    stub = spark.createDataFrame([(90, "http://h.example/90", "<p>Gone</p>"), (91, "http://h.example/91", "<body></body>")], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in pages.extract_pages(make(spark, 12).union(stub)).collect()}
+    assert texts == {**{i: f"Story {i} is told here\nEnd of {i}" for i in range(12)}, 90: "Gone", 91: ""}
+
+
 def test_copies_of_a_page_are_no_template(spark):
     copies = make(spark, 1).crossJoin(spark.range(30)).selectExpr("id AS page_id", "url", "html")
     assert {r.text for r in pages.extract_pages(copies).collect()} == {"Subscribe to us today\nStory 0 is told here\nEnd of 0"}
