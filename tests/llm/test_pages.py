@@ -19,6 +19,14 @@ def test_furniture_goes_and_blocks_stay_in_order():
     assert pages.extract_text(PAGE) == "Head & line\nFirst bold text next\nSecond <x>\none\ntwo"
 
 
+def test_short_articles_and_what_is_beside_them_stay():
+    long = "word " * 100 + "end"
+    parts = f"<h1>Title</h1><article><p>Short one</p></article><article><p>{long}</p></article><p>Between</p><article><p>Last</p></article>"
+    want = f"Title\nShort one\n{long}\nBetween\nLast"
+    assert pages.extract_text(f"<body><main>{parts}</main></body>") == pages.extract_text(f"<body>{parts}</body>") == want
+    assert pages.extract_text("<body><main><p>In main</p></main><article><p>Beside</p></article></body>") == "In main\nBeside"
+
+
 def test_broken_markup():
     assert pages.extract_text(None) == pages.extract_text("") == ""
     assert pages.extract_text("just text &amp; more") == "just text & more"

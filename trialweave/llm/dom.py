@@ -185,23 +185,26 @@ def pruned(node: Node, in_article: bool = False) -> Node:
 
 
 def main_parts(tree: Node) -> list[Node]:
-    """The outermost articles with at least a quarter of the longest one's text; else the main element; else the body."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
+    """The outermost main elements and articles that have text, where the page has a main with text; else the body."""
+    found: dict[str, list[Node]] = {"main": [], "article": [], "body": []}
 
-    def look(node: Node, open_: frozenset[str]) -> None:
-        if node.tag in found and node.tag not in open_:
+    def look(node: Node, inside: bool, in_body: bool) -> None:
+        if node.tag in ("main", "article") and not inside:
             found[node.tag].append(node)
-            open_ = open_ | {node.tag}
+            order.append(node)
+            inside = True
+        if node.tag == "body" and not in_body:
+            found["body"].append(node)
+            in_body = True
         for child in node.children:
             if not isinstance(child, str):
-                look(child, open_)
-
-    look(tree, frozenset())
-    articles = [(a, length) for a in found["article"] if (length := _length(a))]
-    if articles:
-        most = max(n for _, n in articles)
-        return [a for a, n in articles if 4 * n >= most]
-    return found["main"] or found["body"] or [tree]
+                look(child, inside, in_body)
+
+    order: list[Node] = []
+    look(tree, False, False)
+    if any(_length(m) for m in found["main"]):
+        return [n for n in order if _length(n)]
+    return found["body"] or [tree]
 
 
 def _length(node: Node) -> int:
