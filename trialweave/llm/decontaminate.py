@@ -7,7 +7,8 @@ own are made as reach the target recall in simulated windows at the edit bound.
 
 Windows start at every word and are as long as the items of a length class; those of items of `SPLIT` words and more are a whole part of that length, so
 that one of the parts that lie side by side has its share of the allowed edits at most. Before the walk a window must share as many runs of
-three words (of two for the shortest items) with the items of its class as that share leaves in place, which loses no match.
+three words (of two for the shortest items) with the items of its class as that share leaves in place, and lie in a window as long as the class
+that does the same for all allowed edits, which loses no match.
 """
 
 from __future__ import annotations
@@ -124,24 +125,28 @@ class Benchmark:
                     self.ids.append(ids[low + i])
                     self.items.append(values[firsts[i] : firsts[i + 1]].copy())
         self.classes = {}
-        for length, spoilt in sorted({rule.searched(len(x)) for x in self.items}):
-            mine = [i for i, x in enumerate(self.items) if rule.searched(len(x)) == (length, spoilt)]
+        for whole in sorted({rule.window(len(x)) for x in self.items}):
+            mine = [i for i, x in enumerate(self.items) if rule.window(len(x)) == whole]
+            length, spoilt = rule.searched(whole)
             item = np.concatenate([np.full(len(self.items[i]) - length + 1, i) for i in mine])
             offset = np.concatenate([np.arange(len(self.items[i]) - length + 1) for i in mine])
             lengths = np.array([len(x) for x in self.items])
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             starts = begins[item] + offset
             values = np.concatenate(self.items)
-            run = 3 if length - 2 - 3 * spoilt >= 2 else 2
-            runs = np.concatenate([words.chained(self.items[i], run) for i in mine])
-            mask = np.uint64((1 << max(16, (64 * len(runs)).bit_length())) - 1)
-            known = np.zeros(int(mask) + 1, bool)
-            known[runs & mask] = True
+            filters = []
+            for of, lost in dict.fromkeys([(whole, rule.allowed(rule.next_window(whole) - 1)), (length, spoilt)]):
+                run = 3 if of - 2 - 3 * lost >= 2 else 2
+                runs = np.concatenate([words.chained(self.items[i], run) for i in mine])
+                mask = np.uint64((1 << max(16, (64 * len(runs)).bit_length())) - 1)
+                known = np.zeros(int(mask) + 1, bool)
+                known[runs & mask] = True
+                filters.append((of, lost, run, mask, known))
             tables = []
             for signature in _walks(values, starts, starts + length, length, repetitions(length, spoilt)):
                 order = np.argsort(signature, kind="stable")
                 tables.append((signature[order], item[order], offset[order]))
-            self.classes[length, spoilt] = (run, mask, known, tables)
+            self.classes[whole] = (length, filters, tables)
 
     def hits(self, values: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, distance) of every matching passage, each once, in order."""
@@ -151,15 +156,22 @@ class Benchmark:
         row_of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         row_end = firsts[1:][row_of]
         at, found = np.arange(n), set()
-        chained = {run: words.chained(values, run) for run in {c[0] for c in self.classes.values()}}
-        for (length, spoilt), (run, mask, known, tables) in self.classes.items():
-            running = np.zeros(n + 1, np.int32)
-            inside = max(0, n - run + 1)
-            running[1 : inside + 1] = np.cumsum(known[chained[run] & mask], dtype=np.int32)
-            running[inside + 1 :] = running[inside]
-            ends = np.minimum(at + length, row_end)
-            shared = running[np.maximum(ends - run + 1, at)] - running[:-1]
-            starts = np.flatnonzero((shared >= max(1, length - run + 1 - run * spoilt)) & (ends - at >= length - spoilt))
+        chained = {run: words.chained(values, run) for run in {f[2] for c in self.classes.values() for f in c[1]}}
+        for length, filters, tables in self.classes.values():
+            passed = np.ones(n, bool)
+            for of, lost, run, mask, known in filters:
+                running = np.zeros(n + 1, np.int32)
+                inside = max(0, n - run + 1)
+                running[1 : inside + 1] = np.cumsum(known[chained[run] & mask], dtype=np.int32)
+                running[inside + 1 :] = running[inside]
+                ends = np.minimum(at + of, row_end)
+                shared = running[np.maximum(ends - run + 1, at)] - running[:-1]
+                mine = (shared >= max(1, of - run + 1 - run * lost)) & (ends - at >= of - lost)
+                if of > length:  # a part can begin wherever it ends within the whole window and the words put into it
+                    before = np.concatenate([[0], np.cumsum(mine)])
+                    mine = before[1:] > before[np.maximum(at - (of - length + lost), 0)]
+                passed &= mine
+            starts = np.flatnonzero(passed)
             if not len(starts):
                 continue
             candidates = set()
