@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from trialweave.llm import lattice, token_counts
+from trialweave.llm import lattice, queries, token_counts
 from trialweave.llm.pieces import load_pieces
 from trialweave.llm.queries import PIECES
 
@@ -65,6 +65,14 @@ def test_the_lattice_is_the_librarys_and_comes_back(docs, pieces, unigram, monke
     encoded.unpersist()
 
 
+def test_the_query_decodes_each_row(spark, sf, pieces):
+    rows = queries.op3_sentencepiece(spark, sf).collect()
+    assert len(rows) == 200 and all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
+    own = spark.createDataFrame([*enumerate(TEXTS), (90, "its own \u2581 sign"), (None, "no id")], "doc_id long, text string")
+    got = {r.doc_id: r.round_trip for r in lattice.encode_and_decode(own, pieces).collect()}
+    assert got == {**{i: True for i in range(len(TEXTS))}, 90: False, None: True}
+
+
 def test_no_rows(nothing, pieces):
     assert token_counts.count_tokens(nothing, pieces).count() == 0
     assert lattice.encode(nothing, pieces).count() == 0

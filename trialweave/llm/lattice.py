@@ -184,16 +184,16 @@ class _Coder:
         return codes, order[new], place[new]
 
 
-def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, ids) for each row: the pieces of the text's best segmentation. Null texts have null ids, empty ones none.
 
-    Repeated rows and null keys keep their rows; only the two columns are read.
+    With `digest` a third column, digest, has xxhash64 of the text. Repeated rows and null keys keep their rows; only the two columns are read.
     """
     spark = docs.sparkSession
     pieces = piece_frame(spark, table)
     shared = spark.sparkContext.broadcast(_Coder(frequent_words(docs, text, pieces, table)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("key", "text", F.xxhash64("key", "text").alias("row"))
+    rows = rows.select("key", "text", F.xxhash64("key", "text").alias("row"), F.xxhash64("text").alias("digest"))
 
     def rare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
@@ -219,10 +219,10 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
                 codes = coder.codes(at, hashed)[0].astype(np.uint32)
                 ends = np.searchsorted(at, np.arange(high - low + 1))
                 bodies += [_pack(codes[ends[i] : ends[i + 1]]) if valid[low + i] else None for i in range(high - low)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary())], names=["key", "row", "body"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary()), part.column(3)], names=["key", "row", "body", "digest"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    bodies = rows.select("key", "row", "text").mapInArrow(coded, f"key {kind}, row long, body binary")
+    bodies = rows.select("key", "row", "text", "digest").mapInArrow(coded, f"key {kind}, row long, body binary, digest long")
 
     def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
@@ -234,10 +234,11 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
                     own, sizes = some.column(2)[i].values, some.column(3)[i].values
                     none = np.zeros(0, np.int32)
                     out.append(None if body is None else _spell(_unpack(body), coder, none if own is None else own.to_numpy(), none if sizes is None else sizes.to_numpy()))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.int32())), some.column(4)], names=["key", "ids", "digest"])
 
-    together = bodies.join(answers, "row", "left").select("key", "body", "own", "sizes")
-    return together.mapInArrow(joined, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    together = bodies.join(answers, "row", "left").select("key", "body", "own", "sizes", "digest")
+    out = together.mapInArrow(joined, f"key {kind}, ids array<int>, digest long")
+    return (out if digest else out.drop("digest")).withColumnRenamed("key", key)
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -267,21 +268,43 @@ def _spell(codes: np.ndarray, coder: _Coder, own: np.ndarray, own_sizes: np.ndar
     return out
 
 
+def encode_and_decode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, round_trip): `encode`, and whether the ids of the row decode to its text (compared by 64-bit digests)."""
+    encoded = encode(docs, table, key, text, digest=True)
+    shared = encoded.sparkSession.sparkContext.broadcast(_names(table))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for low in range(0, len(part), 256):
+                some = part.slice(low, 256)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(_texts(some.column(1), shared.value), pa.string())], names=["key", "ids", "digest", "text"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    both = encoded.select(F.col(key).alias("key"), "ids", "digest").mapInArrow(batches, f"key {kind}, ids array<int>, digest long, text string")
+    return both.select(F.col("key").alias(key), "ids", (F.xxhash64("text") == F.col("digest")).alias("round_trip"))
+
+
+def _names(table: PieceTable) -> dict[int, bytes]:
+    return {i: p.replace(SPACE, " ").encode() for p, (i, _) in table.pieces.items()} | {i: bytes([b]) for b, i in enumerate(table.bytes)}
+
+
+def _texts(ids: pa.ListArray, names: dict[int, bytes]) -> list[str | None]:
+    name = names.__getitem__
+    return [None if row is None else b"".join(map(name, row)).decode("utf-8", "replace")[1:] for row in ids.to_pylist()]
+
+
 def decode(encoded: DataFrame, table: PieceTable, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) for each row: the pieces joined, byte pieces read as UTF-8, U+2581 as a space, without the space put in front.
 
     Null ids give a null text. encode and decode give back every text that has no U+2581 of its own (which reads as a space). An id that is no piece fails.
     """
-    names = {i: p.replace(SPACE, " ").encode() for p, (i, _) in table.pieces.items()} | {i: bytes([b]) for b, i in enumerate(table.bytes)}
-    shared = encoded.sparkSession.sparkContext.broadcast(names)
+    shared = encoded.sparkSession.sparkContext.broadcast(_names(table))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = shared.value.__getitem__
         for part in parts:
             for low in range(0, len(part), 512):
                 some = part.slice(low, 512)
-                texts = [None if row is None else b"".join(map(name, row)).decode("utf-8", "replace")[1:] for row in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(_texts(some.column(1), shared.value), pa.string())], names=["key", "text"])
 
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     return rows.mapInArrow(batches, f"key {rows.schema['key'].dataType.simpleString()}, text string").withColumnRenamed("key", key)

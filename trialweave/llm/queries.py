@@ -141,4 +141,4 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return lattice.encode(table(spark, folder, "documents"), load_pieces(PIECES)).withColumn("n_pieces", F.size("ids"))
+    return lattice.encode_and_decode(table(spark, folder, "documents"), load_pieces(PIECES)).withColumn("n_pieces", F.size("ids"))
