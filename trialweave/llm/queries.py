@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.llm import decontaminate, lattice, licences, line_dedup, neighbours, ngram_join, pages, quality, shards, token_counts
+from trialweave.llm import centroids, decontaminate, lattice, length_buckets, licences, line_dedup, neighbours, ngram_join, pages, quality, shards, spelling, token_counts
 from trialweave.llm.pieces import load_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,76 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.encode_and_decode(table(spark, folder, "documents"), load_pieces(PIECES)).withColumn("n_pieces", F.size("ids"))
+
+
+_RUN_CRC = _CRC.replace("coalesce(text, '')", "doc_id || ':' || run")
+
+
+@query(f"""
+    WITH RECURSIVE bits AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_table),
+    runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    counted AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+    hashed AS (SELECT run, c, xor({_RUN_CRC}, 4294967295) AS h FROM counted, bits),
+    edited AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+    vocabulary AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+    cuts AS MATERIALIZED (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM vocabulary)),
+    near AS (
+        SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cuts a JOIN vocabulary b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cuts a JOIN vocabulary b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS b FROM near GROUP BY word),
+    forms AS MATERIALIZED (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 10 * v.n THEN b.near END AS form, CASE WHEN -b.less >= 10 * v.n THEN -b.less END AS form_n
+        FROM vocabulary v LEFT JOIN best USING (word)),
+    steps AS (
+        SELECT word, word AS root, form AS next FROM forms
+        UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN forms f ON s.next = f.word)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM steps WHERE next IS NULL) USING (word)""")
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
+_FINITE = "list_count({0}) = len({0}) AND len(list_filter({0}, lambda x: NOT isfinite(x))) = 0"
+_FLOORED = "list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)"
+
+
+@query(f"""
+    WITH kept AS (SELECT vec_id, {_FLOORED} AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_FINITE.format("embedding")}),
+    scores AS (
+        SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i]))::BIGINT AS score
+        FROM kept q JOIN kept r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
+def op11_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all others."""
+    return length_buckets.search(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """A pair of steps for each round: the assignment of every vector, and the centroids that follow from it."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+            SELECT row_id, min({{'d': d, 'c': c}}) AS best FROM (
+                SELECT row_id, c, sum((x - y) * (x - y))::BIGINT AS d FROM parts JOIN c{r} USING (j) GROUP BY row_id, c) GROUP BY row_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+            SELECT c{r}.c, c{r}.j, coalesce(m.y, c{r}.y) AS y FROM c{r} LEFT JOIN (
+                SELECT best.c AS c, j, floor(sum(x)::DECIMAL(38, 0) / count(*))::BIGINT AS y FROM parts JOIN a{r} USING (row_id) GROUP BY ALL) m ON c{r}.c = m.c AND c{r}.j = m.j)""")
+    return ",\n    ".join(steps)
+
+
+@query(f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, {_FLOORED} AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE.format("embedding")}),
+    first AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 8),
+    parts AS MATERIALIZED (SELECT row_id, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM kept),
+    c0 AS MATERIALIZED (SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS j FROM first),
+    {_rounds_sql(10)},
+    digests AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c10 GROUP BY c)
+    SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia, centroid_sha256
+    FROM a10 JOIN kept USING (row_id) JOIN digests ON digests.c = best.c""")
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, folder, "embeddings"))
