@@ -13,7 +13,7 @@ that does the same for all allowed edits, which loses no match.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,8 +30,8 @@ BLOCK_BYTES = 4 << 20
 SAMPLED, RECALL, SIMULATED, MOST_REPETITIONS = 3, 0.99, 1000, 96
 #: Items of so many words and more are found by windows of a part of their length, each of at least half as many words.
 SPLIT = 24
-#: Text bytes that a task works on at once.
-SLICE_BYTES = 2 << 20
+#: Text bytes that a task works on at once, and windows times repetitions that are walked at once.
+SLICE_BYTES, WALK_CELLS = 2 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -82,22 +82,36 @@ def repetitions(length: int, edits: int) -> int:
 
 
 def _walks(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, repeated: int) -> np.ndarray:
-    """(repetitions, windows): the signature of each window in each repetition, from the sampled steps of its walk of 2 * length steps."""
+    """(repetitions, windows): the signature of each window in each repetition, from the sampled steps of its walk of 2 * length steps.
+
+    A repetition walks up to its last sampled step only, and windows are walked in chunks of bounded size. The random bit of a step is the
+    top bit of the word's hash times an odd number of that step.
+    """
     draw = np.random.default_rng(length)
     sampled = np.zeros((repeated, 2 * length), bool)
-    salts = np.empty((repeated, 2 * length), np.uint64)
-    for repetition, salt in zip(sampled, salts):
+    odd, salts = np.empty((2, repeated, 2 * length), np.uint64)
+    for i, repetition in enumerate(sampled):
         repetition[draw.choice(2 * length, SAMPLED, replace=False)] = True
-        salt[:] = draw.integers(0, 1 << 63, 2 * length, dtype=np.uint64)
-    at = np.repeat(starts[None, :], repeated, axis=0)
-    out = np.full(at.shape, length, np.uint64)
+        odd[i] = draw.integers(0, 1 << 63, 2 * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        salts[i] = draw.integers(0, 1 << 63, 2 * length, dtype=np.uint64)
+    ends_at = 2 * length - np.argmax(sampled[:, ::-1], axis=1)  # steps of each repetition
+    order = np.argsort(-ends_at, kind="stable")
+    sampled, odd, salts, ends_at = sampled[order], odd[order], salts[order], ends_at[order]
+    out = np.empty((repeated, len(starts)), np.uint64)
+    step = max(1, WALK_CELLS // max(1, repeated))
     last = len(values) - 1
-    for j in range(int(np.flatnonzero(sampled.any(axis=0))[-1]) + 1):
-        word = np.where(at < ends, values[np.minimum(at, last)], np.uint64(0))
-        if sampled[:, j].any():
-            emits = sampled[:, j]
-            out[emits] = words.mix(out[emits] * np.uint64(0x9E3779B97F4A7C15) + word[emits])
-        at += (words.mix(word ^ salts[:, j, None]) >> np.uint64(63)).astype(np.int64)
+    for low in range(0, len(starts), step):
+        at = np.repeat(starts[None, low : low + step], repeated, axis=0)
+        stop = ends[low : low + step]
+        signature = np.full(at.shape, length, np.uint64)
+        for j in range(int(ends_at[0])):
+            walking = int(np.searchsorted(-ends_at, -j))  # repetitions with more than j steps
+            here = at[:walking]
+            word = np.where(here < stop, values[np.minimum(here, last)], np.uint64(0))
+            for i in np.flatnonzero(sampled[:walking, j]):
+                signature[i] = words.mix(signature[i] * np.uint64(0x9E3779B97F4A7C15) + word[i])
+            here += ((word * odd[:walking, j, None] + salts[:walking, j, None]) >> np.uint64(63)).astype(np.int64)
+        out[order, low : low + step] = signature
     return out
 
 
@@ -124,6 +138,7 @@ class Benchmark:
                 if firsts[i + 1] - firsts[i] >= rule.least_words:
                     self.ids.append(ids[low + i])
                     self.items.append(values[firsts[i] : firsts[i + 1]].copy())
+        self.words = [x.tolist() for x in self.items]
         self.classes = {}
         for whole in sorted({rule.window(len(x)) for x in self.items}):
             mine = [i for i, x in enumerate(self.items) if rule.window(len(x)) == whole]
@@ -174,27 +189,31 @@ class Benchmark:
             starts = np.flatnonzero(passed)
             if not len(starts):
                 continue
-            candidates = set()
+            longest = max(len(x) for x in self.items)
+            candidates = []
             for mine, (signatures, item, offset) in zip(_walks(values, starts, ends[starts], length, len(tables)), tables):
                 low, high = np.searchsorted(signatures, mine, "left"), np.searchsorted(signatures, mine, "right")
-                for k in np.flatnonzero(high > low):
-                    s = int(starts[k])
-                    candidates.update((int(row_of[s]), int(i), s - int(o)) for i, o in zip(item[low[k] : high[k]], offset[low[k] : high[k]]))
-            found |= self._verified(values, firsts, sorted(candidates))
+                alike = high - low
+                s = np.repeat(starts, alike)
+                at_table = np.arange(len(s)) + np.repeat(low - np.cumsum(alike) + alike, alike)
+                candidates.append(np.unique((row_of[s] * len(self.items) + item[at_table]) * (n + longest) + s - offset[at_table] + longest))
+            number, begin = np.divmod(np.unique(np.concatenate(candidates)), n + longest)
+            found |= self._verified(values, firsts, zip(*(x.tolist() for x in (*np.divmod(number, len(self.items)), begin - longest))))
         return sorted(found)
 
-    def _verified(self, values: np.ndarray, firsts: np.ndarray, candidates: list[tuple[int, int, int]]) -> set:
-        """Exact matches near candidates (row, item, first word of the item); candidates a few words apart are one region."""
+    def _verified(self, values: np.ndarray, firsts: np.ndarray, candidates: Iterable[tuple[int, int, int]]) -> set:
+        """Exact matches near candidates (row, item, first word of the item), in order; candidates a few words apart are one region."""
         found, done = set(), (-1, -1, 0)
         for row, i, at in candidates:
-            item, begin, stop = self.items[i], int(firsts[row]), int(firsts[row + 1])
-            allowed = self.rule.allowed(len(item))
             if done[:2] == (row, i) and at <= done[2]:
                 continue
+            item, begin, stop = self.items[i], int(firsts[row]), int(firsts[row + 1])
+            allowed = self.rule.allowed(len(item))
             done = (row, i, at + allowed)
             low = max(begin, at - allowed)
             region = values[low : min(stop, at + len(item) + 2 * allowed)]
-            if np.isin(item, region).sum() < len(item) - allowed:
+            there = set(region.tolist())
+            if sum(word in there for word in self.words[i]) < len(item) - allowed:
                 continue  # each word that the region lacks is an edit
             distance, end = edit_distance(item, region)
             if distance <= allowed:
