@@ -30,6 +30,8 @@ BITS = 1024
 #: Parts beyond the differences that a pair can have, as a least number and a share: parts with few shingles, which frequent
 #: shingles would fill alike in many sets, are left out while there are no more of them than these.
 SPARE, SPARE_SHARE = 2, 0.15
+#: First tiles of a set by which a pair's later meetings are known.
+HEADS = 8
 #: Ids that are broadcast to select documents; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -214,11 +216,17 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, share: tuple[int,
     )
     # A stray has another component than its tile's smallest member, which it has been compared with.
     split = placed.where("root <> least_root").select("tile").distinct()
-    mixed = placed.where("NOT is_least").join(split, "tile", "left_semi").join(cards.drop("holder"), "class")
-    mixed = cut_lineage(mixed.withColumn("stray", F.col("root") != F.col("least_root")).drop("least_root", "is_least"))
+    mixed = placed.where("NOT is_least").join(split, "tile", "left_semi").select("tile", "class", "root", (F.col("root") != F.col("least_root")).alias("stray"))
+    mixed = cut_lineage(mixed)
+    # Near copies meet in many tiles. A pair that meets in one of the first tiles of both its members makes its row in the first such tile only.
+    first = F.slice(F.sort_array(F.collect_list(F.struct("tile", "stray"))), 1, HEADS)
+    heads = mixed.groupBy("class").agg(first.alias("first")).select("class", F.col("first.tile").alias("any_head"), F.filter("first", lambda x: x["stray"])["tile"].alias("stray_head"))
+    mixed = cut_lineage(mixed.join(heads, "class").join(cards.drop("holder"), "class"))
     others = (F.col("l.tile") == F.col("r.tile")) & (F.col("l.root") != F.col("r.root")) & (~F.col("r.stray") | (F.col("l.class") < F.col("r.class")))
+    meets = F.array_union(F.array_intersect("l.stray_head", "r.any_head"), F.array_intersect("l.any_head", "r.stray_head"))
+    once = F.coalesce(F.array_min(meets), F.col("l.tile")) >= F.col("l.tile")
     rest = (
-        mixed.where("stray").alias("l").join(mixed.alias("r"), others & _bound(share))
+        mixed.where("stray").alias("l").join(mixed.alias("r"), others & _bound(share) & once)
         .select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b")).distinct()
     )
     more = cut_lineage(_verified(rest, cards, docs, key, text, n, share))
