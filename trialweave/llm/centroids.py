@@ -72,7 +72,7 @@ def _assigned(rows: DataFrame, dimension: int, before: np.ndarray, after: np.nda
 
 def _sums(state: DataFrame, dimension: int) -> dict[int, tuple[int, list[int]]]:
     """Count and component sums of each non-empty cluster; partial sums are made before the shuffle, so a large cluster needs no split."""
-    sums = [F.sum(F.col("v")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(dimension)]
+    sums = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(dimension)]
     return {r[0]: (r[1], [int(x) for x in r[2:]]) for r in state.groupBy("cluster").agg(F.count("*"), *sums).collect()}
 
 
