@@ -8,50 +8,11 @@ to at most eight others and not each voxel to 26.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 AXES = ["z", "y", "x"]
 
 
-def _field(array: str, name: str) -> Column:
-    """One field of an array of structs as an array of its own, built once per line."""
-    return F.transform(array, lambda e: e[name])
-
-
-def along_axis(
-    df: DataFrame,
-    keys: list[str],
-    axis: str,
-    inputs: list[str],
-    outputs: Callable[[dict[str, Column]], dict[str, Column]],
-    per_image: list[str] | None = None,
-) -> DataFrame:
-    """Rewrite every line along one axis on a new grid: outputs maps the input arrays to new arrays.
-
-    The voxels of a line are taken in coordinate order and numbered from 0 in the result, so lines must have no gaps
-    (quarantine reports them). per_image names columns that are constant per image and stay available to outputs.
-    """
-    others = [a for a in AXES if a != axis]
-    constant = per_image or []
-    lines = df.groupBy(*keys, *others).agg(
-        F.array_sort(F.collect_list(F.struct(axis, *inputs))).alias("line"),
-        *[F.first(c).alias(c) for c in constant],
-    )
-    arrays = lines.select(
-        *keys, *others, *constant, *[_field("line", c).alias(c) for c in inputs]
-    )
-    results = outputs({c: F.col(c) for c in inputs})
-    named = arrays.select(*keys, *others, *constant, *[array.alias(f"_{n}") for n, array in results.items()])
-    exploded = named.select(
-        *keys, *others, *constant, F.posexplode(F.arrays_zip(*[f"_{n}" for n in results])).alias(axis, "voxel")
-    )
-    return exploded.select(
-        *keys, *AXES, *constant, *[F.col(f"voxel._{n}").alias(n) for n in results]
-    )
-
-
 def grey_lines(levels: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, z, y, x0, g): grey levels along x from x0 on, null where a voxel is not in the region."""
     cells = levels.groupBy(*keys, "z", "y").agg(F.array_sort(F.collect_list(F.struct("x", "g"))).alias("cells"))

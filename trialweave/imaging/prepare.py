@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialweave.imaging.lines import AXES, along_axis
+from trialweave.imaging.bricks import CONSTANTS, SIZE, Made, Stack, bounds, brick_of, over_bricks, with_extents
+from trialweave.imaging.lines import AXES
 from trialweave.operators.relational import join_spread
+from trialweave.session import cut_lineage
 
 
 def voxel_mask(df: DataFrame, label: int = 1) -> DataFrame:
@@ -97,39 +100,52 @@ def resample_plan(df: DataFrame, target: float = 1.0) -> DataFrame:
     return df
 
 
-def _source(i: Column, n_in: Column, n_out: Column) -> Column:
-    """Position in the old line of point i of the new one; first and last points coincide."""
-    return F.when(n_out > 1, i.cast("double") * (n_in - 1) / (n_out - 1)).otherwise(F.lit(0.0))
+def _needed(axis: str, size: int) -> Column:
+    """Bricks of the new grid with a point that a voxel of the old one can take part in: those around its place, with a point to spare on both sides."""
+    i, n_in, n_out = F.col(axis) - F.col(f"o_{axis}"), F.col(f"n_{axis}"), F.col(f"new_n_{axis}")
+    ratio = (n_out - 1).cast("double") / F.nullif(n_in - 1, F.lit(0))
+    low = F.greatest(F.coalesce(F.ceil((i - 1) * ratio) - 1, F.lit(0)), F.lit(0))
+    high = F.least(F.coalesce(F.floor((i + 1) * ratio) + 1, n_out - 1), n_out - 1)
+    met = F.sequence(brick_of(low, n_out, size), brick_of(high, n_out, size))
+    return F.when((n_out > 0) & (low <= high), met).otherwise(F.array().cast("array<int>"))
 
 
-def resample_volume(voxels: DataFrame, plan: DataFrame) -> DataFrame:
-    """Image by linear, mask by nearest interpolation on the grid of the plan, one axis after the other.
+def _sources(points: np.ndarray, n_in: int, n_out: int) -> np.ndarray:
+    """Positions in the old line of points of the new one; first and last points coincide."""
+    return points.astype(float) * (n_in - 1) / (n_out - 1) if n_out > 1 else np.zeros(len(points))
 
-    Only images with valid extents in the plan have a grid; quarantine with the plan reports the others.
 
-    Linear interpolation in space is the product of the three axes, so three passes over lines replace the
-    eight-corner lookup.
+def resample_volume(voxels: DataFrame, plan: DataFrame, size: int = SIZE) -> DataFrame:
+    """(image_name, z, y, x, value, mask): image by linear, mask by nearest interpolation on the grid of the plan (image_name, new_n_z, new_n_y, new_n_x).
+
+    Only images with valid extents in the plan have a grid; quarantine with the plan reports the others. The new grid is cut into bricks, and a
+    voxel goes to those whose points lie beside it, so all three axes take one shuffle. Linear interpolation in space is the product of the
+    three axes, done one after the other. A point beside a missing voxel has no value.
     """
     sizes = [f"new_n_{a}" for a in AXES]
-    df = join_spread(voxels, plan.select("image_name", *sizes), ["image_name"], AXES)
-    for axis in AXES:
-
-        def stretched(line: dict[str, Column], axis: str = axis) -> dict[str, Column]:
-            value, mask, n_out = line["value"], line["mask"], F.col(f"new_n_{axis}")
-            n_in = F.size(value)
-            points = F.when(n_out > 0, F.sequence(F.lit(0), n_out - 1)).otherwise(F.array().cast("array<int>"))
-
-            def linear(i: Column) -> Column:
-                at = _source(i, n_in, n_out)
-                low = F.floor(at).cast("int")
-                high = F.least(low + 1, n_in - 1)
-                weight = at - low
-                return F.get(value, low) * (1 - weight) + F.get(value, high) * weight
+    grid = cut_lineage(plan.select("image_name", *sizes))
+    known = with_extents(voxels.select("image_name", *AXES, F.col("value").cast("double").alias("value"), "mask"), ["image_name"]).join(grid, "image_name")
 
-            def nearest(i: Column) -> Column:
-                return F.get(mask, F.floor(_source(i, n_in, n_out) + 0.5).cast("int"))
-
-            return {"value": F.transform(points, linear), "mask": F.transform(points, nearest)}
-
-        df = along_axis(df, ["image_name"], axis, ["value", "mask"], stretched, per_image=sizes)
-    return df.drop(*sizes)
+    def brick(stack: Stack) -> Made:
+        own, low, high, weight, nearest = {}, {}, {}, {}, {}
+        for a in AXES:
+            n_in, n_out = stack.cells[f"n_{a}"], stack.extents[a]
+            own[a] = np.arange(*bounds(stack.numbers[a], n_out, size))
+            at = _sources(own[a], n_in, n_out)
+            low[a] = np.floor(at).astype(np.int64)
+            high[a] = np.minimum(low[a] + 1, n_in - 1)
+            weight[a] = at - low[a]
+            nearest[a] = np.floor(at + 0.5).astype(np.int64)
+        both = {a: np.concatenate([low[a], high[a]]) for a in AXES}
+        wide, _ = stack.dense(both, ["value"])
+        value = wide["value"]
+        for k, a in enumerate(AXES):
+            n = len(own[a])
+            w = weight[a].reshape((1,) * (k + 1) + (n,) + (1,) * (2 - k))
+            value = np.take(value, np.arange(n), axis=k + 1) * (1 - w) + np.take(value, np.arange(n, 2 * n), axis=k + 1) * w
+        mask, _ = stack.dense(nearest, ["mask"])
+        return own, {"value": value, "mask": mask["mask"]}, np.ones(value.shape, bool)
+
+    targets = {a: _needed(a, size) for a in AXES}
+    out = over_bricks(known, ["image_name"], [*CONSTANTS, *sizes], {a: f"new_n_{a}" for a in AXES}, targets, ["value"], ["value"], brick, origin=False)
+    return out.select("image_name", *AXES, "value", "mask")
