@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave import fixtures as fx
 from trialweave.imaging import extract as ex
+from trialweave.imaging import extraction as job
 from trialweave.imaging import filters as fl
 from trialweave.imaging import intensity as it
 from trialweave.imaging import prepare as pr
@@ -13,6 +14,7 @@ from trialweave.imaging import texture as tx
 from trialweave.operators.relational import slice_thickness
 from trialweave.plans import image_sql as sql
 from trialweave.plans.catalog import query
+from trialweave.session import scratch_path
 
 KEY = ["image_name"]
 VOXELS = fx.with_views("voxels")
@@ -217,8 +219,8 @@ def filter_wavelet(spark: SparkSession, sf: str) -> DataFrame:
     return filtered.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
-def _extract_sql(classes: list[str], sigmas: list[float], wavelet_levels: int) -> str:
-    """All derived images under one key, every class once over them, then one column per feature."""
+def _derived_ctes(classes: list[str], sigmas: list[float], wavelet_levels: int) -> list[str]:
+    """All derived images under one key, and every class once over them."""
     derived = [
         """SELECT image_name || '|original' AS image_name, z, y, x, "value"::DOUBLE AS "value", mask FROM voxels"""
     ]
@@ -239,6 +241,11 @@ def _extract_sql(classes: list[str], sigmas: list[float], wavelet_levels: int) -
     for family in classes:
         ctes += sql.class_ctes(family)
     ctes.append(f"shape_roi AS (SELECT * FROM voxels WHERE mask = 1), {sql.SHAPE_CTES.replace('FROM roi', 'FROM shape_roi')}")
+    return ctes
+
+
+def _extract_sql(classes: list[str], sigmas: list[float], wavelet_levels: int) -> str:
+    ctes = _derived_ctes(classes, sigmas, wavelet_levels)
     columns, joins = [], ""
     for image in ex.image_types(sigmas, wavelet_levels):
         for family in classes:
@@ -265,3 +272,41 @@ def extract_features(spark: SparkSession, sf: str) -> DataFrame:
 def extract_features_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Every image type with the first-order class."""
     return _extract(spark, sf, ["firstorder"], [1.0, 2.0], 2)
+
+
+def _job_sql(settings: job.Settings) -> str:
+    """Usable images, normalised, under the name that the derived images start from; a row for each image and type, and the others with their reason."""
+    head = fx.with_views("voxels", "masks").replace("voxels AS (", "given AS (").replace("FROM voxels", "FROM given")
+    prepared = f"""sized AS (SELECT image_name, count(*) AS n, count(*) FILTER (mask = 1) AS nr, avg("value") AS m, stddev_pop("value") AS d FROM given GROUP BY 1),
+    faults AS (SELECT image_name, CASE WHEN n IS NULL OR n <> nm THEN 'geometry' WHEN nr = 0 THEN 'empty mask' WHEN nr = 1 THEN 'single voxel' END AS reason
+      FROM (SELECT image_name, count(*) AS nm FROM masks GROUP BY 1) LEFT JOIN sized USING (image_name)),
+    voxels AS MATERIALIZED (SELECT image_name, z, y, x, (("value" - m) / d) * {settings.scale}::DOUBLE AS "value", mask
+      FROM given JOIN sized USING (image_name) JOIN faults USING (image_name) WHERE reason IS NULL)"""
+    ctes = _derived_ctes(settings.classes, settings.sigmas, settings.wavelet_levels)
+    columns, joins = [], ""
+    for family in settings.classes:
+        joins += f" LEFT JOIN {family}_t ON {family}_t.image_name = u.image_name"
+        columns += [f'{sql.single(f"{family}_t.{chr(34)}{n}{chr(34)}")} AS "{family}_{n}"' for n in sql.names_of(family)]
+    columns += [f'{sql.single(f"shape_t.{chr(34)}{n}{chr(34)}")} AS "shape_{n}"' for n in it.SHAPE]
+    joins += " LEFT JOIN shape_t ON shape_t.image_name || '|original' = u.image_name"
+    nulls = ", ".join(f'NULL AS "{c}"' for c in [*[f"{f}_{n}" for f in settings.classes for n in sql.names_of(f)], *[f"shape_{n}" for n in it.SHAPE]])
+    return f"""{head}, {prepared}, {', '.join(ctes)}, units AS (SELECT DISTINCT image_name FROM derived)
+    SELECT split_part(u.image_name, '|', 1) AS image_name, split_part(u.image_name, '|', 2) AS filter, NULL AS reason, {', '.join(columns)} FROM units u{joins}
+    UNION ALL SELECT image_name, NULL, reason, {nulls} FROM faults WHERE reason IS NOT NULL"""
+
+
+JOB = job.Settings()
+
+
+@query(_job_sql(JOB))
+def extraction_job(spark: SparkSession, sf: str) -> DataFrame:
+    """All image types times all classes of the usable images, normalised, and the others with their reason; the finished job is run a second time."""
+    path = scratch_path(spark, "extraction")
+    voxels, masks = fx.voxels(spark, sf), fx.masks(spark, sf)
+    job.run(voxels, masks, path, JOB)
+    if job.run(voxels, masks, path, JOB):
+        raise AssertionError("a second run found work")
+    done = job.features(spark, path, JOB)
+    rounded = [(F.round(F.col(c) * (1 + 1e-12), 9) + F.lit(0.0)).cast("float").cast("double").alias(c) for c in JOB.columns()]
+    listed = job.quarantined(spark, path).withColumn("filter", F.lit(None).cast("string"))
+    return done.withColumn("reason", F.lit(None).cast("string")).select("image_name", "filter", "reason", *rounded).unionByName(listed, allowMissingColumns=True)
