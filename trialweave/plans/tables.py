@@ -53,6 +53,21 @@ def scan_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return mf.parse_paths(files, r"^ct/([^/]+)/([^/]+)/([^/]+)$", ["pid", "scan_date", "name"])
 
 
+@query(
+    """SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS status, count(*) AS n_rows
+    FROM orders GROUP BY ALL"""
+)
+def scan_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """A real tree month=/status= in the scratch folder is listed in tasks; hidden files and marks are skipped, the files that are left are read."""
+    root = scratch_path(spark, "orders-tree")
+    orders = fx.table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderstatus").alias("status"), "o_orderkey")
+    orders.write.partitionBy("month", "status").parquet(root)
+    files = mf.manifest(spark, root, r"/month=([^/]+)/status=([^/]+)/[^/]+$", ["month", "status"], tasks=16)
+    files = mf.with_suffix(mf.skip_hidden(files), ".parquet")
+    counted = spark.read.parquet(root).groupBy("month", "status").agg(F.count("*").alias("n_rows"))
+    return files.select("month", "status").distinct().join(counted.withColumn("month", F.col("month").cast("string")), ["month", "status"])
+
+
 @query(fx.with_views("paths") + " SELECT path, name FROM paths WHERE name NOT LIKE '.%'")
 def manifest_skip_hidden(spark: SparkSession, sf: str) -> DataFrame:
     return mf.skip_hidden(fx.paths(spark, sf).select("path", "name"))

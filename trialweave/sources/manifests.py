@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trialweave.sources.listing import list_folder
+
 
-def manifest(spark: SparkSession, root: str, pattern: str, names: list[str], glob: str = "*") -> DataFrame:
-    """Files under root, with the groups of pattern as columns; file contents are never read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .select("path", "length")
-    )
-    return parse_paths(files, pattern, names)
+def manifest(spark: SparkSession, root: str, pattern: str, names: list[str], glob: str = "*", tasks: int = 64, depth: int = 1) -> DataFrame:
+    """(path, name, length, modified) of the files under root whose name matches glob, with the groups of pattern as columns. Folders are
+    listed in tasks and contents are never read."""
+    files = list_folder(spark, root, tasks, depth)
+    return parse_paths(files if glob == "*" else files.filter(F.col("name").rlike(fnmatch.translate(glob))), pattern, names)
 
 
 def parse_paths(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
