@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -164,3 +164,33 @@ def test_svm_grid_points_fit(data):
     build = lambda p: Pipeline(stages=models.svm_stages(140, iterations=5, size=32, **p))
     table, _ = models.tune(encode.preprocessor(NUMERIC, [], scale=True), build, points, folded, "accuracy", "fold")
     assert table.count() == 4 and table.agg(F.min("metric")).first()[0] > 0.5
+
+
+def test_the_first_trees_are_the_model_of_so_many_rounds(spark):
+    """One boosted fit answers every smaller number of rounds, in a pipeline too; a forest's first trees are a forest."""
+    draw = np.random.default_rng(8)
+    rows = [(i, int(a + b * b + draw.normal(0, 0.3) > 0.5), float(a), float(b)) for i, (a, b) in enumerate(draw.random((300, 2)))]
+    frame = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "id int, label int, a double, b double").coalesce(1)).cache()
+    whole = models.boosted_classifier(rounds=9, depth=3, rate=0.2).fit(frame)
+    few = models.boosted_classifier(rounds=4, depth=3, rate=0.2).fit(frame)
+
+    def scores(model):
+        return [(r.id, r.prediction, r.prob) for r in models.score_table(model, frame, ["id"]).orderBy("id").collect()]
+
+    assert scores(models.shortened(whole, 4)) == scores(few) != scores(whole)
+    assert scores(models.shortened(whole, 9)) == scores(whole)
+    forest = models.forest_classifier(6, seed=1, maxDepth=3).fit(frame)
+    first = models.shortened(forest, 2)
+    assert first.getNumTrees == len(first.trees) == 2 and [t.toDebugString for t in first.trees] == [t.toDebugString for t in forest.trees[:2]]
+    assert len(scores(models.shortened(PipelineModel([forest]), 3))) == 300
+    regressor = models.boosted_regressor(rounds=5, depth=2, label="a").fit(frame)
+    assert len(models.shortened(regressor, 2).trees) == 2
+
+
+def test_grids_need_fewer_fits_than_points():
+    fits = {name: len(models._fits(models.grid_points(grid), models.with_depth if "maxDepth" in grid else dict)) for name, grid in models.GRIDS.items() if name != "svm"}
+    assert fits == {"gbt": 12, "gbt_sampled": 8, "gbt_target_encoded": 6, "forest": 9}
+    points = models.grid_points(models.GRIDS["gbt"])
+    for most, answered in models._fits(points, dict):
+        assert most["maxIter"] == 200 and sorted(t for _, t in answered) == [50, 100, 200]
+        assert all({**points[n], "maxIter": 0} == {**most, "maxIter": 0} for n, _ in answered)

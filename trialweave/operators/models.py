@@ -16,18 +16,20 @@ import pandas as pd
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -256,30 +258,93 @@ def evaluator(metric: str, label: str = "label") -> Evaluator:
     return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
 
 
+def shortened(model: Transformer, trees: int) -> Transformer:
+    """The ensemble of the first trees of a fitted one, as the last stage where the model is a pipeline.
+
+    Boosting adds a tree a round, each with a seed of its own, so this is the model that a fit of so many rounds gives. A forest's trees are drawn
+    independently, so it is a forest of that size, though not the one that a fit of that size draws.
+    """
+    if isinstance(model, PipelineModel):
+        return PipelineModel([*model.stages[:-1], shortened(model.stages[-1], trees)])
+    java = model._java_obj
+    context = SparkSession.active().sparkContext
+    package, name = java.getClass().getName().rsplit(".", 1)
+    fitted = java.trees()
+    if trees >= len(fitted):
+        return model
+    first = context._gateway.new_array(getattr(getattr(context._jvm, fitted[0].getClass().getName().rsplit(".", 1)[0]), fitted[0].getClass().getSimpleName()), trees)
+    for i in range(trees):
+        first[i] = fitted[i]
+    make = getattr(getattr(context._jvm, package), name)
+    if isinstance(model, (GBTClassificationModel, GBTRegressionModel)):
+        weights = context._gateway.new_array(context._gateway.jvm.double, trees)
+        for i, w in enumerate(model.treeWeights[:trees]):
+            weights[i] = w
+        rest = [model.numFeatures] + ([model.numClasses] if isinstance(model, GBTClassificationModel) else [])
+        made = make(java.uid(), first, weights, *rest)
+    else:
+        rest = [model.numFeatures] + ([model.numClasses] if isinstance(model, RandomForestClassificationModel) else [])
+        made = make(java.uid(), first, *rest)
+    count = "maxIter" if java.hasParam("maxIter") else "numTrees"
+    for column in ("FeaturesCol", "PredictionCol"):
+        getattr(made, f"set{column}")(getattr(java, f"get{column}")())
+    made.set(made.getParam(count), trees)
+    return type(model)(made)
+
+
+#: Grid parameters that count the trees of an ensemble, so that one fit of the most of them answers every smaller value.
+TREE_COUNTS = ("maxIter", "numTrees")
+
+
+def _fits(points: list[dict], same: Callable[[dict], dict]) -> list[tuple[dict, list[tuple[int, int | None]]]]:
+    """The points to be fitted, each with the numbers of the grid points that it answers and their number of trees."""
+    groups: dict[str, tuple[dict, list[tuple[int, int | None]]]] = {}
+    for number, point in enumerate(points):
+        counted = next((c for c in TREE_COUNTS if c in point), None)
+        rest = same({k: v for k, v in point.items() if k != counted})
+        trees = point[counted] if counted else None
+        most, answered = groups.setdefault(f"{counted}{sorted(rest.items(), key=str)}", (point, []))
+        if trees is not None and trees > most[counted]:
+            most = point
+        answered.append((number, trees))
+        groups[f"{counted}{sorted(rest.items(), key=str)}"] = (most, answered)
+    return list(groups.values())
+
+
 def tune(
-    encoder: Pipeline, build: Callable[[dict], Estimator], points: list[dict], df: DataFrame, metric: str, fold_col: str,
-    parallelism: int = 4,
+    encoder: Pipeline | None, build: Callable[[dict], Estimator], points: list[dict], df: DataFrame, metric: str, fold_col: str,
+    parallelism: int = 4, same: Callable[[dict], dict] = dict,
 ) -> tuple[DataFrame, dict]:
     """All grid points on all folds: the table (point, params, fold, metric, best) and the best point.
 
     build makes the estimator of a point. The encoder is fitted once per fold, on the other folds, and its output
-    is kept for all grid points, which are fitted side by side. The best mean metric wins, and the first of equal ones.
+    is kept for all grid points; without one, the estimator takes the rows as they are. Points that differ only in their number of trees are one fit
+    of the most trees, and each is judged by its first trees; so are points that `same` maps to the same parameters. Fits of all folds run side by side.
+    The best mean metric wins, and the first of equal ones.
     """
     judge = evaluator(metric)
-    rows = []
-    for fold in sorted(r[0] for r in df.select(fold_col).distinct().collect()):
-        train, held_out = df.filter(F.col(fold_col) != fold), df.filter(F.col(fold_col) == fold)
-        encode = encoder.fit(train)
-        train, held_out = encode.transform(train).persist(), encode.transform(held_out).persist()
-
-        def judged(numbered: tuple[int, dict], train: DataFrame = train, held_out: DataFrame = held_out, fold=fold) -> tuple:
-            index, point = numbered
-            model = build(point).fit(train)
-            return index, str(point), int(fold), float(judge.evaluate(model.transform(held_out)))
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    kept: dict[int, tuple[DataFrame, DataFrame]] = {}
 
-        rows += in_parallel(judged, list(enumerate(points)), parallelism)
-        train.unpersist()
-        held_out.unpersist()
+    def prepared(fold) -> None:
+        train, held_out = df.filter(F.col(fold_col) != fold), df.filter(F.col(fold_col) == fold)
+        if encoder is not None:
+            encode = encoder.fit(train)
+            train, held_out = encode.transform(train), encode.transform(held_out)
+        kept[fold] = train.persist(), held_out.persist()
+
+    def judged(work: tuple) -> list[tuple]:
+        fold, (point, answered) = work
+        train, held_out = kept[fold]
+        model = build(point).fit(train)
+        values = {trees: float(judge.evaluate((model if trees is None else shortened(model, trees)).transform(held_out))) for trees in {t for _, t in answered}}
+        return [(number, str(points[number]), int(fold), values[trees]) for number, trees in answered]
+
+    in_parallel(prepared, folds, parallelism)
+    rows = sum(in_parallel(judged, [(fold, fit) for fold in folds for fit in _fits(points, same)], parallelism), [])
+    for pair in kept.values():
+        for frame in pair:
+            frame.unpersist()
     means = [np.mean([m for i, _, _, m in rows if i == k]) for k in range(len(points))]
     best = int(np.argmax(means))
     table = df.sparkSession.createDataFrame(
@@ -288,9 +353,9 @@ def tune(
     return table, points[best]
 
 
-def fit_best(encoder: Pipeline, build: Callable[[dict], Estimator], point: dict, train: DataFrame) -> PipelineModel:
+def fit_best(encoder: Pipeline | None, build: Callable[[dict], Estimator], point: dict, train: DataFrame) -> PipelineModel:
     """Refit of the best grid point on all training rows."""
-    return Pipeline(stages=[encoder, build(point)]).fit(train)
+    return Pipeline(stages=[*([encoder] if encoder is not None else []), build(point)]).fit(train)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -10,10 +10,11 @@ from trialweave.sources.listing import list_folder
 
 
 def manifest(spark: SparkSession, root: str, pattern: str, names: list[str], glob: str = "*", tasks: int = 64, depth: int = 1) -> DataFrame:
-    """(path, name, length, modified) of the files under root whose name matches glob, with the groups of pattern as columns. Folders are
+    """(path, name, length, modified) of the files under root whose name matches glob, with the groups of pattern as columns, which replace columns of that name. Folders are
     listed in tasks and contents are never read."""
     files = list_folder(spark, root, tasks, depth)
-    return parse_paths(files if glob == "*" else files.filter(F.col("name").rlike(fnmatch.translate(glob))), pattern, names)
+    matching = files if glob == "*" else files.filter(F.col("name").rlike(fnmatch.translate(glob)))
+    return parse_paths(matching.drop(*names), pattern, names)
 
 
 def parse_paths(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
