@@ -194,3 +194,34 @@ def test_grids_need_fewer_fits_than_points():
     for most, answered in models._fits(points, dict):
         assert most["maxIter"] == 200 and sorted(t for _, t in answered) == [50, 100, 200]
         assert all({**points[n], "maxIter": 0} == {**most, "maxIter": 0} for n, _ in answered)
+
+
+def test_shadow_selection_of_three_hundred_columns(spark):
+    """Twenty columns that know the label are kept, no other one is, and the rounds end by themselves."""
+    draw = np.random.default_rng(5)
+    label = draw.integers(0, 2, 1500)
+    table = draw.standard_normal((1500, 300))
+    table[:, :20] += 1.5 * label[:, None]
+    names = [f"c{i}" for i in range(300)]
+    frame = spark.createDataFrame([(i, int(y), *map(float, x)) for i, (y, x) in enumerate(zip(label, table))], ["key", "label", *names])
+    rows = {r.feature: r for r in explain.shadow_select(frame, names, "label", "key", trees=30, block_rows=400).collect()}
+    assert {c for c, r in rows.items() if r.ranking == 1} == set(names[:20])
+    assert max(r.rounds for r in rows.values()) < 60 and sum(r.ranking >= 3 for r in rows.values()) >= 270
+
+
+def test_step_down_tests():
+    assert explain.step_down({"a": 0.001, "b": 0.02, "c": 0.9}, 3, 0.05) == {"a", "b"}
+    assert explain.step_down({"a": 0.02, "b": 0.001}, 10, 0.05) == {"b"}
+    assert explain.step_down({}, 0, 0.05) == set()
+
+
+def test_shadows_hold_the_values_of_their_columns(spark):
+    rows = [(i, i % 2, float(i), None if i % 3 == 0 else float(-i)) for i in range(50)]
+    blocks = explain.shuffle_blocks(spark.createDataFrame(rows, "key int, label int, a double, b double"), ["a", "b"], "label", "key", 1, block_rows=20)
+    assert blocks.count() == 3
+    got = [(r.label, *r.features.toArray().tolist()) for r in explain.with_shadows(blocks, [0, 1], 2, 7).collect()]
+    mean = np.mean([-i for i in range(50) if i % 3])
+    assert sorted(g[:3] for g in got) == sorted((y, a, mean if b is None else b) for _, y, a, b in rows)
+    for column in (1, 2):
+        assert sorted(g[column] for g in got) == sorted(g[column + 2] for g in got) and [g[column] for g in got] != [g[column + 2] for g in got]
+    assert "SortMergeJoin" not in explain.with_shadows(blocks, [0, 1], 2, 7)._jdf.queryExecution().executedPlan().toString()

@@ -8,13 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.operators.models import MAX_DEPTH, forest_classifier, training_layout
-from trialweave.operators.ranking import hash_positions
+from trialweave.operators.ranking import hash_key
 from trialweave.operators.relational import above_nth_largest, top_k
 from trialweave.session import cut_lineage, scratch_path
 
@@ -42,22 +43,39 @@ def select_features_by(df: DataFrame, importances: DataFrame, n: int, keep: list
     return df.select(*keep, *[c for c in df.columns if c in chosen and c not in keep])
 
 
-def shadow_columns(base: DataFrame, df: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
-    """(key, shadow_<column>...): every column shuffled on its own.
+#: Rows of a block, inside which columns are shuffled, and rounds between two looks at the hits.
+BLOCK_ROWS, LOOK = 4096, 4
 
-    base gives each row its position; per column it takes the value of the row that has this position in
-    another hash order.
+
+def shuffle_blocks(df: DataFrame, columns: list[str], label: str, key: str, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, labels, features): rows dealt once into random blocks of about `block_rows`; features is one flat array, row after row.
+
+    Rows meet by the hash of their key, so equal keys share a block. Nulls count as the mean of their column, or 0 without one.
     """
-    long = df.unpivot([key], columns, "feature", "value").withColumn("_id", F.concat_ws(":", "feature", key))
-    moved = hash_positions(long, ["feature"], "_id", seed, "position").select("position", "feature", "value")
-    names = [f"shadow_{c}" for c in columns]
-    return (
-        base.join(moved, "position")
-        .withColumn("feature", F.concat(F.lit("shadow_"), "feature"))
-        .groupBy(key)
-        .pivot("feature", names)
-        .agg(F.first("value"))
-    )
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+    first = df.agg(F.count("*"), *[F.avg(v) for v in value.values()]).first()
+    blocks = max(1, math.ceil(first[0] / block_rows))
+    row = F.array(*[F.coalesce(v, F.lit(mean if mean is not None else 0.0)) for v, mean in zip(value.values(), first[1:])])
+    dealt = df.select(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks)).alias("block"), hash_key(key, seed).alias("order"), F.col(label).cast("double").alias("label"), row.alias("row"))
+    packed = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("order", "label", "row"))).alias("rows"))
+    return packed.select("block", F.col("rows.label").alias("labels"), F.flatten("rows.row").alias("features"))
+
+
+def with_shadows(blocks: DataFrame, kept: list[int], width: int, seed: int) -> DataFrame:
+    """(label, features) with the kept columns and, behind them, a copy of each that is shuffled on its own inside its block; nothing is joined or moved."""
+
+    def shuffled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                labels = np.asarray(part.column(1)[i].values)
+                table = np.asarray(part.column(2)[i].values).reshape(len(labels), width)[:, kept]
+                copies = np.random.default_rng((seed, part.column(0)[i].as_py())).permuted(table, axis=0)
+                both = np.hstack([table, copies])
+                offsets = pa.array(np.arange(len(labels) + 1, dtype=np.int32) * both.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(labels), pa.ListArray.from_arrays(offsets, pa.array(both.ravel()))], names=["label", "row"])
+
+    rows = blocks.select("block", "labels", "features").mapInArrow(shuffled, "label double, row array<double>")
+    return rows.select("label", array_to_vector("row").alias("features"))
 
 
 def _tail(hits: int, rounds: int) -> float:
@@ -65,39 +83,61 @@ def _tail(hits: int, rounds: int) -> float:
     return sum(math.comb(rounds, k) for k in range(hits, rounds + 1)) / 2**rounds
 
 
-def shadow_select(
-    df: DataFrame, columns: list[str], label: str, key: str, rounds: int = 10, trees: int = 50, seed: int = 42,
-    alpha: float = 0.05,
-) -> DataFrame:
-    """(feature, hits, ranking): a hit is an importance above the best shuffled copy of any column.
+def step_down(chances: dict[str, float], tested: int, limit: float) -> set[str]:
+    """Holm: from the least chance on, while it is at most the limit over the hypotheses that are left of `tested`."""
+    passed = set()
+    for n, (name, chance) in enumerate(sorted(chances.items(), key=lambda x: (x[1], x[0]))):
+        if chance > limit / max(1, tested - n):
+            break
+        passed.add(name)
+    return passed
+
 
-    ranking 1 is kept and 2 undecided, by binomial tests corrected for the number of columns; rejected columns follow as 3, 4, 5, ...
-    by falling hits and mean importance (equal ones share a rank), so a limit on the ranking takes the best of them.
+def shadow_select(
+    df: DataFrame, columns: list[str], label: str, key: str, rounds: int = 100, trees: int = 50, seed: int = 42,
+    alpha: float = 0.05, depth: int = 7, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(feature, hits, rounds, ranking): a hit is an importance above the best shuffled copy of any column still in question.
+
+    Every few rounds, hits are tested against fair coin tosses, for keeping and for rejecting, with a step-down correction over the columns and a
+    share of alpha for each look: up to round r of R, alpha (r / R)^3 has been spent. So the chance that any column is kept wrongly stays below alpha, and
+    likewise that any is rejected wrongly. Rejected columns leave the forests, kept ones stay in them; it ends when all are decided, or after `rounds`. The rounds that a
+    decision takes grow with the logarithm of the columns (16 of 100 for 5 columns and 24 for 300, where the hits are clear).
+
+    ranking 1 is kept and 2 undecided; rejected columns follow as 3, 4, 5, ... by falling share of hits and mean importance (equal ones share a
+    rank), so a limit on the ranking takes the best of them. Rows are shuffled inside random blocks that are made once. No columns: no rows.
     """
-    rows = cut_lineage(df.select(key, label, *[F.col(c).cast("double").alias(c) for c in columns]))
-    base = cut_lineage(hash_positions(rows.select(key), [], key, seed, "position"))
-    hits = dict.fromkeys(columns, 0)
-    total = dict.fromkeys(columns, 0.0)
-    names = columns + [f"shadow_{c}" for c in columns]
-    for r in range(rounds):
-        both = rows.join(shadow_columns(base, rows, columns, key, seed + 1 + r), key)
-        ranked = rank_features(both, names, label, key, trees, seed + r).collect()
-        importance = {row.feature: row.importance for row in ranked}
-        bar = max(importance[f"shadow_{c}"] for c in columns)
-        for c in columns:
-            hits[c] += importance[c] > bar
-            total[c] += importance[c]
-    limit = alpha / len(columns)
-    rejected = {c for c in columns if _tail(rounds - hits[c], rounds) < limit}
-    order = sorted({(-hits[c], -total[c]) for c in rejected})
-    table = []
-    for c in columns:
-        if c in rejected:
-            ranking = 3 + order.index((-hits[c], -total[c]))
-        else:
-            ranking = 1 if _tail(hits[c], rounds) < limit else 2
-        table.append((c, hits[c], ranking))
-    return df.sparkSession.createDataFrame(table, "feature string, hits int, ranking int")
+    width = len(columns)
+    blocks = cut_lineage(shuffle_blocks(df, columns, label, key, seed, block_rows)) if columns else None
+    hits, total, seen = dict.fromkeys(columns, 0), dict.fromkeys(columns, 0.0), dict.fromkeys(columns, 0)
+    kept: set[str] = set()
+    rejected: set[str] = set()
+    last = 0
+    for r in range(1, rounds + 1):
+        open_ = [c for c in columns if c not in kept and c not in rejected]
+        if not open_:
+            break
+        here = [c for c in columns if c not in rejected]
+        rows = with_shadows(blocks, [columns.index(c) for c in here], width, seed + r).persist()
+        importance = forest_classifier(trees, seed + r, labelCol="label", maxDepth=depth).fit(rows).featureImportances.toArray()
+        rows.unpersist()
+        bar = max(importance[len(here) :])
+        for c, value in zip(here, importance):
+            if c not in kept:
+                hits[c] += bool(value > bar)
+                total[c] += float(value)
+                seen[c] += 1
+        if r % LOOK and r < rounds:
+            continue
+        limit = alpha * (r**3 - last**3) / rounds**3
+        last = r
+        good = step_down({c: _tail(hits[c], r) for c in open_}, width - len(kept), limit)
+        bad = step_down({c: _tail(r - hits[c], r) for c in open_}, width - len(rejected), limit)
+        kept |= good
+        rejected |= bad
+    order = sorted({(-hits[c] / seen[c], -total[c] / seen[c]) for c in rejected})
+    table = [(c, hits[c], seen[c], 3 + order.index((-hits[c] / seen[c], -total[c] / seen[c])) if c in rejected else 1 if c in kept else 2) for c in columns]
+    return df.sparkSession.createDataFrame(table, "feature string, hits int, rounds int, ranking int")
 
 
 @dataclass

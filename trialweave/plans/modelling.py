@@ -212,9 +212,9 @@ def select_by_shadow(spark: SparkSession, sf: str) -> DataFrame:
     """The measures and one column of pure noise, which is not kept."""
     train, _ = train_test(spark, sf)
     noise = F.conv(F.substring(F.md5("imageName"), 1, 6), 16, 10).cast("double")
-    chosen = explain.shadow_select(train.withColumn("noise", noise), [*NUMERIC, "noise"], "label", "imageName", rounds=7)
+    chosen = explain.shadow_select(train.withColumn("noise", noise), [*NUMERIC, "noise"], "label", "imageName", rounds=40)
     return chosen.select(
-        "feature", F.col("hits").between(0, 7).alias("hits_valid"), ((F.col("feature") != "noise") | (F.col("ranking") == 1)).alias("may_be_kept")
+        "feature", F.col("hits").between(0, F.col("rounds")).alias("hits_valid"), ((F.col("feature") != "noise") | (F.col("ranking") == 1)).alias("may_be_kept")
     )
 
 
