@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 
 import numpy as np
@@ -225,3 +226,39 @@ def test_shadows_hold_the_values_of_their_columns(spark):
     for column in (1, 2):
         assert sorted(g[column] for g in got) == sorted(g[column + 2] for g in got) and [g[column] for g in got] != [g[column + 2] for g in got]
     assert "SortMergeJoin" not in explain.with_shadows(blocks, [0, 1], 2, 7)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("leaves", [7, 100_000])
+def test_attributions_of_deep_trees_in_blocks(spark, leaves):
+    """A hundred trees of any depth, a leaf table in many blocks or in one: sums are those of the model, and the driver gets no leaf."""
+    draw = np.random.default_rng(11)
+    names = [f"f{i}" for i in range(12)]
+    table = draw.integers(0, 50, (250, 12)).astype(float)
+    rows = [(i, int(draw.random() < 0.5), *map(float, x)) for i, x in enumerate(table)]
+    frame = VectorAssembler(inputCols=names, outputCol="features").transform(spark.createDataFrame(rows, ["id", "label", *names]).coalesce(1)).cache()
+    model = models.forest_classifier(100 if leaves > 7 else 8, seed=3).fit(frame)
+    deepest = max(t.depth for t in model.trees)
+    assert deepest >= 12
+    blocks = explain.leaf_table(spark, model, leaves)
+    assert blocks.count() > 20 if leaves == 7 else sum(len(json.loads(r.leaves)) for r in blocks.collect()) == sum((t.numNodes + 1) // 2 for t in model.trees)
+    values = explain.shap_values(model, frame, names, "id", leaves)
+    sums = {r.id: r.s + r.b for r in values.groupBy("id").agg(F.sum("attribution").alias("s"), F.first("base").alias("b")).collect()}
+    scored = {r.id: r.probability[1] for r in model.transform(frame).select("id", "probability").collect()}
+    assert sums == pytest.approx(scored, abs=1e-9) and values.count() == 250 * 12
+
+
+def test_attributions_of_a_long_path_against_all_subsets():
+    """Ten features on one path: the integral equals the sum over all coalitions."""
+    draw = np.random.default_rng(2)
+    d = 10
+    leaf = explain.Leaf(2.5, list(range(d)), draw.uniform(0.1, 0.9, d).tolist(), [[(False, (0.5,), True)] for _ in range(d)])
+    x = draw.random((1, d))
+    passed = (x[0] <= 0.5).astype(float)
+    for k in range(d):
+        others = [i for i in range(d) if i != k]
+        want = 0.0
+        for n in range(d):
+            for known in itertools.combinations(others, n):
+                product = np.prod([passed[i] if i in known else leaf.shares[i] for i in others])
+                want += math.factorial(n) * math.factorial(d - 1 - n) / math.factorial(d) * product
+        assert explain.attributions(x, [leaf])[0, k] == pytest.approx(leaf.value * (passed[k] - leaf.shares[k]) * want)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -150,45 +151,70 @@ class Leaf:
     tests: list[list[tuple]]
 
 
-def tree_leaves(spark: SparkSession, model: Model) -> tuple[list[Leaf], float]:
-    """Leaves of all trees with weighted values, and the mean output over the training rows.
+#: Leaves of a block, rows of a block, and nodes of the trees that one task walks (a larger tree is a task of its own).
+LEAVES, ROWS, NODES = 1000, 2048, 4000
 
-    The node table is the one the model writes when it is saved; its size is set by the model, not the data.
+
+def _merged(tests: list[tuple]) -> list[tuple]:
+    """The tests of one feature on a path: thresholds come down to the lowest and the highest one that still matter."""
+    below = [t[1][0] for t in tests if not t[0] and t[2]]
+    above = [t[1][0] for t in tests if not t[0] and not t[2]]
+    return [t for t in tests if t[0]] + ([(False, (min(below),), True)] if below else []) + ([(False, (max(above),), False)] if above else [])
+
+
+def leaf_table(spark: SparkSession, model: Model, leaves: int = LEAVES, nodes_of_task: int = NODES) -> DataFrame:
+    """(block, base, leaves): the leaves of all trees with weighted values, in blocks of at most so many; base is the part of the mean output
+    over the training rows that the block holds.
+
+    The node table is the one the model writes when it is saved. Trees are walked in tasks and their leaves stay in the table.
     """
     path = scratch_path(spark, "tree-model")
     model.write().save(path)
     boosted = "GBT" in type(model).__name__
-    weights = model.treeWeights if boosted else [1.0 / model.getNumTrees] * model.getNumTrees
-    trees: dict[int, dict] = {}
-    for row in spark.read.parquet(f"{path}/data").collect():
-        trees.setdefault(row.treeID, {})[row.nodeData.id] = row.nodeData
+    weights = list(model.treeWeights) if boosted else [1.0 / len(model.trees)] * len(model.trees)
     is_class = not boosted and "Classification" in type(model).__name__
-
-    def output(node) -> float:
-        return node.impurityStats[1] / sum(node.impurityStats) if is_class else node.prediction
-
-    leaves: list[Leaf] = []
-
-    def walk(nodes: dict, node, weight: float, path: dict[int, tuple[float, list]]) -> float:
-        """Collect the leaves below a node and return their mean output."""
-        if node.leftChild < 0:
-            leaves.append(Leaf(weight * output(node), list(path), [s for s, _ in path.values()], [t for _, t in path.values()]))
-            return weight * output(node)
-        split = node.split
-        test = tuple(split.leftCategoriesOrThreshold)
-        children = [nodes[node.leftChild], nodes[node.rightChild]]
-        rows = sum(c.rawCount for c in children)
-        mean = 0.0
-        for child, goes_left in zip(children, (True, False)):
-            share = child.rawCount / rows
-            earlier, tests = path.get(split.featureIndex, (1.0, []))
-            step = (split.numCategories >= 0, test, goes_left)
-            below = path | {split.featureIndex: (earlier * share, [*tests, step])}
-            mean += share * walk(nodes, child, weight, below)
-        return mean
-
-    base = sum(walk(nodes, nodes[0], weights[t], {}) for t, nodes in trees.items())
-    return leaves, base
+    nodes = spark.read.parquet(f"{path}/data")
+    groups = max(1, min(len(weights), nodes.count() // nodes_of_task))
+    split = F.col("nodeData.split")
+    flat = nodes.select(
+        F.pmod(F.col("treeID"), F.lit(groups)).alias("task"), F.col("treeID").cast("int").alias("tree"), F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("prediction"),
+        F.col("nodeData.impurityStats").alias("stats"), F.col("nodeData.rawCount").cast("double").alias("n"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        split["featureIndex"].alias("feature"), split["leftCategoriesOrThreshold"].alias("test"), (split["numCategories"] >= 0).alias("categorical"),
+    )
+
+    def walk(task: pd.DataFrame) -> pd.DataFrame:
+        number = int(task["task"].iloc[0])
+        blocks: list[tuple] = []
+        held: list[tuple] = []
+        base = 0.0
+
+        def close() -> None:
+            blocks.append((f"{number}:{len(blocks)}", base, json.dumps(held)))
+
+        for tree, rows in task.groupby("tree"):
+            by = {r.id: r for r in rows.itertuples(index=False)}
+            todo = [(by[0], 1.0, {})]
+            while todo:
+                node, share, path = todo.pop()
+                if node.left < 0:
+                    value = weights[tree] * (node.stats[1] / sum(node.stats) if is_class else node.prediction)
+                    held.append((value, list(path), [s for s, _ in path.values()], [_merged(t) for _, t in path.values()]))
+                    base += share * value
+                    if len(held) == leaves:
+                        close()
+                        held, base = [], 0.0
+                    continue
+                children = [by[node.left], by[node.right]]
+                for child, goes_left in zip(children, (True, False)):
+                    part = child.n / sum(c.n for c in children)
+                    earlier, tests = path.get(node.feature, (1.0, []))
+                    step = (bool(node.categorical), tuple(float(x) for x in node.test), goes_left)
+                    todo.append((child, share * part, path | {int(node.feature): (earlier * part, [*tests, step])}))
+        if held or not blocks:
+            close()
+        return pd.DataFrame(blocks, columns=["block", "base", "leaves"])
+
+    return flat.groupBy("task").applyInPandas(walk, "block string, base double, leaves string")
 
 
 def _passes(x: np.ndarray, leaf: Leaf) -> np.ndarray:
@@ -204,47 +230,74 @@ def _passes(x: np.ndarray, leaf: Leaf) -> np.ndarray:
 def attributions(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     """Shapley values of the tree sum, with absent features following the training shares.
 
-    For one leaf the value of a coalition is a product over its path features, so the subset sums of the
-    Shapley formula are coefficients of a polynomial with one factor per feature.
+    For one leaf the value of a coalition is a product over its d path features. The Shapley weights of the subsets are the integrals of
+    t^s (1 - t)^(d - 1 - s) over [0, 1], so a feature's share is the integral of the product of the other features' factors share (1 - t) + passed t:
+    a polynomial of degree d - 1, which Gauss-Legendre nodes integrate exactly. One product serves all features of the leaf.
     """
     result = np.zeros(x.shape)
     for leaf in leaves:
         d = len(leaf.features)
-        passed = _passes(x, leaf).astype(float)
-        for k in range(d):
-            poly = np.zeros((len(x), d))
-            poly[:, 0] = 1.0
-            for other in range(d):
-                if other != k:
-                    raised = np.roll(poly, 1, axis=1) * passed[:, [other]]
-                    raised[:, 0] = 0.0
-                    poly = poly * leaf.shares[other] + raised
-            weights = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
-            result[:, leaf.features[k]] += leaf.value * (passed[:, k] - leaf.shares[k]) * (poly @ np.array(weights))
+        if not d:
+            continue
+        passed, shares = _passes(x, leaf).astype(float), np.array(leaf.shares)
+        nodes, weights = np.polynomial.legendre.leggauss(d // 2 + 1)
+        t, weights = (nodes + 1) / 2, weights / 2
+        factors = shares[None, :, None] * (1 - t) + passed[:, :, None] * t
+        others = factors.prod(axis=1)[:, None, :] / factors
+        result[:, leaf.features] += leaf.value * (passed - shares) * (others @ weights)
     return result
 
 
-def shap_values(model: Model, df: DataFrame, columns: list[str], key: str) -> DataFrame:
+def shap_values(model: Model, df: DataFrame, columns: list[str], key: str, leaves: int = LEAVES) -> DataFrame:
     """(key, feature, attribution, base): one row per input row and feature.
 
     The attributions of a row and the base add up to the margin of a boosted model, or to the probability
-    of class 1 of a forest. Rows are worked on batch by batch where they lie, without a shuffle.
+    of class 1 of a forest. Blocks of rows meet blocks of leaves, both of bounded size, so a model of any size is worked on in parts;
+    with one block of leaves nothing is added up by a shuffle.
     """
-    leaves, base = tree_leaves(df.sparkSession, model)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = attributions(np.stack(batch["x"].to_numpy()), shared.value)
-            yield pd.DataFrame({key: batch[key], "attribution": list(values)})
-
+    spark = df.sparkSession
+    table = cut_lineage(leaf_table(spark, model, leaves))
+    names = [r.block for r in table.select("block").orderBy("block").collect()]
+    base = sum(r.base for r in table.select("block", "base").orderBy("block").collect())
+    width = len(columns)
     rows = df.select(key, vector_to_array("features").alias("x"))
     key_type = dict(rows.dtypes)[key]
-    explained = rows.mapInPandas(explain, f"{key} {key_type}, attribution array<double>")
-    names = F.array(*[F.lit(c) for c in columns])
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for low in range(0, part.num_rows, ROWS):
+                some = part.slice(low, ROWS)
+                keys = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([some.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["keys", "x"])
+
+    packed = rows.mapInArrow(pack, f"keys array<{key_type}>, x binary").withColumn("rows", F.monotonically_increasing_id())
+    if len(names) > 1:
+        packed = cut_lineage(packed)
+    met = packed.withColumn("block", F.explode(F.array(*map(F.lit, names)))).join(table.select("block", "leaves"), "block")
+
+    def explain(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, []
+        for part in parts:
+            for i in range(part.num_rows):
+                block = part.column(3)[i].as_py()
+                if block != last:
+                    last, mine = block, [Leaf(*leaf) for leaf in json.loads(part.column(4)[i].as_py())]
+                keys = part.column(1)[i].values
+                values = attributions(np.frombuffer(part.column(2)[i].as_py()).reshape(len(keys), width), mine)
+                offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), part.column(0)[i].as_py())), pa.array(np.arange(len(keys))), keys, pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))],
+                    names=["rows", "at", "key", "attribution"],
+                )
+
+    explained = met.select("rows", "keys", "x", "block", "leaves").mapInArrow(explain, f"rows long, at long, key {key_type}, attribution array<double>")
+    if len(names) > 1:
+        sums = F.array(*[F.sum(F.col("attribution")[i]) for i in range(width)])
+        explained = explained.groupBy("rows", "at").agg(F.first("key").alias("key"), sums.alias("attribution"))
+    features = F.array(*[F.lit(c) for c in columns])
     return explained.select(
-        key,
-        F.inline(F.arrays_zip(names.alias("feature"), F.col("attribution"))),
+        F.col("key").alias(key),
+        F.inline(F.arrays_zip(features.alias("feature"), F.col("attribution"))),
         F.lit(base).alias("base"),
     )
 

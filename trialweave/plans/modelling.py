@@ -277,7 +277,7 @@ def train_history(spark: SparkSession, sf: str) -> DataFrame:
 def _explained(spark: SparkSession, sf: str) -> DataFrame:
     train, test = train_test(spark, sf)
     encoder = encode.preprocessor(NUMERIC, []).fit(train)
-    model = models.boosted_classifier(rounds=10, depth=3).fit(encoder.transform(train))
+    model = models.boosted_classifier(rounds=BOOSTING_ROUNDS).fit(encoder.transform(train))
     held_out = model.transform(encoder.transform(test))
     margin = vector_to_array("rawPrediction")[1].alias("margin")
     values = explain.shap_values(model, held_out, NUMERIC, "imageName")
