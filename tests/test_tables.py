@@ -104,3 +104,16 @@ def test_spread_join_equals_the_plain_join(spark):
 def test_two_lowest_limits_before_the_shuffle(spark, sf):
     lowest = relational.two_lowest(fx.slices(spark, sf), "series", [F.col("z"), F.col("path")])
     assert "WindowGroupLimit" in lowest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_lines_with_missing_or_extra_fields(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,v\na,1.5\nc\nd,2,f\n\"e,e\",NA\n")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.DoubleType())])
+    with pytest.raises(PySparkException, match="not as many fields"):
+        tables.read_table(spark, str(tmp_path), schema).collect()
+    with pytest.raises(PySparkException, match="not as many fields"):
+        tables.read_table(spark, str(tmp_path), schema).select("v").collect()
+    kept = tables.read_table(spark, str(tmp_path), schema, bad_lines="drop").collect()
+    assert {(r.id, r.v) for r in kept} == {("a", 1.5), ("e,e", None)}
+    assert tables.read_table(spark, str(tmp_path), schema, bad_lines="drop").count() == 2
+    assert {r.line for r in tables.bad_lines(spark, str(tmp_path), schema).collect()} == {"c", "d,2,f"}

@@ -100,6 +100,12 @@ def two_lowest(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     return df.withColumn("slot", F.row_number().over(first)).filter("slot <= 2")
 
 
+def slice_order(df: DataFrame) -> DataFrame:
+    """Every slice with its 0-based slice_number in its series, by z, slice location and path, nulls first: one shuffle, since a scanner bounds the slices of a series."""
+    order = Window.partitionBy("series").orderBy("z", "slice_location", "path")
+    return df.withColumn("slice_number", (F.row_number().over(order) - 1).cast("long"))
+
+
 def slice_thickness(df: DataFrame) -> DataFrame:
     """Distance of the two lowest slices of a series, on z or else on the slice location, on every slice."""
     lowest = two_lowest(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave import fixtures as fx
 from trialweave.operators import evaluate as ev
-from trialweave.operators import ranking
 from trialweave.operators import relational as rel
 from trialweave.operators import splits
 from trialweave.plans.catalog import query
@@ -102,7 +101,7 @@ def earliest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     row_number() OVER (PARTITION BY series ORDER BY z NULLS FIRST, slice_location, path) - 1 AS slice_number FROM slices"""
 )
 def slice_order(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = ranking.positions(fx.slices(spark, sf), ["series"], ["z", "slice_location", "path"], "slice_number")
+    ranked = rel.slice_order(fx.slices(spark, sf))
     return ranked.select("series", "path", "slice_location", "slice_number")
 
 

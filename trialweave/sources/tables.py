@@ -29,17 +29,33 @@ REGISTRY_SCHEMA = T.StructType(
 )
 
 
+_LINE = "_bad_line"
+
+
+def _lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The columns as text, and the whole line where it has too few or too many fields. Columns are not pruned in the reader, which would not count the fields then."""
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], T.StructField(_LINE, T.StringType())])
+    reader = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _LINE)
+    # The reader refuses queries that need nothing but the whole line, such as a count; this holds for every row and needs a field.
+    return reader.option("columnPruning", False).csv(path).where(F.length(F.coalesce(F.col(schema.fields[0].name), F.lit(""))) >= 0)
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, null_tokens: list[str] = NULL_TOKENS
+    spark: SparkSession, path: str, schema: T.StructType, null_tokens: list[str] = NULL_TOKENS, bad_lines: str = "fail"
 ) -> DataFrame:
     """Header CSV under a fixed schema.
 
     The CSV reader knows one null token, so fields are read as text and every token is cleared before
-    the cast. A value that is no token and does not parse raises.
+    the cast. A value that is no token and does not parse raises, and so does a line with too few or too many fields, unless
+    `bad_lines` is "drop": then it is left out, and bad_lines() reports it.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return raw.select(
+    if bad_lines not in ("fail", "drop"):
+        raise ValueError(f"bad_lines is fail or drop, not {bad_lines}")
+    raw = _lines(spark, path, schema)
+    whole = F.col(_LINE).isNull()
+    if bad_lines == "fail":
+        whole = whole | F.raise_error(F.concat(F.lit("not as many fields as the header: "), F.col(_LINE))).cast("boolean")
+    return raw.where(whole).select(
         [
             F.when(~F.col(f.name).isin(null_tokens), F.col(f.name)).cast(f.dataType).alias(f.name)
             for f in schema.fields
@@ -47,6 +63,11 @@ def read_table(
     )
 
 
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line): the lines of a header CSV that have too few or too many fields."""
+    return _lines(spark, path, schema).withColumn("file", F.input_file_name()).where(F.col(_LINE).isNotNull()).select("file", F.col(_LINE).alias("line"))
+
+
 def read_registry(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Clinical registry; ids stay text so that a leading zero survives."""
     if file_format == "csv":
