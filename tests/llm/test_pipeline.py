@@ -16,7 +16,7 @@ from trialweave.session import cut_lineage
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
     assert set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
 
