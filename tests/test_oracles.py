@@ -12,7 +12,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 # These run for half a minute or more: SLOW=1 includes them here, and tools/check.py covers them.
 LONG = {
     "extract_features", "extract_features_filtered", "filter_wavelet", "gbt_classify", "gbt_regress", "gbt_classify_sampled",
-    "gbt_classify_target_encoded", "weighted_fit", "class_weighted_fit", "svm_classify", "select_by_shadow", "train_history",
+    "gbt_classify_target_encoded", "weighted_fit", "class_weighted_fit", "svm_classify", "select_by_shadow", "train_history", "extraction_job",
 }
 NAMES = [n for n in queries() if n in oracle_sql() and not n.startswith("op") and (os.environ.get("SLOW") or n not in LONG)]
 
