@@ -77,15 +77,16 @@ def quarantine_bad_images(spark: SparkSession, sf: str) -> DataFrame:
     fx.with_views("slices")
     + """ , ranked AS (SELECT *, row_number() OVER (PARTITION BY series
       ORDER BY z NULLS LAST, slice_location NULLS LAST, path) AS slot FROM slices),
-    g AS (SELECT series, cast(count(*) AS int) AS n_z, 512 AS n_y, max(pixel_spacing) AS spacing_y,
+    g AS (SELECT series, cast(count(*) AS int) AS n_z, 512 AS n_y, 512 AS n_x, max(pixel_spacing) AS spacing_y, max(pixel_spacing) AS spacing_x,
       coalesce(abs(max(z) FILTER (slot = 1) - max(z) FILTER (slot = 2)),
         abs(max(slice_location) FILTER (slot = 1) - max(slice_location) FILTER (slot = 2))) AS spacing_z
       FROM ranked GROUP BY series),
     p AS (SELECT *, cast(round_even(n_z * spacing_z, 0) AS int) AS new_n_z,
-      cast(round_even(n_y * spacing_y, 0) AS int) AS new_n_y FROM g)
-    SELECT series, new_n_z, new_n_y, round(new_n_z::DOUBLE / n_z, 6) AS zoom_z, round(new_n_y::DOUBLE / n_y, 6) AS zoom_y,
-      round(spacing_z / nullif(new_n_z::DOUBLE / n_z, 0), 6) AS new_spacing_z,
-      round(spacing_y / nullif(new_n_y::DOUBLE / n_y, 0), 6) AS new_spacing_y FROM p"""
+      cast(round_even(n_y * spacing_y, 0) AS int) AS new_n_y, cast(round_even(n_x * spacing_x, 0) AS int) AS new_n_x FROM g)
+    SELECT series, new_n_z, new_n_y, new_n_x, round(new_n_z::DOUBLE / n_z, 6) AS zoom_z, round(new_n_y::DOUBLE / n_y, 6) AS zoom_y,
+      round(new_n_x::DOUBLE / n_x, 6) AS zoom_x, round(spacing_z / nullif(new_n_z::DOUBLE / n_z, 0), 6) AS new_spacing_z,
+      round(spacing_y / nullif(new_n_y::DOUBLE / n_y, 0), 6) AS new_spacing_y,
+      round(spacing_x / nullif(new_n_x::DOUBLE / n_x, 0), 6) AS new_spacing_x FROM p"""
 )
 def resample_grid(spark: SparkSession, sf: str) -> DataFrame:
     slices = slice_thickness(fx.slices(spark, sf))
@@ -97,8 +98,8 @@ def resample_grid(spark: SparkSession, sf: str) -> DataFrame:
     for axis in ("y", "x"):
         volumes = volumes.withColumns({f"n_{axis}": F.lit(512), f"spacing_{axis}": F.col("spacing_y")})
     plan = pr.resample_plan(volumes)
-    ratios = [F.round(c, 6).alias(c) for c in ("zoom_z", "zoom_y", "new_spacing_z", "new_spacing_y")]
-    return plan.select("series", "new_n_z", "new_n_y", *ratios)
+    ratios = [F.round(f"{c}_{a}", 6).alias(f"{c}_{a}") for c in ("zoom", "new_spacing") for a in "zyx"]
+    return plan.select("series", *[f"new_n_{a}" for a in "zyx"], *ratios)
 
 
 RESAMPLE_SQL = """ , e AS (SELECT image_name, max(z) + 1 AS n_z, max(y) + 1 AS n_y, max(x) + 1 AS n_x,

@@ -103,12 +103,12 @@ ROC_SQL = """ , steps AS (SELECT model, prob, sum(label) AS pos, sum(1 - label)
 
 @query(
     fx.with_views("scored")
-    + " , picked AS (SELECT * FROM scored WHERE model = 'a')"
+    + " , picked AS (SELECT 'all' AS model, prob, label FROM scored)"
     + ROC_SQL.format(model="", distinct="")
 )
 def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
-    df = fx.scored(spark, sf).filter("model = 'a'")
-    return _rounded(ev.roc_curve(df, []), ["threshold", "fpr", "tpr"])
+    """One curve over the scores of all models together; roc_compare has one for each."""
+    return _rounded(ev.roc_curve(fx.scored(spark, sf), []), ["threshold", "fpr", "tpr"])
 
 
 @query(fx.with_views("scored") + " , picked AS (SELECT * FROM scored)" + ROC_SQL.format(model="model,", distinct="model,"))
