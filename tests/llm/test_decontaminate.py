@@ -111,3 +111,13 @@ def test_edges(spark, edges, nothing):
     assert kept.columns == edges.columns and kept.count() == edges.count() - 4
     assert dc.find(nothing, benchmark).count() == 0 and dc.without_matches(nothing, benchmark).count() == 0
     assert dc.find(edges, benchmark.where("false")).count() == 0 and dc.without_matches(edges, benchmark.where("false")).count() == edges.count()
+
+
+def test_a_recall_out_of_reach_is_an_error():
+    """Every class of the rule reaches the target; a share of edits that cannot is said to."""
+    rule, n = decontaminate.Rule(), 5
+    while n < 3000:
+        assert decontaminate.repetitions(*rule.searched(n)) < decontaminate.MOST_REPETITIONS
+        n = rule.next_window(n)
+    with pytest.raises(ValueError, match="repetitions find"):
+        decontaminate.repetitions(20, 12)

@@ -64,7 +64,7 @@ class Rule:
 
 @lru_cache(maxsize=None)
 def repetitions(length: int, edits: int) -> int:
-    """The fewest repetitions that make `RECALL` of simulated windows of distinct words with that many word edits a candidate."""
+    """The fewest repetitions that make `RECALL` of simulated windows of distinct words with that many word edits a candidate; an error where `MOST_REPETITIONS` do not."""
     draw = np.random.default_rng((length, edits))
     texts = []
     for _ in range(SIMULATED):
@@ -78,7 +78,9 @@ def repetitions(length: int, edits: int) -> int:
     starts = np.arange(2 * SIMULATED) * length
     found = _walks(np.concatenate(texts), starts, starts + length, length, MOST_REPETITIONS)
     recall = np.maximum.accumulate(found[:, ::2] == found[:, 1::2], axis=0).mean(axis=1)
-    return int(np.argmax(recall >= RECALL)) + 1 if recall[-1] >= RECALL else MOST_REPETITIONS
+    if recall[-1] < RECALL:
+        raise ValueError(f"{MOST_REPETITIONS} repetitions find {recall[-1]:.3f} of windows of {length} words with {edits} edits, not {RECALL}: allow fewer edits")
+    return int(np.argmax(recall >= RECALL)) + 1
 
 
 def _walks(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, repeated: int) -> np.ndarray:
