@@ -115,9 +115,9 @@ def test_edges(spark, edges, nothing):
 
 def test_a_recall_out_of_reach_is_an_error():
     """Every class of the rule reaches the target; a share of edits that cannot is said to."""
-    rule, n = decontaminate.Rule(), 5
+    rule, n = dc.Rule(), 5
     while n < 3000:
-        assert decontaminate.repetitions(*rule.searched(n)) < decontaminate.MOST_REPETITIONS
+        assert dc.repetitions(*rule.searched(n)) < dc.MOST_REPETITIONS
         n = rule.next_window(n)
     with pytest.raises(ValueError, match="repetitions find"):
-        decontaminate.repetitions(20, 12)
+        dc.repetitions(20, 12)
