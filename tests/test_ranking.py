@@ -38,6 +38,34 @@ def test_positions_spread_rows_without_an_order_value(spark):
     assert [r.p for r in ordered] == list(range(len(rows)))
 
 
+@pytest.mark.parametrize("order", [["v"], ["w"], ["v", "id"], ["t"]])
+def test_the_number_of_buckets_follows_the_rows(spark, monkeypatch, order):
+    """More cuts than are written out as conditions; positions stay exact and buckets stay small."""
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 5)
+    df = spark.range(3000).select("id", (F.col("id") * 7919 % 3001).cast("double").alias("v"), (F.col("id") * 7919 % 3001).alias("w"))
+    df = df.withColumn("t", F.lpad(F.col("w").cast("string"), 5, "0"))
+    cuts = ranking.order_cuts(df, order)
+    assert ranking.WRITTEN_CUTS < len(cuts) < 600
+    largest = df.groupBy(ranking._bucket(df, order, cuts).alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest <= 50
+    rows = ranking.positions(df, [], order, "p").collect()
+    assert [r.p for r in sorted(rows, key=lambda r: r.w)] == list(range(3000))
+
+
+def test_a_sketched_order_with_nulls_nans_and_no_rows(spark):
+    values = [None, None, float("nan"), float("inf"), float("-inf")] + [float(i % 50) for i in range(500)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, id long")
+    cuts = ranking.order_cuts(df, ["v"], buckets=16)
+    assert cuts == sorted(cuts) and all(v == v and v is not None for (v,) in cuts)
+    rows = sorted(ranking.positions(df, [], ["v"], "p").collect(), key=lambda r: r.p)
+    assert [r.p for r in rows] == list(range(len(values)))
+    plain = [r.v for r in rows]
+    assert plain[:2] == [None, None] and plain[2] == float("-inf") and plain[-2] == float("inf") and plain[-1] != plain[-1]
+    for frame in (df.limit(0), df.where("v IS NULL")):
+        assert ranking.order_cuts(frame, ["v"]) == []
+    assert ranking.order_cuts(df.limit(0), ["v", "id"]) == []
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_running_sums_and_auc_hold_under_any_layout(spark, partitions):
     df = skewed(spark).repartition(partitions).withColumn("label", (F.col("id") % 5 == 0).cast("int"))

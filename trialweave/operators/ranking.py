@@ -7,25 +7,64 @@ cuts only decide how evenly the work spreads, so a group that holds most of the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType
 
 HASH_DIGITS = 4
 
 
-def _buckets(df: DataFrame) -> int:
-    return max(8, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+#: Rows that a bucket should hold; a table of more rows is cut into more buckets.
+ROWS_PER_BUCKET = 200_000
+#: Accuracy of the quantile sketch (ranks are right to about 1/10,000 of the rows), and sampled keys where there is no sketch for the type.
+SKETCH_K, SAMPLE_KEYS = 16_384, 32_768
+#: Cuts that are written out as conditions; more are searched in an array.
+WRITTEN_CUTS = 256
+
+
+def _buckets(df: DataFrame, rows: int) -> int:
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_BUCKET))
 
 
 def order_cuts(df: DataFrame, order: list[str], buckets: int | None = None) -> list[tuple]:
-    """Cut points over the order columns from a bounded sample (8 rows per bucket reach the driver).
+    """Cut points over the order columns, from one scan that also tells the number of rows, which their number follows.
 
-    Nulls come first, as they do in the comparison of rows.
+    One numeric column is sketched (KLL, merged by the aggregate); its nulls and NaNs lie outside the cuts, first and last. Other orders take the keys of
+    the `SAMPLE_KEYS` rows of the smallest random numbers (the last of which tells how many rows there are), nulls first as in the comparison of rows.
     """
-    buckets = buckets or _buckets(df)
-    sample = df.select(*order).orderBy(F.rand(17)).limit(8 * buckets).collect()
-    keys = sorted((tuple(row) for row in sample), key=_nulls_first)
-    step = max(1, len(keys) // buckets)
-    return sorted(set(keys[step::step]), key=_nulls_first)
+    kind = df.schema[order[0]].dataType
+    if len(order) == 1 and isinstance(kind, (IntegralType, FloatType, DoubleType)):
+        return _sketched_cuts(df, order[0], kind, buckets)
+    drawn = df.select(*order, F.rand(17).alias("_drawn")).orderBy("_drawn").limit(SAMPLE_KEYS).collect()
+    if not drawn:
+        return []
+    rows = len(drawn) if len(drawn) < SAMPLE_KEYS else int(len(drawn) / drawn[-1]["_drawn"])
+    keys = sorted((tuple(row)[:-1] for row in drawn), key=_nulls_first)
+    buckets = buckets or _buckets(df, rows)
+    chosen = {keys[len(keys) * i // buckets] for i in range(1, buckets)}
+    return sorted(chosen, key=_nulls_first)
+
+
+def _sketched_cuts(df: DataFrame, column: str, kind: DataType, buckets: int | None) -> list[tuple]:
+    whole = isinstance(kind, IntegralType)
+    value = F.col(column).cast("bigint" if whole else "double")
+    make, ask, size = (
+        (F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint, F.kll_sketch_get_n_bigint)
+        if whole
+        else (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double, F.kll_sketch_get_n_double)
+    )
+    if not whole:
+        value = F.when(~F.isnan(value), value)
+    sketch = df.agg(make(value, F.lit(SKETCH_K)).alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    found = sketch.where(size("sketch") > 0).collect()
+    if not found:
+        return []
+    n = buckets or _buckets(df, found[0]["rows"])
+    ranks = F.array(*[F.lit(i / n) for i in range(1, n)])
+    kept = df.sparkSession.createDataFrame([(bytes(found[0]["sketch"]),)], "sketch binary")
+    cuts = set(kept.select(ask("sketch", ranks).alias("cuts")).first()["cuts"]) if n > 1 else set()
+    return [(v,) for v in sorted(cuts)]
 
 
 def _nulls_first(key: tuple) -> tuple:
@@ -33,18 +72,22 @@ def _nulls_first(key: tuple) -> tuple:
 
 
 def _bucket(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
-    """Number of cuts at or below the row, as a binary search written out in nested conditions."""
+    """Number of cuts at or below the row, by binary search: nested conditions for few cuts, halving steps over an array for many."""
     key = F.struct(*order)
     types = [df.schema[c].dataType for c in order]
+    points = [F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(cut, types, order)]) for cut in cuts]
 
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        cut = F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(cuts[middle], types, order)])
-        return F.when(key < cut, search(low, middle)).otherwise(search(middle + 1, high))
+        return F.when(key < points[middle], search(low, middle)).otherwise(search(middle + 1, high))
 
-    return search(0, len(cuts))
+    if len(cuts) <= WRITTEN_CUTS:
+        return search(0, len(cuts))
+    listed = F.array(*points)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= key, at + step).otherwise(at))
 
 
 def hash_key(column: str, seed: int) -> Column:
