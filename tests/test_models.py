@@ -9,6 +9,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from trialweave.operators import encode, evaluate, explain, models, splits
@@ -262,3 +263,51 @@ def test_attributions_of_a_long_path_against_all_subsets():
                 product = np.prod([passed[i] if i in known else leaf.shares[i] for i in others])
                 want += math.factorial(n) * math.factorial(d - 1 - n) / math.factorial(d) * product
         assert explain.attributions(x, [leaf])[0, k] == pytest.approx(leaf.value * (passed[k] - leaf.shares[k]) * want)
+
+
+def test_hadamard_product_is_the_explicit_one():
+    matrix = np.array([[1.0]])
+    for _ in range(4):
+        matrix = np.block([[matrix, matrix], [matrix, -matrix]])
+    rows = np.random.default_rng(3).normal(size=(5, 16))
+    assert np.allclose(models.hadamard(rows), rows @ matrix / 4)
+
+
+@pytest.mark.parametrize("width", [3, 64, 100])
+def test_kernel_error_of_the_features(spark, width):
+    """Against the exact kernel, for widths below, at and beyond a block; the error falls with the number of features."""
+    x = np.random.default_rng(width).normal(size=(40, width)) / math.sqrt(width)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, features array<double>").withColumn("features", array_to_vector("features"))
+    exact = np.exp(-0.7 * ((x[:, None] - x[None]) ** 2).sum(2))
+
+    def error(size):
+        out = models.FourierFeatures(size=size, gamma=0.7).transform(df).orderBy("i").collect()
+        z = np.array([r.fourier.toArray() for r in out])
+        assert z.shape == (40, size)
+        return np.sqrt(((z @ z.T - exact) ** 2).mean())
+
+    small, large = error(100), error(6400)
+    assert large < 0.02 and large < small < 0.2
+
+
+def test_svm_grid_shares_features_and_linear_points(spark):
+    """Rows inside a circle are told from those outside by the rbf points only; linear points of all gammas are one fit."""
+    random = np.random.default_rng(5)
+    x = random.uniform(-1, 1, (300, 2))
+    rows = [(v.tolist(), float((v**2).sum() < 0.5), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "features array<double>, label double, fold int").coalesce(1).withColumn("features", array_to_vector("features"))
+    points = models.grid_points({"C": [1, 10], "gamma": [1, 0.1], "kernel": ["rbf", "linear"]})
+    grid = models.svm_grid(points, size=128, iterations=15)
+    assert len(models._fits(points, grid["same"])) == 6
+    table, best = models.tune(None, df=df, metric="accuracy", fold_col="fold", **grid)
+    rows = table.collect()
+    assert len(rows) == 16 and best["kernel"] == "rbf"
+    metric = {(r.point, r.fold): r.metric for r in rows}
+    linear = [i for i, p in enumerate(points) if p["kernel"] == "linear"]
+    for c in (1, 10):
+        twins = [i for i in linear if points[i]["C"] == c]
+        assert all(metric[twins[0], f] == metric[twins[1], f] for f in range(2))
+    train, held_out = df.where("fold <> 0"), df.where("fold = 0")
+    alone = Pipeline(stages=models.svm_stages(train.count(), "rbf", best["C"], best["gamma"], size=128, iterations=15)).fit(train)
+    separate = models.evaluator("accuracy").evaluate(alone.transform(held_out))
+    assert metric[points.index(best), 0] == pytest.approx(separate, abs=1e-12)

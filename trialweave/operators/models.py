@@ -139,8 +139,26 @@ def target_encoded_boosting(
     return Pipeline(stages=stages)
 
 
+def hadamard(rows: np.ndarray) -> np.ndarray:
+    """Rows times the orthonormal Walsh-Hadamard matrix in d log d steps; their width d is a power of two."""
+    width, half = rows.shape[1], 1
+    while half < width:
+        pairs = rows.reshape(len(rows), -1, 2, half)
+        rows = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), axis=2).reshape(len(rows), width)
+        half *= 2
+    return rows / math.sqrt(width)
+
+
+#: Least width of the blocks of directions, so that their entries are close to normal for vectors of few columns, and values projected at once.
+BLOCK_WIDTH, BLOCK_VALUES = 64, 1 << 21
+
+
 class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Random cosine features whose inner products approximate the kernel exp(-gamma |x - y|^2)."""
+    """Random cosine features whose inner products approximate the kernel exp(-gamma |x - y|^2).
+
+    Directions come in orthogonal blocks as wide as the vectors: three rounds of random signs and a Hadamard product, so that a row of d columns costs
+    log d for a feature instead of d and only signs are kept.
+    """
 
     inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
@@ -157,16 +175,26 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
     def _transform(self, df: DataFrame) -> DataFrame:
         size, gamma, seed = (self.getOrDefault(p) for p in ("size", "gamma", "seed"))
 
+        def features(x: np.ndarray) -> np.ndarray:
+            width = max(BLOCK_WIDTH, 1 << (x.shape[1] - 1).bit_length())
+            random = np.random.default_rng(seed)
+            shifts = random.uniform(0, 2 * math.pi, size)
+            padded = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+            blocks = []
+            for _ in range(math.ceil(size / width)):
+                turned = padded
+                for signs in random.choice([-1.0, 1.0], (3, width)):
+                    turned = hadamard(turned * signs)
+                blocks.append(turned)
+            angles = math.sqrt(2 * gamma * width) * np.hstack(blocks)[:, :size] + shifts
+            return math.sqrt(2 / size) * np.cos(angles)
+
         @F.pandas_udf("array<double>")
         def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            directions = shifts = None
             for vectors in batches:
-                x = np.stack(vectors.to_numpy())
-                if directions is None:
-                    random = np.random.default_rng(seed)
-                    directions = random.normal(0, math.sqrt(2 * gamma), (x.shape[1], size))
-                    shifts = random.uniform(0, 2 * math.pi, size)
-                yield pd.Series(list(math.sqrt(2 / size) * np.cos(x @ directions + shifts)))
+                step = max(1, BLOCK_VALUES // size)
+                out = [row for i in range(0, len(vectors), step) for row in features(np.stack(vectors.iloc[i : i + step].to_numpy()))]
+                yield pd.Series(out, dtype=object)
 
         projected = project(vector_to_array(self.getOrDefault("inputCol")))
         return df.withColumn(self.getOrDefault("outputCol"), array_to_vector(projected))
@@ -187,6 +215,32 @@ def svm_stages(
     return [*mapped, svm]
 
 
+class PenaltySVM(Estimator):
+    """Linear SVM whose regularisation is what the penalty C means for the rows it is fitted on."""
+
+    def __init__(self, C: float, features: str = "features", **params):
+        super().__init__()
+        self.C, self.svm = C, LinearSVC(featuresCol=features, **params)
+
+    def _fit(self, df: DataFrame) -> Transformer:
+        return self.svm.copy({self.svm.regParam: 1.0 / (self.C * max(1, df.count()))}).fit(df)
+
+
+def svm_grid(points: list[dict], size: int = 256, iterations: int = 100) -> dict:
+    """What `tune` needs for points (C, gamma, kernel): the points of a gamma share one table of features, and a linear kernel has no gamma."""
+
+    def build(point: dict) -> Estimator:
+        return PenaltySVM(point["C"], "fourier" if point["kernel"] == "rbf" else "features", maxIter=iterations)
+
+    def shared(point: dict) -> Transformer | None:
+        return FourierFeatures(gamma=point["gamma"], size=size) if point["kernel"] == "rbf" else None
+
+    def same(point: dict) -> dict:
+        return point if point["kernel"] == "rbf" else {k: v for k, v in point.items() if k != "gamma"}
+
+    return {"build": build, "points": points, "same": same, "shared": shared, "shared_key": lambda p: p["gamma"] if p["kernel"] == "rbf" else None}
+
+
 def svm_with_probability(
     encoded: DataFrame, fold_col: str, kernel: str = "rbf", C: float = 1.0, gamma: float = 0.1, iterations: int = 100
 ) -> PipelineModel:
@@ -311,20 +365,30 @@ def _fits(points: list[dict], same: Callable[[dict], dict]) -> list[tuple[dict,
     return list(groups.values())
 
 
+def _by_key(fits: list[tuple], key: Callable[[dict], object]) -> dict[object, tuple[dict, list[tuple]]]:
+    """The fits of each key, with the point of the first."""
+    groups: dict[object, tuple[dict, list[tuple]]] = {}
+    for fit in fits:
+        groups.setdefault(key(fit[0]), (fit[0], []))[1].append(fit)
+    return groups
+
+
 def tune(
     encoder: Pipeline | None, build: Callable[[dict], Estimator], points: list[dict], df: DataFrame, metric: str, fold_col: str,
     parallelism: int = 4, same: Callable[[dict], dict] = dict,
+    shared: Callable[[dict], Transformer | None] = lambda point: None, shared_key: Callable[[dict], object] = lambda point: None,
 ) -> tuple[DataFrame, dict]:
     """All grid points on all folds: the table (point, params, fold, metric, best) and the best point.
 
     build makes the estimator of a point. The encoder is fitted once per fold, on the other folds, and its output
     is kept for all grid points; without one, the estimator takes the rows as they are. Points that differ only in their number of trees are one fit
     of the most trees, and each is judged by its first trees; so are points that `same` maps to the same parameters. Fits of all folds run side by side.
+    `shared` gives the transformer that a point needs before its estimator; it runs once a fold for all points of one `shared_key`.
     The best mean metric wins, and the first of equal ones.
     """
     judge = evaluator(metric)
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    kept: dict[int, tuple[DataFrame, DataFrame]] = {}
+    kept: dict[object, tuple[DataFrame, DataFrame]] = {}
 
     def prepared(fold) -> None:
         train, held_out = df.filter(F.col(fold_col) != fold), df.filter(F.col(fold_col) == fold)
@@ -333,15 +397,27 @@ def tune(
             train, held_out = encode.transform(train), encode.transform(held_out)
         kept[fold] = train.persist(), held_out.persist()
 
+    def mapped(work: tuple) -> None:
+        fold, key, point = work
+        change = shared(point)
+        if change is not None:
+            kept[fold, key] = tuple(change.transform(frame).persist() for frame in kept[fold])
+
     def judged(work: tuple) -> list[tuple]:
         fold, (point, answered) = work
-        train, held_out = kept[fold]
+        train, held_out = kept.get((fold, shared_key(point)), kept[fold])
         model = build(point).fit(train)
         values = {trees: float(judge.evaluate((model if trees is None else shortened(model, trees)).transform(held_out))) for trees in {t for _, t in answered}}
         return [(number, str(points[number]), int(fold), values[trees]) for number, trees in answered]
 
     in_parallel(prepared, folds, parallelism)
-    rows = sum(in_parallel(judged, [(fold, fit) for fold in folds for fit in _fits(points, same)], parallelism), [])
+    rows = []
+    for key, (first, fits) in _by_key(_fits(points, same), shared_key).items():
+        in_parallel(mapped, [(fold, key, first) for fold in folds], parallelism)
+        rows += sum(in_parallel(judged, [(fold, fit) for fold in folds for fit in fits], parallelism), [])
+        for fold in folds:
+            for frame in kept.pop((fold, key), ()):
+                frame.unpersist()
     for pair in kept.values():
         for frame in pair:
             frame.unpersist()
