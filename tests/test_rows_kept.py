@@ -147,3 +147,27 @@ def test_a_discarded_stage_is_gone(spark):
     assert not os.path.exists(folder)
     with pytest.raises(ValueError):
         discard(spark.range(3))
+
+
+@pytest.mark.parametrize("heavy", [0, 5, 1000])
+def test_codes_do_not_depend_on_what_is_broadcast(spark, monkeypatch, heavy):
+    """Half of the rows share a value and some have none; a long value is never broadcast; unseen values are -1."""
+    monkeypatch.setattr(encode, "HEAVY", heavy)
+    value = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 11 == 0, None).when(F.col("id") == 7, F.repeat(F.lit("x"), 400)).otherwise((F.col("id") % 40).cast("string"))
+    df = spark.range(600).withColumn("c", value)
+    codes = encode.CategoryCodes(["c"]).fit(df)
+    assert (codes.rest["c"] is None) == (codes.heavy["c"].count() == df.select("c").dropna().distinct().count())
+    assert codes.heavy["c"].where(F.length("c") > 256).isEmpty()
+    values = sorted({r.c for r in df.collect()} - {None})
+    wanted = {v: i for i, v in enumerate(values)} | {None: -1}
+    found = codes.transform(df).collect()
+    given = {r.id: r.c for r in df.collect()}
+    assert len(found) == 600 and all(r.c == wanted[given[r.id]] for r in found)
+    other = spark.createDataFrame([("hot",), ("never seen",), (None,)], "c string")
+    assert sorted(r.c for r in codes.transform(other).collect()) == [-1, -1, values.index("hot")]
+
+
+def test_a_small_vocabulary_needs_no_shuffle(spark):
+    df = spark.range(100).withColumn("c", (F.col("id") % 7).cast("string"))
+    plan = encode.CategoryCodes(["c"]).fit(df).transform(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -14,24 +14,45 @@ from trialweave.operators.ranking import positions
 from trialweave.session import cut_lineage
 
 
+#: Values of a dictionary that every task may have, and their longest length in characters; together they bound what is broadcast.
+HEAVY, HEAVY_LENGTH = 1_000, 256
+
+
 class CategoryCodes:
-    """Sorted distinct values -> 0..k-1, null and unseen -> -1. The vocabulary stays a distributed table, written when it is fitted."""
+    """Sorted distinct values -> 0..k-1, null and unseen -> -1. The vocabulary stays a distributed table, written when it is fitted.
+
+    The most frequent values, at most `HEAVY` of at most `HEAVY_LENGTH` characters, are looked up in a broadcast table, so a skewed column is not
+    shuffled on its hot values. Other values meet the rest of the vocabulary by a hash join, if there is a rest; rows that
+    already have their code, and nulls, are spread over it by a hash of the row.
+    """
 
     def __init__(self, columns: list[str]):
         self.columns = columns
 
     def fit(self, df: DataFrame) -> CategoryCodes:
-        self.tables = {
-            c: cut_lineage(positions(cut_lineage(df.select(c).dropna().distinct()), [], [c], "_code")) for c in self.columns
-        }
+        self.tables, self.heavy, self.rest = {}, {}, {}
+        for c in self.columns:
+            counted = cut_lineage(df.select(c).dropna().groupBy(c).agg(F.count(F.lit(1)).alias("_n")))
+            codes = self.tables[c] = cut_lineage(positions(counted, [], [c], "_code"))
+            short = codes.where(F.length(F.col(c).cast("string")) <= HEAVY_LENGTH)
+            self.heavy[c] = cut_lineage(short.orderBy(F.desc("_n"), "_code").limit(HEAVY).drop("_n"))
+            others = codes.join(F.broadcast(self.heavy[c].select("_code")), "_code", "left_anti").select(c, "_code")
+            self.rest[c] = None if codes.count() == self.heavy[c].count() else cut_lineage(others)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
+        hashed = [n for n, t in df.dtypes if not t.startswith(("map", "variant"))]
         for c in self.columns:
-            coded = df.join(self.tables[c], c, "left")
-            df = coded.withColumn(c, F.coalesce("_code", F.lit(-1)).cast("int")).drop("_code")
-        return df.select(order)
+            coded = df.join(F.broadcast(self.heavy[c].withColumnRenamed("_code", "_heavy")), c, "left")
+            found = F.col("_heavy")
+            if self.rest[c] is not None:
+                done = F.col("_heavy").isNotNull() | F.col(c).isNull()
+                spread = coded.withColumn("_open", F.when(~done, F.col(c))).withColumn("_salt", F.when(done, F.xxhash64(*hashed)).otherwise(0))
+                rest = self.rest[c].select(F.col(c).alias("_open"), "_code", F.lit(0).cast("bigint").alias("_salt"))
+                coded, found = spread.join(rest, ["_open", "_salt"], "left"), F.coalesce("_heavy", "_code")
+            df = coded.withColumn(c, F.coalesce(found, F.lit(-1)).cast("int")).select(order)
+        return df
 
 
 class MomentScaler:
