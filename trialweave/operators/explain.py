@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.operators.models import MAX_DEPTH, forest_classifier, training_layout
+from trialweave.operators.models import MAX_DEPTH, SPREAD, forest_classifier, training_layout
 from trialweave.operators.ranking import hash_key
 from trialweave.operators.relational import above_nth_largest, top_k
 from trialweave.session import cut_lineage, scratch_path
@@ -34,7 +34,7 @@ def rank_features(
     filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(means[c] or 0.0)) for c in columns}
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df.withColumns(filled))
     forest = forest_classifier(trees, seed, labelCol=label, maxDepth=depth)
-    model = forest.fit(training_layout(vectors.select(key, label, "features"), key))
+    model = forest.fit(training_layout(vectors.select(key, label, "features"), key, spread=SPREAD))
     return importance_table(df.sparkSession, model, columns)
 
 
