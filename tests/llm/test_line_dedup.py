@@ -130,3 +130,13 @@ def test_blocks_against_whole_documents_aligned(spark, sf):
             assert got[i] == ("", len(mine))
         assert got[i][1] >= len(gone) and set(re.split(ld.LINE_END, got[i][0])) <= {*(x for k, x in enumerate(re.split(ld.LINE_END, texts[i])) if k not in gone), ""}
     assert copies == 10
+
+
+def test_a_block_that_crosses_in_the_first_holders_is_found_in_a_later_one(spark):
+    """The last document's second block stands behind the first one in no early holder; a later holder has it alone."""
+    x = [f"first block line {k} of five words" for k in range(3)]
+    y = "the other block has one line"
+    crossing = [(i, "\n".join([y, f"own line number {i}", *x, f"end of number {i}"])) for i in range(1, 41)]
+    rows = [*crossing, (50, f"a text before\n{y}\nan end of its own"), (60, "\n".join(["start of the last", *x, "a middle line", y, "end of the last"]))]
+    got = {i: (t, n) for i, t, n in out(spark, rows, find=ld.block_lines)}
+    assert got[60] == ("start of the last\na middle line\nend of the last", 4)

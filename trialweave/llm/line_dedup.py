@@ -2,8 +2,9 @@
 
 `block_lines` is the whole job and what the queries use. Copies are grouped by the digest of all their lines. Among the other documents each run of
 just enough words names the first document that holds it, and the first in some parts of the documents, so pairs grow with lines and not with
-the square of a run's documents, and every block that any earlier document has lies in a pair. A pair is aligned by patience diff over all
-lines that both hold; of blocks that cross in every such pair the alignment keeps one.
+the square of a run's documents. A pair is aligned by patience diff over all lines that both hold. A run that an earlier document holds and that these
+pairs left, because blocks cross in them, then meets more holders and at last all of them, so the lines that go are those that an alignment with every earlier
+document deletes. Only documents with such a run make those pairs.
 
 `common_lines` is an older and narrower rule: a line names the first document that holds it, and a pair is aligned only over the lines that
 the partner was the first to hold, so a block whose lines have several first holders is broken.
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from trialweave.llm.names import fresh
 from trialweave.session import cut_lineage
 
-#: Documents are dealt into so many parts by their key, and a run of words names the first holder in each.
-HOLDERS = 4
+#: Documents are dealt into so many parts by their key, and a run of words names the first holder in each; what is left after that is
+#: dealt into more parts, and what is still left meets every holder.
+HOLDERS, MORE_HOLDERS = 4, 64
 LINE_END = r"\r\n|\r|\n"
 
 
@@ -93,8 +95,8 @@ def _common_blocks(a: list[tuple[int, int]], b: list[tuple[int, int]], lengths:
     return out
 
 
-def _windows(hashes: list[int], words: list[int], least_words: int) -> set[int]:
-    """Hashes of the shortest runs of lines from each line on, and up to each line, that hold at least `least_words` words.
+def _windows(hashes: list[int], words: list[int], least_words: int, gone: set[int] = frozenset()) -> set[int]:
+    """Hashes of the shortest runs of lines from each line on, and up to each line, that hold at least `least_words` words and not only lines that are `gone`.
     Every line of a block of that many words lies in such a run inside the block."""
     out = set()
     for begin in range(len(hashes)):
@@ -103,6 +105,8 @@ def _windows(hashes: list[int], words: list[int], least_words: int) -> set[int]:
             for end in steps:
                 held += words[end]
                 if held >= least_words:
+                    if gone and all(x in gone for x in range(min(begin, end), max(begin, end) + 1)):
+                        break
                     run = 0
                     for x in hashes[min(begin, end) : max(begin, end) + 1]:
                         run = (run * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
@@ -138,10 +142,13 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([x for f in found for x in f], pa.int64())], names=["doc", "run"])
 
     windows = cut_lineage(rest.select("doc", "lines.hash", "lines.words").mapInArrow(runs, f"doc {kind}, run long"))
-    part = F.pmod(F.xxhash64("doc"), F.lit(HOLDERS))
-    partners = cut_lineage(windows.groupBy("run", part.alias("part")).agg(F.min("doc").alias("partner")))
-    shared = cut_lineage(windows.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("run"))
-    pairs = cut_lineage(windows.join(shared, "run").join(partners, "run").where("doc > partner").select("doc", "partner").distinct())
+    shared = cut_lineage(windows.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("run", "first"))
+    windows = cut_lineage(windows.join(shared, "run"))
+
+    def first_holders(of: DataFrame, parts: int) -> DataFrame:
+        return of.groupBy("run", F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part")).agg(F.min("doc").alias("partner")).select("run", "partner")
+
+    pairs = cut_lineage(windows.select("doc", "run").join(first_holders(windows, HOLDERS), "run").where("doc > partner").select("doc", "partner").distinct())
 
     # Grouped by document and line first: a line that very many documents hold then meets joins only, which AQE can split.
     numbered = rest.select("doc", F.posexplode("lines").alias("at", "line")).select("doc", "at", "line.*")
@@ -149,8 +156,6 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     held = cut_lineage(places.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("hash", "first"))
     lines = cut_lineage(places.join(held, "hash"))
     origin = lines.select(F.col("doc").alias("partner"), "hash", F.col("at.at").alias("first_at"))
-    both = cut_lineage(pairs.join(lines, "doc")).join(origin, ["partner", "hash"])
-    common = both.groupBy("doc", "partner").agg(F.collect_list(F.struct("hash", "at", "first_at", "words", F.expr("first = partner").alias("own"))).alias("common"))
 
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -169,8 +174,37 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
                 found.append(sorted(gone))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc", "lines"])
 
-    aligned = common.select("doc", "common").mapInArrow(align, f"doc {kind}, lines array<int>").where(F.size("lines") > 0)
-    aligned = aligned.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    def found_in(pairs: DataFrame) -> DataFrame:
+        both = cut_lineage(pairs.join(lines, "doc")).join(origin, ["partner", "hash"])
+        common = both.groupBy("doc", "partner").agg(F.collect_list(F.struct("hash", "at", "first_at", "words", F.expr("first = partner").alias("own"))).alias("common"))
+        out = common.select("doc", "common").mapInArrow(align, f"doc {kind}, lines array<int>").where(F.size("lines") > 0)
+        return cut_lineage(out.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")))
+
+    def left(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            columns = [part.column(c).to_pylist() for c in range(1, 5)]
+            found = [_windows(h, w, least_words, {k for k, x in enumerate(n) if x in gone}) for h, w, n, gone in zip(*columns[:3], map(set, columns[3]))]
+            at = [i for i, x in enumerate(found) for _ in x]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([x for f in found for x in f], pa.int64())], names=["doc", "run"])
+
+    aligned, tried = found_in(pairs), pairs
+    later = windows.where("doc > first").select("doc").distinct()
+    for parts in (MORE_HOLDERS, None):
+        # Of documents with a run that an earlier one holds: the runs that have a line left.
+        gone = aligned.select("doc", F.col("lines").alias("gone"))
+        kept = rest.join(later, "doc", "left_semi").join(gone, "doc", "left")
+        kept = kept.select("doc", "lines.hash", "lines.words", "lines.number", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+        open_runs = kept.mapInArrow(left, f"doc {kind}, run long").distinct()
+        open_runs = cut_lineage(open_runs.join(shared.select("run", "first"), "run").where("doc > first").select("doc", "run"))
+        holders = windows.select("doc", "run").join(open_runs.select("run").distinct(), "run", "left_semi")
+        partners = holders.withColumnRenamed("doc", "partner") if parts is None else first_holders(holders, parts)
+        more = open_runs.join(partners, "run").where("doc > partner").select("doc", "partner").distinct()
+        more = cut_lineage(more.join(tried, ["doc", "partner"], "left_anti"))
+        if more.isEmpty():
+            continue
+        both = aligned.unionByName(found_in(more))
+        aligned = cut_lineage(both.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")))
+        tried, later = tried.unionByName(more), open_runs.select("doc").distinct()
     return aligned.unionByName(copies).withColumnRenamed("doc", key)
 
 
