@@ -140,3 +140,30 @@ def test_a_block_that_crosses_in_the_first_holders_is_found_in_a_later_one(spark
     rows = [*crossing, (50, f"a text before\n{y}\nan end of its own"), (60, "\n".join(["start of the last", *x, "a middle line", y, "end of the last"]))]
     got = {i: (t, n) for i, t, n in out(spark, rows, find=ld.block_lines)}
     assert got[60] == ("start of the last\na middle line\nend of the last", 4)
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_runs_documents(spark, monkeypatch):
+    """The second block of the last 40 documents stands behind the first one in no early holder but one, and all of them hold it."""
+    x, y = "first block line of five words\nsecond block line of five words", "the other block has one line"
+    rows = [(i, f"{y}\nown line number {i}\n{x}\nend of number {i}") for i in range(1, 41)] + [(50, f"a text before\n{y}\nan end of its own")]
+    rows += [(i, f"start of number {i}\n{x}\nmiddle line of {i}\n{y}\nend of number {i}") for i in range(100, 140)]
+    tried, cut = [], ld.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["doc", "partner"]:
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(ld, "cut_lineage", counted)
+    got = {i: n for i, _, n in out(spark, rows, find=ld.block_lines)}
+    assert all(got[i] == 3 for i in range(100, 140)) and got[50] == 1
+    assert sum(tried) <= 6 * len(rows)
+
+
+def test_holders_of_one_class_stand_for_all(spark):
+    """A repeated line goes where an earlier document repeats it as well, however many hold it once."""
+    line, other = "a line of just five words", "another line of some five words"
+    rows = [(i, f"{line}\nown line {i}") for i in range(1, 30)] + [(40, f"{line}\nx\n{line}\ny\n{line}"), (41, f"{line}\nz\n{line}\nno"), (42, f"{other}\n{line}\n{line}\n{other}\nv"), (43, f"{other}\nw\n{line}\n{other}")]
+    got = {i: n for i, _, n in out(spark, rows, find=ld.block_lines)}
+    assert [got[i] for i in (1, 29, 40, 41, 42, 43)] == [0, 1, 1, 2, 2, 3]

@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment: blocks of lines that a document shares with an earlier one are deleted.
 
 `block_lines` is the whole job and what the queries use. Copies are grouped by the digest of all their lines. Among the other documents each run of
-just enough words names the first document that holds it, and the first in some parts of the documents, so pairs grow with lines and not with
-the square of a run's documents. A pair is aligned by patience diff over all lines that both hold. A run that an earlier document holds and that these
-pairs left, because blocks cross in them, then meets more holders and at last all of them, so the lines that go are those that an alignment with every earlier
-document deletes. Only documents with such a run make those pairs.
+just enough words names the first document that holds it, so pairs grow with lines and not with the square of a run's documents. A pair is aligned by patience diff over all lines that both hold. A run that an earlier document holds and that these
+pairs left, because blocks cross or repeat in them, then meets the earlier holders with the fewest shared lines, where least can cross. What is still left meets
+all earlier holders, one of each class: holders that agree in all lines of the documents that a run is left in are aligned alike, so the first of them
+stands for all. So the lines that go are those that an alignment with every earlier document deletes.
 
 `common_lines` is an older and narrower rule: a line names the first document that holds it, and a pair is aligned only over the lines that
 the partner was the first to hold, so a block whose lines have several first holders is broken.
@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from trialweave.llm.names import fresh
 from trialweave.session import cut_lineage
 
-#: Documents are dealt into so many parts by their key, and a run of words names the first holder in each; what is left after that is
-#: dealt into more parts, and what is still left meets every holder.
-HOLDERS, MORE_HOLDERS = 4, 64
+#: Numbers of shared lines, and of repeats among them, that are told apart where the holders with the fewest are looked for.
+LINE_COUNTS = 64
 LINE_END = r"\r\n|\r|\n"
 
 
@@ -145,10 +144,7 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     shared = cut_lineage(windows.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("run", "first"))
     windows = cut_lineage(windows.join(shared, "run"))
 
-    def first_holders(of: DataFrame, parts: int) -> DataFrame:
-        return of.groupBy("run", F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part")).agg(F.min("doc").alias("partner")).select("run", "partner")
-
-    pairs = cut_lineage(windows.select("doc", "run").join(first_holders(windows, HOLDERS), "run").where("doc > partner").select("doc", "partner").distinct())
+    pairs = cut_lineage(windows.where("doc > first").select("doc", F.col("first").alias("partner")).distinct())
 
     # Grouped by document and line first: a line that very many documents hold then meets joins only, which AQE can split.
     numbered = rest.select("doc", F.posexplode("lines").alias("at", "line")).select("doc", "at", "line.*")
@@ -187,24 +183,42 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
             at = [i for i, x in enumerate(found) for _ in x]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([x for f in found for x in f], pa.int64())], names=["doc", "run"])
 
-    aligned, tried = found_in(pairs), pairs
-    later = windows.where("doc > first").select("doc").distinct()
-    for parts in (MORE_HOLDERS, None):
-        # Of documents with a run that an earlier one holds: the runs that have a line left.
+    def open_runs(later: DataFrame, aligned: DataFrame) -> DataFrame:
+        """(doc, run): the runs that an earlier document holds and that have a line left."""
         gone = aligned.select("doc", F.col("lines").alias("gone"))
         kept = rest.join(later, "doc", "left_semi").join(gone, "doc", "left")
         kept = kept.select("doc", "lines.hash", "lines.words", "lines.number", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-        open_runs = kept.mapInArrow(left, f"doc {kind}, run long").distinct()
-        open_runs = cut_lineage(open_runs.join(shared.select("run", "first"), "run").where("doc > first").select("doc", "run"))
-        holders = windows.select("doc", "run").join(open_runs.select("run").distinct(), "run", "left_semi")
-        partners = holders.withColumnRenamed("doc", "partner") if parts is None else first_holders(holders, parts)
-        more = open_runs.join(partners, "run").where("doc > partner").select("doc", "partner").distinct()
-        more = cut_lineage(more.join(tried, ["doc", "partner"], "left_anti"))
+        runs = kept.mapInArrow(left, f"doc {kind}, run long").distinct()
+        return cut_lineage(runs.join(shared.select("run", "first"), "run").where("doc > first").select("doc", "run"))
+
+    def fewest_lines(runs: DataFrame, holders: DataFrame) -> DataFrame:
+        """(doc, partner): the earlier holders of each run with the fewest shared lines, one for each number of repeats among these lines."""
+        sizes = lines.groupBy("doc").agg(F.least(F.count("*"), F.lit(LINE_COUNTS)).alias("size"), F.least(F.sum(F.size("at") - 1), F.lit(LINE_COUNTS)).alias("repeats"))
+        firsts = holders.join(sizes, "doc").groupBy("run", "repeats", "size").agg(F.min("doc").alias("partner"))
+        met = runs.join(firsts, "run").where("doc > partner")
+        return met.groupBy("doc", "run", "repeats").agg(F.min(F.struct("size", "partner")).alias("best")).select("doc", F.col("best.partner").alias("partner")).distinct()
+
+    def of_each_class(runs: DataFrame, holders: DataFrame) -> DataFrame:
+        """(doc, partner): the first of the earlier holders that agree in what `align` reads of them, for all documents that the run is left in."""
+        read = runs.join(lines, "doc").select("run", "hash").distinct()
+        parts = holders.join(lines, "doc").join(read, ["run", "hash"]).select("run", "doc", "hash", (F.col("first") == F.col("doc")).alias("own"), F.explode("at.at").alias("at"))
+        order = parts.groupBy("run", "doc").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "own"))).alias("order"))
+        steps = F.transform("order", lambda x, i: F.struct(x["hash"], x["own"], F.coalesce(x["at"] == F.get("order", i - 1)["at"] + 1, F.lit(False))))
+        firsts = order.select("run", "doc", F.xxhash64(steps).alias("class")).groupBy("run", "class").agg(F.min("doc").alias("partner"))
+        return runs.join(firsts, "run").where("doc > partner").select("doc", "partner").distinct()
+
+    aligned, tried = found_in(pairs), pairs
+    later = windows.where("doc > first").select("doc").distinct()
+    for choose in (fewest_lines, of_each_class):
+        runs_left = open_runs(later, aligned)
+        holders = windows.select("doc", "run").join(runs_left.select("run").distinct(), "run", "left_semi")
+        chosen = cut_lineage(choose(runs_left, holders))
+        more = cut_lineage(chosen.join(tried, ["doc", "partner"], "left_anti"))
         if more.isEmpty():
             continue
         both = aligned.unionByName(found_in(more))
         aligned = cut_lineage(both.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")))
-        tried, later = tried.unionByName(more), open_runs.select("doc").distinct()
+        tried, later = tried.unionByName(more), runs_left.select("doc").distinct()
     return aligned.unionByName(copies).withColumnRenamed("doc", key)
 
 
