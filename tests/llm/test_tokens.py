@@ -73,6 +73,24 @@ def test_the_query_decodes_each_row(spark, sf, pieces):
     assert got == {**{i: True for i in range(len(TEXTS))}, 90: False, None: True}
 
 
+def test_one_python_step_behind_the_join_and_a_word_sent_once_by_a_task(spark, pieces, monkeypatch):
+    """Each step has a worker of its own on every core, so decoding goes with the step that puts the ids together."""
+    monkeypatch.setattr(lattice, "FREQUENT", 0)
+    asked, solve = [], lattice.solve
+
+    def counted(distinct, *more):
+        asked.append(sorted(r.word for r in distinct.collect()))
+        return solve(distinct, *more)
+
+    monkeypatch.setattr(lattice, "solve", counted)
+    own = spark.createDataFrame([(i, "some words twice some words") for i in range(50)], "doc_id long, text string").coalesce(1)
+    out = lattice.encode_and_decode(own, pieces)
+    assert asked[-1] == ["▁some", "▁twice", "▁words"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.index("MapInArrow") < plan.index("Join")
+    assert [r.round_trip for r in out.collect()] == [True] * 50
+
+
 def test_no_rows(nothing, pieces):
     assert token_counts.count_tokens(nothing, pieces).count() == 0
     assert lattice.encode(nothing, pieces).count() == 0

@@ -12,7 +12,9 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +26,8 @@ from trialweave.session import cut_lineage
 
 #: Words that every task has, and documents whose words they are chosen from.
 FREQUENT, SAMPLE_DOCUMENTS = 300_000, 20_000
+#: Hashes of other words that a task keeps, so as to send a word once; beyond it the task starts anew, which changes no result.
+SEEN = 1_000_000
 
 
 # An edge is one number: its score in steps, then its length, then its piece. Of equal scores the longer edge is larger.
@@ -128,6 +132,23 @@ def _split_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield low, high, text, starts, ends, rows, words.hashes(text, starts, ends, fold=False)
 
 
+def _lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step, giving free memory back before and after a task: Spark keeps a Python worker for later tasks, with all it ever had."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from step(parts)
+        give_back()
+
+    return run
+
+
 def _text(data: np.ndarray, start: int, end: int) -> str:
     return data[start:end].tobytes().decode().replace(" ", SPACE)
 
@@ -147,7 +168,7 @@ def frequent_words(docs: DataFrame, text: str, pieces: DataFrame, table: PieceTa
                 found = [_text(data, s, e) for s, e in zip(starts[first], ends[first])]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], names=["word", "n"])
 
-    counted = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(_lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     chosen = cut_lineage(counted.orderBy(F.desc("n"), "word").limit(FREQUENT))
     spread = chosen.select("word").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "word")
     solved = solve(spread, pieces, table).join(chosen, "word").select("word", "ids", "n").toArrow()
@@ -184,12 +205,14 @@ class _Coder:
         return codes, order[new], place[new]
 
 
-def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids) for each row: the pieces of the text's best segmentation. Null texts have null ids, empty ones none.
 
-    With `digest` a third column, digest, has xxhash64 of the text. Repeated rows and null keys keep their rows; only the two columns are read.
+    With `decoded` two columns follow: digest, xxhash64 of the text, and decoded, what the ids spell (see decode; by the same task, so that an executor
+    has one Python worker for both). Repeated rows and null keys keep their rows; only the two columns are read.
     """
     spark = docs.sparkSession
+    names = spark.sparkContext.broadcast(_names(table)) if decoded else None
     pieces = piece_frame(spark, table)
     shared = spark.sparkContext.broadcast(_Coder(frequent_words(docs, text, pieces, table)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -204,9 +227,21 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
                 names = part.column(0).take(pa.array(low + at[one]))
                 yield pa.RecordBatch.from_arrays([names, pa.array(place.astype(np.int32)), pa.array(found, pa.string())], names=["row", "place", "word"])
 
+    def unseen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, seen = shared.value, np.zeros(0, np.uint64)
+        for part in parts:
+            for _, _, data, starts, ends, at, hashed in _split(part.column(0)):
+                one = coder.codes(at, hashed)[1]
+                found, first = np.unique(hashed[one], return_index=True)
+                new = one[first[~np.isin(found, seen, assume_unique=True)]]
+                seen = found if len(seen) > SEEN else np.union1d(seen, found)
+                yield pa.RecordBatch.from_arrays([pa.array([_text(data, s, e) for s, e in zip(starts[new], ends[new])], pa.string())], names=["word"])
+
+    # Solved words are written, so that no task sorts them for the fold and for their way back at once.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    wanted = rows.select("row", "text").mapInArrow(rare, "row long, place int, word string").repartition(parts, "word")
-    solved = solve(wanted.groupBy("word").agg(F.first("row").alias("_r")).select("word"), pieces, table)
+    distinct = rows.select("text").mapInArrow(_lean(unseen), "word string").repartition(parts, "word").distinct()
+    solved = cut_lineage(solve(distinct, pieces, table))
+    wanted = rows.select("row", "text").mapInArrow(_lean(rare), "row long, place int, word string")
     answers = wanted.join(solved, "word").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("rare"))
     answers = answers.select("row", F.flatten("rare.ids").alias("own"), F.transform("rare.ids", F.size).alias("sizes"))
 
@@ -222,7 +257,7 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary()), part.column(3)], names=["key", "row", "body", "digest"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    bodies = rows.select("key", "row", "text", "digest").mapInArrow(coded, f"key {kind}, row long, body binary, digest long")
+    bodies = rows.select("key", "row", "text", "digest").mapInArrow(_lean(coded), f"key {kind}, row long, body binary, digest long")
 
     def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
@@ -234,11 +269,13 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
                     own, sizes = some.column(2)[i].values, some.column(3)[i].values
                     none = np.zeros(0, np.int32)
                     out.append(None if body is None else _spell(_unpack(body), coder, none if own is None else own.to_numpy(), none if sizes is None else sizes.to_numpy()))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.int32())), some.column(4)], names=["key", "ids", "digest"])
+                columns = [some.column(0), pa.array(out, pa.list_(pa.int32()))]
+                if decoded:
+                    columns += [some.column(4), pa.array(_texts(columns[1], names.value), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "digest", "decoded"][: len(columns)])
 
-    together = bodies.join(answers, "row", "left").select("key", "body", "own", "sizes", "digest")
-    out = together.mapInArrow(joined, f"key {kind}, ids array<int>, digest long")
-    return (out if digest else out.drop("digest")).withColumnRenamed("key", key)
+    together = bodies.join(answers, "row", "left").select("key", "body", "own", "sizes", *["digest"] * decoded)
+    return together.mapInArrow(_lean(joined), f"key {kind}, ids array<int>" + ", digest long, decoded string" * decoded).withColumnRenamed("key", key)
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -270,18 +307,8 @@ def _spell(codes: np.ndarray, coder: _Coder, own: np.ndarray, own_sizes: np.ndar
 
 def encode_and_decode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, round_trip): `encode`, and whether the ids of the row decode to its text (compared by 64-bit digests)."""
-    encoded = encode(docs, table, key, text, digest=True)
-    shared = encoded.sparkSession.sparkContext.broadcast(_names(table))
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for low in range(0, len(part), 256):
-                some = part.slice(low, 256)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(_texts(some.column(1), shared.value), pa.string())], names=["key", "ids", "digest", "text"])
-
-    kind = encoded.schema[key].dataType.simpleString()
-    both = encoded.select(F.col(key).alias("key"), "ids", "digest").mapInArrow(batches, f"key {kind}, ids array<int>, digest long, text string")
-    return both.select(F.col("key").alias(key), "ids", (F.xxhash64("text") == F.col("digest")).alias("round_trip"))
+    both = encode(docs, table, key, text, decoded=True)
+    return both.select(key, "ids", (F.xxhash64("decoded") == F.col("digest")).alias("round_trip"))
 
 
 def _names(table: PieceTable) -> dict[int, bytes]:
