@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialweave.operators.models import MAX_DEPTH, SPREAD, forest_classifier, training_layout
+from trialweave.operators import models
+from trialweave.operators.models import MAX_DEPTH, SPREAD, forest_classifier
 from trialweave.operators.ranking import hash_key
 from trialweave.operators.relational import above_nth_largest, top_k
 from trialweave.session import cut_lineage, scratch_path
 
+#: Forests are much work for a row, so that a small table is spread as well.
+training_layout = partial(models.training_layout, spread=SPREAD)
+
 
 def importance_table(spark: SparkSession, model: Model, columns: list[str]) -> DataFrame:
     values = [float(v) for v in model.featureImportances.toArray()]
@@ -34,7 +39,7 @@ def rank_features(
     filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(means[c] or 0.0)) for c in columns}
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df.withColumns(filled))
     forest = forest_classifier(trees, seed, labelCol=label, maxDepth=depth)
-    model = forest.fit(training_layout(vectors.select(key, label, "features"), key, spread=SPREAD))
+    model = forest.fit(training_layout(vectors.select(key, label, "features"), key))
     return importance_table(df.sparkSession, model, columns)
 
 
