@@ -167,3 +167,12 @@ def test_holders_of_one_class_stand_for_all(spark):
     rows = [(i, f"{line}\nown line {i}") for i in range(1, 30)] + [(40, f"{line}\nx\n{line}\ny\n{line}"), (41, f"{line}\nz\n{line}\nno"), (42, f"{other}\n{line}\n{line}\n{other}\nv"), (43, f"{other}\nw\n{line}\n{other}")]
     got = {i: n for i, _, n in out(spark, rows, find=ld.block_lines)}
     assert [got[i] for i in (1, 29, 40, 41, 42, 43)] == [0, 1, 1, 2, 2, 3]
+
+
+def test_lines_to_delete_are_not_sent_to_every_task(spark):
+    """Their number follows the documents, so the join has the plan of a large table on a small one as well, and sorts no text."""
+    docs = spark.createDataFrame([(i, "a line of five words here\nand another of five words") for i in range(4)] + [(None, "null key")], "doc_id long, text string")
+    out = ld.dedup_lines(docs, find=ld.block_lines)
+    last = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in last and "BroadcastHashJoin" not in last and "SortMergeJoin" not in last
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == [(0, "a line of five words here\nand another of five words"), (1, ""), (2, ""), (3, ""), (None, "null key")]

@@ -282,7 +282,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     kept = docs.select(*[c for c in docs.columns if c != "deleted_lines"])
     later, gone = fresh(kept, "later", "gone")
     found = find(docs, key, text, least_words).select(F.col(key).alias(later), F.col("lines").alias(gone))
-    out = kept.join(found, F.col(key) == F.col(later), "left")
+    # The lines grow with the texts, so they are never sent to every task: one plan at every size, without a sort of the texts.
+    out = kept.join(found.hint("shuffle_hash"), F.col(key) == F.col(later), "left")
     return out.withColumn(text, _kept(F.col(text), F.col(gone))).select(
         *kept.columns, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("deleted_lines")
     )
