@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from trialweave.operators import encode, evaluate, explain, models, splits
@@ -311,3 +312,24 @@ def test_svm_grid_shares_features_and_linear_points(spark):
     alone = Pipeline(stages=models.svm_stages(train.count(), "rbf", best["C"], best["gamma"], size=128, iterations=15)).fit(train)
     separate = models.evaluator("accuracy").evaluate(alone.transform(held_out))
     assert metric[points.index(best), 0] == pytest.approx(separate, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["forest_classifier", "forest_regressor"])
+def test_a_forest_in_parts_is_the_mean_of_all_its_trees(spark, monkeypatch, kind):
+    """The driver has few trees at once, and no tree is left out or counted twice; a forest that fits is the plain one."""
+    rows = [(Vectors.dense(float(i % 13), float(i % 7)), float((i * 7 % 11) > 5)) for i in range(60)]
+    frame = spark.createDataFrame(rows, ["features", "label"]).coalesce(1)
+    forest = getattr(models, kind)(7, seed=5, **({"label": "label"} if kind == "forest_regressor" else {}))
+    plain = models.InParts(forest).fit(frame)
+    assert type(plain).__name__.startswith("RandomForest") and plain.getNumTrees == 7
+    monkeypatch.setattr(models, "NODES", 240)
+    parts = models.InParts(forest).fit(frame)
+    assert len(parts.parts) > 1 and sum(trees for _, _, trees in parts.parts) == 7 and parts.parts[0][2] == 3
+    trees = [t for c, path, _ in parts.parts for t in c.load(path).trees]
+    assert len(trees) == 7
+    for row in parts.transform(frame).collect():
+        if kind == "forest_regressor":
+            assert row.prediction == pytest.approx(sum(t.predict(row.features) for t in trees) / 7)
+        else:
+            votes = sum(t.predictProbability(row.features).toArray() for t in trees) / 7
+            assert row.probability.toArray() == pytest.approx(votes) and (abs(votes[0] - votes[1]) < 1e-9 or row.prediction == votes.argmax())
