@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 Words (runs between the cuts that no piece crosses) are solved in tables: their substrings of bounded length are exploded and
-equi-joined to the piece table, the edges found are grouped by word, and a higher-order aggregate folds them into the best path. Each
+equi-joined to the piece table, the edges found are grouped by buckets of words, and a fold over the positions of all words of a bucket finds the best paths. Each
 distinct word is solved once, however often it occurs.
 
 Solved words go back to the documents in two ways. Frequent words (chosen from a bounded sample of documents; the choice moves
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import words
 from trialweave.llm.pieces import SPACE, STEPS, PieceTable
@@ -28,6 +28,8 @@ from trialweave.session import cut_lineage
 FREQUENT, SAMPLE_DOCUMENTS = 300_000, 20_000
 #: Hashes of other words that a task keeps, so as to send a word once; beyond it the task starts anew, which changes no result.
 SEEN = 1_000_000
+#: Newest of them that are merged with each slice of texts, apart from the others. Buckets of words for each partition.
+NEWEST, BUCKETS = 30_000, 64
 
 
 # An edge is one number: its score in steps, then its length, then its piece. Of equal scores the longer edge is larger.
@@ -40,10 +42,6 @@ def _weight(score: float, length: int, piece: int) -> int:
     return (round(score * STEPS) << _LOW) + (length << _ID_BITS) + piece
 
 
-def _length(edge: Column) -> Column:
-    return F.shiftright(edge, _ID_BITS).bitwiseAND((1 << _LENGTH_BITS) - 1).cast("int")
-
-
 def piece_frame(spark: SparkSession, table: PieceTable) -> DataFrame:
     """(piece, weight): the pieces as edges."""
     if table.longest >= 1 << _LENGTH_BITS or max(i for i, _ in table.pieces.values()) >= _UNKNOWN:
@@ -51,51 +49,103 @@ def piece_frame(spark: SparkSession, table: PieceTable) -> DataFrame:
     return spark.createDataFrame([(p, _weight(s, len(p), i)) for p, (i, s) in table.pieces.items()], "piece string, weight long")
 
 
+def by_bucket(found: DataFrame) -> DataFrame:
+    """(bucket, word) of a frame (word), dealt by bucket. Buckets follow the number of partitions, and each is folded as a whole."""
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return found.select(F.pmod(F.xxhash64("word"), F.lit(parts * BUCKETS)).cast("int").alias("bucket"), "word").repartition(parts, "bucket")
+
+
 def solve(distinct: DataFrame, pieces: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) of the distinct, not null and not empty words of a frame (word).
+    """(word, ids) of the distinct, not null and not empty words of a frame (bucket, word); ids as `_packed` gives them.
 
-    Edges are the substrings that are pieces, and single characters that are none, which stand for their byte pieces. The fold keeps the best edge into
-    each position, with the score of the whole path to it. A frame that is grouped or dealt by word needs no
-    shuffle here.
+    Edges are the substrings that are pieces, and single characters that are none, which stand for their byte pieces. They are grouped by bucket, and the fold
+    keeps the best edge into each position of each word, with the score of the whole path to it. A frame that is dealt by bucket needs no shuffle here.
     """
-    found = distinct.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")).select(
-        "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1))).alias("size")
-    )
+    found = distinct.select("bucket", "word", F.monotonically_increasing_id().alias("number"))
+    found = found.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    found = found.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1))).alias("size"))
     spelled = found.withColumn("part", F.expr("substring(word, start, size)"))
     edges = spelled.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where("weight IS NOT NULL OR size = 1")
     weight = F.coalesce("weight", F.lit(_weight(table.unknown_score, 1, _UNKNOWN)))
-    edge = F.struct((F.col("start") + F.col("size") - 1).alias("end"), weight.alias("weight"))
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    scores = F.lit(-(1 << _LOW)).cast("long")  # all but the low bits
-
-    def step(best, e):
-        new = F.get(best, e["end"] - _length(e["weight"])).bitwiseAND(scores) + e["weight"]
-        closed = F.size(best) == e["end"]
-        return F.when(closed, F.concat(best, F.array(new))).when(new > F.get(best, e["end"]), F.concat(F.slice(best, F.lit(1), e["end"]), F.array(new))).otherwise(best)
-
-    best = grouped.select("word", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
-
-    def back(s, p):
-        edge = F.get("best", p)
-        return F.when(s["at"] == p, F.struct((p - _length(edge)).alias("at"), F.concat(F.array(edge), s["path"]).alias("path"))).otherwise(s)
-
-    path = F.aggregate(
-        F.sequence(F.size("best") - 1, F.lit(1), F.lit(-1)), F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<bigint>").alias("path")), back, lambda s: s["path"],
-    )
-    byte_ids = F.array(*[F.lit(i) for i in table.bytes])
-
-    def piece(edge):
-        return edge.bitwiseAND(_UNKNOWN).cast("int")
-
-    def spell(s, edge):
-        raw = F.encode(F.col("word").substr(s["at"] + 1, F.lit(1)), "UTF-8")
-        by_byte = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + 1))
-        ids = F.when(piece(edge) == _UNKNOWN, by_byte).otherwise(F.array(piece(edge)))
-        return F.struct((s["at"] + _length(edge)).alias("at"), F.concat(s["ids"], ids).alias("ids"))
-
-    spelled = F.aggregate("path", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids")), spell, lambda s: s["ids"])
-    some_unknown = F.exists("path", lambda edge: piece(edge) == _UNKNOWN)
-    return best.select("word", path.alias("path")).select("word", F.when(some_unknown, spelled).otherwise(F.transform("path", piece)).alias("ids"))
+    # The first character of a word is always an edge; it alone brings the word along.
+    whole = F.when((F.col("start") == 1) & (F.col("size") == 1), F.col("word"))
+    columns = ["bucket", "number", (F.col("start") + F.col("size") - 1).alias("end"), weight.alias("weight"), whole.alias("word")]
+    byte_ids = table.bytes
+
+    def fold(edges: pa.Table) -> pa.Table:
+        return _best_paths(edges, byte_ids)
+
+    return edges.select(*columns).groupBy("bucket").applyInArrow(fold, "word string, ids binary")
+
+
+def _best_paths(edges: pa.Table, byte_ids: list[int]) -> pa.Table:
+    """(word, ids) of the words of a bucket: all words advance by one position at a time, over the edges that end there."""
+    ends, weights = (edges[c].to_numpy().astype(np.int64) for c in ("end", "weight"))
+    word = np.unique(edges["number"].to_numpy(), return_inverse=True)[1]
+    heads = np.flatnonzero(edges["word"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+    texts = edges["word"].take(pa.array(heads[np.argsort(word[heads])]))
+    lengths = np.zeros(len(heads), np.int64)
+    np.maximum.at(lengths, word, ends)
+    base = np.cumsum(lengths + 1) - (lengths + 1)
+    best = np.zeros(int(lengths.sum()) + len(lengths), np.int64)
+    order = np.lexsort((word, ends))
+    at, into, weights = ends[order], base[word[order]] + ends[order], weights[order]
+    come = into - _steps(weights)
+    new = np.flatnonzero(np.diff(into, prepend=-1))
+    cuts = np.searchsorted(at[new], np.arange(1, lengths.max() + 2))
+    bounds = np.append(new, len(at))
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        first, last = bounds[low], bounds[high]
+        scores = (best[come[first:last]] & -(1 << _LOW)) + weights[first:last]
+        best[into[new[low:high]]] = np.maximum.reduceat(scores, new[low:high] - first)
+    open_words, place, found = np.arange(len(lengths)), lengths.copy(), []
+    while len(open_words):
+        edge = best[base[open_words] + place]
+        place = place - _steps(edge)
+        found.append((open_words, place, edge))
+        open_words, place = open_words[place > 0], place[place > 0]
+    owner, place, edge = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((place, owner))
+    owner, place, ids = owner[order], place[order], edge[order] & _UNKNOWN
+    counts = np.ones(len(ids), np.int64)
+    unknown = np.flatnonzero(ids == _UNKNOWN)
+    if len(unknown):
+        spelled = [texts[int(owner[k])].as_py()[int(place[k])].encode() for k in unknown]
+        counts[unknown] = list(map(len, spelled))
+        many = np.repeat(ids == _UNKNOWN, counts)
+        ids = np.repeat(ids, counts)
+        ids[many] = [byte_ids[x] for one in spelled for x in one]
+    sizes = np.bincount(np.repeat(owner, counts), minlength=len(lengths))
+    return pa.table({"word": texts, "ids": _packed(ids, sizes)})
+
+
+def _steps(edge: np.ndarray) -> np.ndarray:
+    return (edge >> _ID_BITS) & ((1 << _LENGTH_BITS) - 1)
+
+
+def _packed(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value for each run of so many ids, three bytes for an id."""
+    flat = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    offsets = np.append(0, np.cumsum(3 * sizes)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _ids(data: np.ndarray) -> np.ndarray:
+    """The ids of packed bytes."""
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = data.reshape(-1, 3)
+    return out.view("<u4").ravel().astype(np.int32)
+
+
+def _own(values: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each word) of a document's own words: binary values of four bytes for the word's place, and its ids."""
+    if values is None or not len(values):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    keep = np.ones(len(data), bool)
+    keep[((offsets[:-1] - offsets[0])[:, None] + np.arange(4)).ravel()] = False
+    return _ids(data[keep]), (np.diff(offsets) - 4).astype(np.int64) // 3
 
 
 #: Rows whose texts are copied at once.
@@ -149,6 +199,13 @@ def _lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def _among(some: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of some values are in an array in order."""
+    if not len(ordered):
+        return np.zeros(len(some), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, some), len(ordered) - 1)] == some
+
+
 def _text(data: np.ndarray, start: int, end: int) -> str:
     return data[start:end].tobytes().decode().replace(" ", SPACE)
 
@@ -170,8 +227,7 @@ def frequent_words(docs: DataFrame, text: str, pieces: DataFrame, table: PieceTa
 
     counted = sample.mapInArrow(_lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     chosen = cut_lineage(counted.orderBy(F.desc("n"), "word").limit(FREQUENT))
-    spread = chosen.select("word").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "word")
-    solved = solve(spread, pieces, table).join(chosen, "word").select("word", "ids", "n").toArrow()
+    solved = solve(by_bucket(chosen.select("word")), pieces, table).join(chosen, "word").select("word", "ids", "n").toArrow()
     return solved.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
 
 
@@ -184,8 +240,8 @@ class _Coder:
         order = np.argsort(hashed)
         self.hashes, self.numbers = hashed[order], order
         ids = solved["ids"].combine_chunks()
-        self.flat = ids.flatten().to_numpy().astype(np.int32)
-        self.sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        self.flat = _ids(np.frombuffer(b"".join(ids.to_pylist()), np.uint8))
+        self.sizes = pc.binary_length(ids).to_numpy().astype(np.int64) // 3
         self.begins = np.cumsum(self.sizes) - self.sizes
 
     def codes(self, rows: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,25 +281,26 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
                 _, one, place = coder.codes(at, hashed)
                 found = [_text(data, s, e) for s, e in zip(starts[one], ends[one])]
                 names = part.column(0).take(pa.array(low + at[one]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(place.astype(np.int32)), pa.array(found, pa.string())], names=["row", "place", "word"])
+                places = pa.array([int(x).to_bytes(4, "big") for x in place], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, places, pa.array(found, pa.string())], names=["row", "place", "word"])
 
     def unseen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seen = shared.value, np.zeros(0, np.uint64)
+        coder, seen, newest = shared.value, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for part in parts:
             for _, _, data, starts, ends, at, hashed in _split(part.column(0)):
                 one = coder.codes(at, hashed)[1]
                 found, first = np.unique(hashed[one], return_index=True)
-                new = one[first[~np.isin(found, seen, assume_unique=True)]]
-                seen = found if len(seen) > SEEN else np.union1d(seen, found)
+                fresh = ~(_among(found, seen) | _among(found, newest))
+                new, newest = one[first[fresh]], np.union1d(newest, found[fresh])
+                if len(newest) > NEWEST:
+                    seen, newest = newest if len(seen) > SEEN else np.union1d(seen, newest), newest[:0]
                 yield pa.RecordBatch.from_arrays([pa.array([_text(data, s, e) for s, e in zip(starts[new], ends[new])], pa.string())], names=["word"])
 
     # Solved words are written, so that no task sorts them for the fold and for their way back at once.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    distinct = rows.select("text").mapInArrow(_lean(unseen), "word string").repartition(parts, "word").distinct()
+    distinct = by_bucket(rows.select("text").mapInArrow(_lean(unseen), "word string")).distinct()
     solved = cut_lineage(solve(distinct, pieces, table))
-    wanted = rows.select("row", "text").mapInArrow(_lean(rare), "row long, place int, word string")
-    answers = wanted.join(solved, "word").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("rare"))
-    answers = answers.select("row", F.flatten("rare.ids").alias("own"), F.transform("rare.ids", F.size).alias("sizes"))
+    wanted = rows.select("row", "text").mapInArrow(_lean(rare), "row long, place binary, word string")
+    answers = wanted.join(solved, "word").groupBy("row").agg(F.array_sort(F.collect_set(F.concat("place", "ids"))).alias("own"))
 
     def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
@@ -266,28 +323,30 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
                 some = part.slice(low, 256)
                 out = []
                 for i, body in enumerate(some.column(1).to_pylist()):
-                    own, sizes = some.column(2)[i].values, some.column(3)[i].values
-                    none = np.zeros(0, np.int32)
-                    out.append(None if body is None else _spell(_unpack(body), coder, none if own is None else own.to_numpy(), none if sizes is None else sizes.to_numpy()))
+                    out.append(None if body is None else _spell(_unpack(body), coder, *_own(some.column(2)[i].values)))
                 columns = [some.column(0), pa.array(out, pa.list_(pa.int32()))]
                 if decoded:
-                    columns += [some.column(4), pa.array(_texts(columns[1], names.value), pa.string())]
+                    columns += [some.column(3), pa.array(_texts(columns[1], names.value), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "digest", "decoded"][: len(columns)])
 
-    together = bodies.join(answers, "row", "left").select("key", "body", "own", "sizes", *["digest"] * decoded)
+    together = bodies.join(answers, "row", "left").select("key", "body", "own", *["digest"] * decoded)
     return together.mapInArrow(_lean(joined), f"key {kind}, ids array<int>" + ", digest long, decoded string" * decoded).withColumnRenamed("key", key)
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Two bytes for numbers below 65,535, six for others."""
+    """Two bytes for numbers below 65,535, six for others; low bytes, high bytes and the others, compressed."""
     large = codes >= 0xFFFF
-    return np.array([len(codes)], np.uint32).tobytes() + np.where(large, 0xFFFF, codes).astype(np.uint16).tobytes() + codes[large].tobytes()
+    planes = np.where(large, 0xFFFF, codes).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    plain = planes.tobytes() + codes[large].tobytes()
+    return np.array([len(codes), len(plain)], np.uint32).tobytes() + pa.Codec("zstd", 1).compress(plain, asbytes=True)
 
 
 def _unpack(body: bytes) -> np.ndarray:
-    n = int(np.frombuffer(body, np.uint32, 1)[0])
-    codes = np.frombuffer(body, np.uint16, n, 4).astype(np.uint32)
-    codes[codes == 0xFFFF] = np.frombuffer(body, np.uint32, -1, 4 + 2 * n)
+    n, size = map(int, np.frombuffer(body, np.uint32, 2))
+    plain = pa.Codec("zstd").decompress(body[8:], size, asbytes=True) if size else b""
+    low, high = np.frombuffer(plain, np.uint8, 2 * n).reshape(2, n).astype(np.uint32)
+    codes = low + (high << 8)
+    codes[codes == 0xFFFF] = np.frombuffer(plain[2 * n :], np.uint32)
     return codes
 
 
