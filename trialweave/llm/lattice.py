@@ -1,19 +1,18 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 Words (runs between the cuts that no piece crosses) are solved in tables: their substrings of bounded length are exploded and
-equi-joined to the piece table, the edges found are grouped by buckets of words, and a fold over the positions of all words of a bucket finds the best paths. Each
-distinct word is solved once, however often it occurs.
+equi-joined to the piece table, the longest piece at each position is kept (the others there are its prefixes, which are known with it), positions are grouped by
+buckets of words, and a fold over the positions of all words of a bucket finds the best paths. Each distinct word is solved once, however often it occurs.
 
 Solved words go back to the documents in two ways. Frequent words (chosen from a bounded sample of documents; the choice moves
-work and never changes a result) are a table of bounded size that every task has. The others are rare by choice, so they travel by shuffle: word to
-solution, and solutions to their document. Documents cross the network as word numbers, not as text. Words are told apart
-by 64-bit hashes.
+work and never changes a result) are a table of bounded size that every task has. The others are rare by choice, so they travel by shuffle, a block of documents
+at a time: a block sends each of its rare words once, to the bucket of the word, and a bucket answers each block with the pieces of its words in the order in
+which the block sent them. So neither names of documents nor words travel back. Documents cross the network as word numbers, not as text. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +21,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import words
 from trialweave.llm.pieces import SPACE, STEPS, PieceTable
+from trialweave.llm.workers import lean
 from trialweave.session import cut_lineage
 
 #: Words that every task has, and documents whose words they are chosen from.
 FREQUENT, SAMPLE_DOCUMENTS = 300_000, 20_000
-#: Hashes of other words that a task keeps, so as to send a word once; beyond it the task starts anew, which changes no result.
-SEEN = 1_000_000
-#: Newest of them that are merged with each slice of texts, apart from the others. Buckets of words for each partition.
-NEWEST, BUCKETS = 30_000, 64
+#: Buckets of words for each partition: of words that are dealt by themselves, and of those that blocks of documents send.
+BUCKETS, SENT = 64, 8
+#: Rows and bytes of text from which a block is full.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
 
 
 # An edge is one number: its score in steps, then its length, then its piece. Of equal scores the longer edge is larger.
 _ID_BITS, _LENGTH_BITS = 21, 6
 _LOW = _ID_BITS + _LENGTH_BITS
 _UNKNOWN = (1 << _ID_BITS) - 1
+#: Positions of a word that are one row on their way to the fold.
+SEGMENT = 8
 
 
 def _weight(score: float, length: int, piece: int) -> int:
@@ -43,10 +45,11 @@ def _weight(score: float, length: int, piece: int) -> int:
 
 
 def piece_frame(spark: SparkSession, table: PieceTable) -> DataFrame:
-    """(piece, weight): the pieces as edges."""
+    """(piece, weight, hash): the pieces as edges, and the hash that substrings are looked up by."""
     if table.longest >= 1 << _LENGTH_BITS or max(i for i, _ in table.pieces.values()) >= _UNKNOWN:
         raise ValueError("pieces of up to 63 characters with ids below 2097151 can be encoded")
-    return spark.createDataFrame([(p, _weight(s, len(p), i)) for p, (i, s) in table.pieces.items()], "piece string, weight long")
+    rows = spark.createDataFrame([(p, _weight(s, len(p), i)) for p, (i, s) in table.pieces.items()], "piece string, weight long")
+    return rows.withColumn("hash", F.xxhash64("piece"))
 
 
 def by_bucket(found: DataFrame) -> DataFrame:
@@ -58,37 +61,71 @@ def by_bucket(found: DataFrame) -> DataFrame:
 def solve(distinct: DataFrame, pieces: DataFrame, table: PieceTable) -> DataFrame:
     """(word, ids) of the distinct, not null and not empty words of a frame (bucket, word); ids as `_packed` gives them.
 
-    Edges are the substrings that are pieces, and single characters that are none, which stand for their byte pieces. They are grouped by bucket, and the fold
-    keeps the best edge into each position of each word, with the score of the whole path to it. A frame that is dealt by bucket needs no shuffle here.
+    With a column `places` (block, at) of the words the answers of blocks come instead: (block, bucket, own), own being the ids of the bucket's words of the block, by `at`, as `_closed` gives them.
+
+    Edges are the substrings that are pieces, and single characters that are none, which stand for their byte pieces. A row for each `SEGMENT` positions has the longest piece
+    from each of them, so few rows reach Python; the fold keeps the best edge into each position of each word, with the score of the whole path to it. A frame that is dealt
+    by bucket needs no shuffle here.
     """
-    found = distinct.select("bucket", "word", F.monotonically_increasing_id().alias("number"))
-    found = found.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    found = found.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1))).alias("size"))
-    spelled = found.withColumn("part", F.expr("substring(word, start, size)"))
-    edges = spelled.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where("weight IS NOT NULL OR size = 1")
-    weight = F.coalesce("weight", F.lit(_weight(table.unknown_score, 1, _UNKNOWN)))
-    # The first character of a word is always an edge; it alone brings the word along.
-    whole = F.when((F.col("start") == 1) & (F.col("size") == 1), F.col("word"))
-    columns = ["bucket", "number", (F.col("start") + F.col("size") - 1).alias("end"), weight.alias("weight"), whole.alias("word")]
-    byte_ids = table.bytes
-
-    def fold(edges: pa.Table) -> pa.Table:
-        return _best_paths(edges, byte_ids)
-
-    return edges.select(*columns).groupBy("bucket").applyInArrow(fold, "word string, ids binary")
-
-
-def _best_paths(edges: pa.Table, byte_ids: list[int]) -> pa.Table:
-    """(word, ids) of the words of a bucket: all words advance by one position at a time, over the edges that end there."""
-    ends, weights = (edges[c].to_numpy().astype(np.int64) for c in ("end", "weight"))
-    word = np.unique(edges["number"].to_numpy(), return_inverse=True)[1]
-    heads = np.flatnonzero(edges["word"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
-    texts = edges["word"].take(pa.array(heads[np.argsort(word[heads])]))
-    lengths = np.zeros(len(heads), np.int64)
-    np.maximum.at(lengths, word, ends)
+    told = ["places"] * ("places" in distinct.columns)
+    found = distinct.select("bucket", "word", *told, F.monotonically_increasing_id().alias("number"))
+    found = found.select("*", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    # The first segment of a word alone brings the word along.
+    first = [F.when(F.col("start") < SEGMENT, F.col(c)).alias(c) for c in ("word", *told)]
+    rest = F.substring("word", F.col("start") + 1, F.lit(table.longest))
+    found = found.select("bucket", "number", "start", *first, rest.alias("rest"))
+    found = found.select("*", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("size"))
+    spelled = found.withColumn("part", F.substring("rest", F.lit(1), F.col("size")))
+    met = spelled.withColumn("hashed", F.xxhash64("part")).join(F.broadcast(pieces), F.col("hashed") == F.col("hash"), "left")
+    edge = F.when(F.col("part") == F.col("piece"), F.col("weight").bitwiseAND((1 << _LOW) - 1)).cast("int")
+    edges = met.withColumn("edge", edge).where("edge IS NOT NULL OR size = 1").withColumn("at", F.col("start") % SEGMENT)
+    longest = [F.max(F.when(F.col("at") == k, F.col("edge"))).alias(f"at{k}") for k in range(SEGMENT)]
+    segments = edges.groupBy("bucket", "number", F.expr(f"start div {SEGMENT}").cast("int").alias("segment"), "word", *told).agg(*longest)
+    columns = ["bucket", "number", "segment", "word", *told, F.array(*[F.coalesce(f"at{k}", F.lit(0)) for k in range(SEGMENT)]).alias("longest")]
+    shared, byte_ids, width = found.sparkSession.sparkContext.broadcast(_prefixes(table)), table.bytes, _width(table)
+
+    def fold(segments: pa.Table) -> pa.Table:
+        texts, ids, sizes, places = _best_paths(segments, shared.value, byte_ids)
+        if not told:
+            return pa.table({"word": texts, "ids": _packed(ids, sizes)})
+        return _answers(segments["bucket"][0].as_py(), ids, sizes, places, width)
+
+    return segments.select(*columns).groupBy("bucket").applyInArrow(fold, "block long, bucket int, own binary" if told else "word string, ids binary")
+
+
+def _prefixes(table: PieceTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, first weight and number of weights by id): the edges from a position whose longest piece has the id. Behind the ids of pieces come those of a position without one."""
+    unknown = _weight(table.unknown_score, 1, _UNKNOWN)
+    size = max(i for i, _ in table.pieces.values()) + 2
+    edges: list[list[int]] = [[]] * (size - 1) + [[unknown]]
+    for piece, (i, _) in table.pieces.items():
+        found = [(piece[:n], table.pieces.get(piece[:n])) for n in range(1, len(piece) + 1)]
+        edges[i] = [_weight(x[1], len(p), x[0]) for p, x in found if x] + [unknown] * (found[0][1] is None)
+    counts = np.array(list(map(len, edges)))
+    return np.array([w for one in edges for w in one], np.int64), np.cumsum(counts) - counts, counts
+
+
+def _best_paths(segments: pa.Table, prefixes: tuple[np.ndarray, np.ndarray, np.ndarray], byte_ids: list[int]) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray, pa.ListArray | None]:
+    """(words, their ids in a row, numbers of ids, places) of a bucket: all words advance by one position at a time, over the edges that end there."""
+    word = np.unique(segments["number"].to_numpy(), return_inverse=True)[1]
+    heads = np.flatnonzero(segments["segment"].to_numpy() == 0)
+    heads = pa.array(heads[np.argsort(word[heads])])
+    texts = segments["word"].take(heads)
+    places = segments["places"].combine_chunks().take(heads) if "places" in segments.column_names else None
+    lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    longest = segments["longest"].combine_chunks().flatten().to_numpy()
+    start = (segments["segment"].to_numpy().astype(np.int64)[:, None] * SEGMENT + np.arange(SEGMENT)).ravel()
+    word = np.repeat(word, SEGMENT)
+    inside = start < lengths[word]
+    longest, start, word = longest[inside], start[inside], word[inside]
+    flat, firsts, counts = prefixes
+    piece = np.where(longest > 0, longest & _UNKNOWN, len(counts) - 1)
+    many = counts[piece]
+    weights = flat[np.repeat(firsts[piece] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    word, ends = np.repeat(word, many), np.repeat(start, many) + _steps(weights)
     base = np.cumsum(lengths + 1) - (lengths + 1)
     best = np.zeros(int(lengths.sum()) + len(lengths), np.int64)
-    order = np.lexsort((word, ends))
+    order = np.argsort(ends * len(lengths) + word, kind="stable")
     at, into, weights = ends[order], base[word[order]] + ends[order], weights[order]
     come = into - _steps(weights)
     new = np.flatnonzero(np.diff(into, prepend=-1))
@@ -115,8 +152,23 @@ def _best_paths(edges: pa.Table, byte_ids: list[int]) -> pa.Table:
         many = np.repeat(ids == _UNKNOWN, counts)
         ids = np.repeat(ids, counts)
         ids[many] = [byte_ids[x] for one in spelled for x in one]
-    sizes = np.bincount(np.repeat(owner, counts), minlength=len(lengths))
-    return pa.table({"word": texts, "ids": _packed(ids, sizes)})
+    return texts, ids, np.bincount(np.repeat(owner, counts), minlength=len(lengths)), places
+
+
+def _answers(bucket: int, ids: np.ndarray, sizes: np.ndarray, places: pa.ListArray, width: int) -> pa.Table:
+    """(block, bucket, own): what each block gets from a bucket."""
+    block, at = (places.flatten().field(i).to_numpy() for i in (0, 1))
+    word = np.repeat(np.arange(len(sizes)), pc.list_value_length(places).to_numpy())
+    order = np.lexsort((at, block))
+    block, word = block[order], word[order]
+    new = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+    mine = sizes[word]
+    begins = (np.cumsum(sizes) - sizes)[word]
+    starts = np.cumsum(mine) - mine
+    own = _closed(ids[np.repeat(begins - starts, mine) + np.arange(mine.sum())], mine, width)
+    offsets = np.append(starts[new], mine.sum()) * width
+    values = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(own.tobytes())])
+    return pa.table({"block": block[new], "bucket": pa.array(np.full(len(new), bucket, np.int32)), "own": values})
 
 
 def _steps(edge: np.ndarray) -> np.ndarray:
@@ -137,15 +189,26 @@ def _ids(data: np.ndarray) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.int32)
 
 
-def _own(values: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids of each word) of a document's own words: binary values of four bytes for the word's place, and its ids."""
-    if values is None or not len(values):
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-    data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    keep = np.ones(len(data), bool)
-    keep[((offsets[:-1] - offsets[0])[:, None] + np.arange(4)).ravel()] = False
-    return _ids(data[keep]), (np.diff(offsets) - 4).astype(np.int64) // 3
+def _width(table: PieceTable) -> int:
+    """Bytes for an id and one bit more."""
+    return 2 if max(*(i for i, _ in table.pieces.values()), *table.bytes) < 1 << 15 else 3
+
+
+def _closed(ids: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of the ids of words one after the other; the top bit is set in the last id of a word."""
+    flat = ids.astype("<u4")
+    flat[np.cumsum(sizes) - 1] |= np.uint32(1 << (8 * width - 1))
+    return np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4)[:, :width]).ravel()
+
+
+def _own(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each word) of bytes that `_closed` has given."""
+    flat = np.zeros((len(data) // width, 4), np.uint8)
+    flat[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    ids = flat.view("<u4").ravel()
+    last = np.uint32(1 << (8 * width - 1))
+    ends = np.flatnonzero(ids & last) + 1
+    return (ids & (last - np.uint32(1))).astype(np.int32), np.diff(ends, prepend=0)
 
 
 #: Rows whose texts are copied at once.
@@ -182,28 +245,7 @@ def _split_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield low, high, text, starts, ends, rows, words.hashes(text, starts, ends, fold=False)
 
 
-def _lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The step, giving free memory back before and after a task: Spark keeps a Python worker for later tasks, with all it ever had."""
-
-    def give_back() -> None:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
-        yield from step(parts)
-        give_back()
-
-    return run
-
-
-def _among(some: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which of some values are in an array in order."""
-    if not len(ordered):
-        return np.zeros(len(some), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, some), len(ordered) - 1)] == some
+_SPACE = SPACE.encode()
 
 
 def _text(data: np.ndarray, start: int, end: int) -> str:
@@ -225,7 +267,7 @@ def frequent_words(docs: DataFrame, text: str, pieces: DataFrame, table: PieceTa
                 found = [_text(data, s, e) for s, e in zip(starts[first], ends[first])]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], names=["word", "n"])
 
-    counted = sample.mapInArrow(_lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     chosen = cut_lineage(counted.orderBy(F.desc("n"), "word").limit(FREQUENT))
     solved = solve(by_bucket(chosen.select("word")), pieces, table).join(chosen, "word").select("word", "ids", "n").toArrow()
     return solved.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
@@ -244,100 +286,118 @@ class _Coder:
         self.sizes = pc.binary_length(ids).to_numpy().astype(np.int64) // 3
         self.begins = np.cumsum(self.sizes) - self.sizes
 
-    def codes(self, rows: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code of each pre-token: the number of a frequent word, or their count plus the word's place among the other
-        distinct words of its row (in the order of their hashes). Also one pre-token for each such word, and its place."""
+    def codes(self, hashed: np.ndarray) -> np.ndarray:
+        """The number of each pre-token, or the count of frequent words for any other."""
         size = len(self.hashes)
-        near = np.minimum(np.searchsorted(self.hashes, hashed), max(0, size - 1))
-        known = self.hashes[near] == hashed if size else np.zeros(len(hashed), bool)
-        codes = self.numbers[near] if size else near
-        others = np.flatnonzero(~known)
-        order = others[np.lexsort((hashed[others], rows[others]))]
-        new_row = np.diff(rows[order], prepend=-1) != 0
-        new = new_row | (np.diff(hashed[order], prepend=np.uint64(0)) != 0)
-        count = np.cumsum(new)
-        place = count - np.repeat(count[new_row], np.diff(np.append(np.flatnonzero(new_row), len(order)))) if len(order) else count
-        codes[order] = size + place
-        return codes, order[new], place[new]
+        if not size:
+            return np.zeros(len(hashed), np.int64)
+        near = np.minimum(np.searchsorted(self.hashes, hashed), size - 1)
+        return np.where(self.hashes[near] == hashed, self.numbers[near], size)
+
+    def blocks(self, part: pa.RecordBatch, buckets: int, spelled: bool = False) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """(name, first row, end row, codes of all pre-tokens, their numbers by row, buckets of the own words, own words if wanted) of blocks of rows (key, text, row ...).
+
+        Own words are those that are not frequent, each once, by bucket and then by hash; the code of a pre-token that is one is the count of frequent words plus the word's
+        place among them. A block is named by the hashes of its rows in their order, so equal names have equal rows.
+        """
+        begin, held, parts = 0, 0, []
+        for low, high, data, starts, ends, at, hashed in _split(part.column(1)):
+            codes = self.codes(hashed)
+            rare = np.flatnonzero(codes == len(self.hashes))
+            own, first = np.unique(hashed[rare], return_index=True)
+            found = [data[s:e].tobytes() for s, e in zip(starts[rare[first]], ends[rare[first]])] if spelled else []
+            parts.append((codes, hashed[rare], own, np.bincount(at, minlength=high - low), found))
+            held += len(data)
+            if high == len(part) or high - begin >= BLOCK_ROWS or held >= BLOCK_BYTES:
+                codes, hashed, own, sizes = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                own, first = np.unique(own, return_index=True)
+                bucket = (own % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                place = np.empty(len(own), np.int64)
+                place[order] = np.arange(len(own))
+                codes[codes == len(self.hashes)] += place[np.searchsorted(own, hashed)]
+                texts = [x for p in parts for x in p[4]]
+                named = part.column(2).slice(begin, high - begin).to_numpy().view(np.uint64) + words.mix(np.arange(1, high - begin + 1, dtype=np.uint64))
+                name = words.mix(words.mix(named).sum(dtype=np.uint64, keepdims=True)).view(np.int64)
+                yield int(name[0]), begin, high, codes, sizes, bucket[order], [texts[i] for i in first[order]] if spelled else []
+                begin, held, parts = high, 0, []
 
 
 def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids) for each row: the pieces of the text's best segmentation. Null texts have null ids, empty ones none.
 
     With `decoded` two columns follow: digest, xxhash64 of the text, and decoded, what the ids spell (see decode; by the same task, so that an executor
-    has one Python worker for both). Repeated rows and null keys keep their rows; only the two columns are read.
+    has one Python worker for both). Repeated rows and null keys keep their rows; only the two columns are read. The rows are read twice and must come in the same order
+    both times, as those of files do; rows that a shuffle made are written first, and a block that is not found again is an error.
     """
     spark = docs.sparkSession
-    names = spark.sparkContext.broadcast(_names(table)) if decoded else None
-    pieces = piece_frame(spark, table)
-    shared = spark.sparkContext.broadcast(_Coder(frequent_words(docs, text, pieces, table)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = cut_lineage(rows)
+    names = spark.sparkContext.broadcast(_names(table)) if decoded else None
+    pieces, width = piece_frame(spark, table), _width(table)
+    shared = spark.sparkContext.broadcast(_Coder(frequent_words(rows, "text", pieces, table)))
     rows = rows.select("key", "text", F.xxhash64("key", "text").alias("row"), F.xxhash64("text").alias("digest"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = parts * SENT
 
     def rare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value
-        for part in parts:
-            for low, _, data, starts, ends, at, hashed in _split(part.column(1)):
-                _, one, place = coder.codes(at, hashed)
-                found = [_text(data, s, e) for s, e in zip(starts[one], ends[one])]
-                names = part.column(0).take(pa.array(low + at[one]))
-                places = pa.array([int(x).to_bytes(4, "big") for x in place], pa.binary())
-                yield pa.RecordBatch.from_arrays([names, places, pa.array(found, pa.string())], names=["row", "place", "word"])
-
-    def unseen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seen, newest = shared.value, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for part in parts:
-            for _, _, data, starts, ends, at, hashed in _split(part.column(0)):
-                one = coder.codes(at, hashed)[1]
-                found, first = np.unique(hashed[one], return_index=True)
-                fresh = ~(_among(found, seen) | _among(found, newest))
-                new, newest = one[first[fresh]], np.union1d(newest, found[fresh])
-                if len(newest) > NEWEST:
-                    seen, newest = newest if len(seen) > SEEN else np.union1d(seen, newest), newest[:0]
-                yield pa.RecordBatch.from_arrays([pa.array([_text(data, s, e) for s, e in zip(starts[new], ends[new])], pa.string())], names=["word"])
-
-    # Solved words are written, so that no task sorts them for the fold and for their way back at once.
-    distinct = by_bucket(rows.select("text").mapInArrow(_lean(unseen), "word string")).distinct()
-    solved = cut_lineage(solve(distinct, pieces, table))
-    wanted = rows.select("row", "text").mapInArrow(_lean(rare), "row long, place binary, word string")
-    answers = wanted.join(solved, "word").groupBy("row").agg(F.array_sort(F.collect_set(F.concat("place", "ids"))).alias("own"))
+            for name, _, _, _, _, bucket, found in shared.value.blocks(part, buckets, spelled=True):
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                # Words have no space of their own, and no byte 255.
+                sent = [b"\xff".join(found[i:j]).replace(b" ", _SPACE).replace(b"\xff", b" ") for i, j in zip(cuts, [*cuts[1:], len(found)])]
+                columns = [pa.array(np.full(len(cuts), name)), pa.array(bucket[cuts], pa.int32()), pa.array(sent, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "words"])
+
+    sent = rows.mapInArrow(lean(rare), "block long, bucket int, words string").repartition(parts, "bucket")
+    wanted = sent.select("block", "bucket", F.posexplode(F.split("words", " ")).alias("at", "word"))
+    distinct = wanted.groupBy("bucket", "word").agg(F.collect_set(F.struct("block", "at")).alias("places"))
+    answers = solve(distinct, pieces, table).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "own")))["own"].alias("own"))
 
     def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value
         for part in parts:
-            valid = part.column(2).is_valid().to_numpy(zero_copy_only=False)
-            bodies: list[bytes | None] = []
-            for low, high, _, _, _, at, hashed in _split(part.column(2)):
-                codes = coder.codes(at, hashed)[0].astype(np.uint32)
-                ends = np.searchsorted(at, np.arange(high - low + 1))
-                bodies += [_pack(codes[ends[i] : ends[i + 1]]) if valid[low + i] else None for i in range(high - low)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bodies, pa.binary()), part.column(3)], names=["key", "row", "body", "digest"])
+            valid = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+            for name, low, high, codes, sizes, bucket, _ in shared.value.blocks(part, buckets):
+                row = [pa.array([0, high - low], pa.int32())]
+                sizes = pa.array(sizes, pa.int32(), mask=~valid[low:high])
+                lists = [pa.ListArray.from_arrays(*row, x) for x in (part.column(0).slice(low, high - low), part.column(3).slice(low, high - low), sizes)]
+                body = pa.array([_pack(codes.astype(np.uint32))], pa.binary())
+                columns = [pa.array([name]), *lists, body, pa.array([len(bucket)], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "keys", "digests", "sizes", "body", "n_own"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    bodies = rows.select("key", "row", "text", "digest").mapInArrow(_lean(coded), f"key {kind}, row long, body binary, digest long")
+    bodies = rows.mapInArrow(lean(coded), f"block long, keys array<{kind}>, digests array<long>, sizes array<int>, body binary, n_own int")
 
     def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for part in parts:
-            for low in range(0, len(part), 256):
-                some = part.slice(low, 256)
-                out = []
-                for i, body in enumerate(some.column(1).to_pylist()):
-                    out.append(None if body is None else _spell(_unpack(body), coder, *_own(some.column(2)[i].values)))
-                columns = [some.column(0), pa.array(out, pa.list_(pa.int32()))]
-                if decoded:
-                    columns += [some.column(3), pa.array(_texts(columns[1], names.value), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "digest", "decoded"][: len(columns)])
-
-    together = bodies.join(answers, "row", "left").select("key", "body", "own", *["digest"] * decoded)
-    return together.mapInArrow(_lean(joined), f"key {kind}, ids array<int>" + ", digest long, decoded string" * decoded).withColumnRenamed("key", key)
+            for i in range(len(part)):
+                keys, digests, sizes = (part.column(c)[i].values for c in range(3))
+                own, own_sizes = _own(b"".join(part.column(5)[i].as_py() or []), width)
+                if len(own_sizes) != part.column(4)[i].as_py():
+                    raise ValueError("the documents came in another order when they were read again")
+                codes = _unpack(part.column(3)[i].as_py())
+                ends = np.append(0, np.cumsum(pc.fill_null(sizes, 0).to_numpy()))
+                for low in range(0, len(keys), _ROWS):
+                    high = min(low + _ROWS, len(keys))
+                    ids, counts = _spell(codes[ends[low] : ends[high]], coder, own, own_sizes)
+                    offsets = np.append(0, np.cumsum(counts))[ends[low : high + 1] - ends[low]]
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids), mask=sizes.slice(low, high - low).is_null())
+                    columns = [keys.slice(low, high - low), ids]
+                    if decoded:
+                        columns += [digests.slice(low, high - low), _texts(ids, names.value)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "digest", "decoded"][: len(columns)])
+
+    together = bodies.join(answers, "block", "left").select("keys", "digests", "sizes", "body", "n_own", "own")
+    return together.mapInArrow(lean(joined), f"key {kind}, ids array<int>" + ", digest long, decoded string" * decoded).withColumnRenamed("key", key)
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Two bytes for numbers below 65,535, six for others; low bytes, high bytes and the others, compressed."""
+    """Two bytes for numbers below 65,535, six for others; low bytes, high bytes, and the four bytes of the others, compressed."""
     large = codes >= 0xFFFF
     planes = np.where(large, 0xFFFF, codes).astype("<u2").view(np.uint8).reshape(-1, 2).T
-    plain = planes.tobytes() + codes[large].tobytes()
+    plain = planes.tobytes() + codes[large].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return np.array([len(codes), len(plain)], np.uint32).tobytes() + pa.Codec("zstd", 1).compress(plain, asbytes=True)
 
 
@@ -346,12 +406,13 @@ def _unpack(body: bytes) -> np.ndarray:
     plain = pa.Codec("zstd").decompress(body[8:], size, asbytes=True) if size else b""
     low, high = np.frombuffer(plain, np.uint8, 2 * n).reshape(2, n).astype(np.uint32)
     codes = low + (high << 8)
-    codes[codes == 0xFFFF] = np.frombuffer(plain[2 * n :], np.uint32)
+    others = np.frombuffer(plain[2 * n :], np.uint8).reshape(4, -1).T
+    codes[codes == 0xFFFF] = np.ascontiguousarray(others).view("<u4").ravel()
     return codes
 
 
-def _spell(codes: np.ndarray, coder: _Coder, own: np.ndarray, own_sizes: np.ndarray) -> np.ndarray:
-    """Pieces of a document's word numbers; numbers from the count of frequent words on are the document's own words."""
+def _spell(codes: np.ndarray, coder: _Coder, own: np.ndarray, own_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of word numbers, and how many each has; numbers from the count of frequent words on are the block's own words."""
     size = len(coder.sizes)
     codes = codes.astype(np.int64)
     mine = codes >= size
@@ -361,7 +422,7 @@ def _spell(codes: np.ndarray, coder: _Coder, own: np.ndarray, own_sizes: np.ndar
     at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     out, from_own = np.empty(len(at), np.int32), np.repeat(mine, counts)
     out[from_own], out[~from_own] = own[at[from_own]], coder.flat[at[~from_own]]
-    return out
+    return out, counts
 
 
 def encode_and_decode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -370,13 +431,24 @@ def encode_and_decode(docs: DataFrame, table: PieceTable, key: str = "doc_id", t
     return both.select(key, "ids", (F.xxhash64("decoded") == F.col("digest")).alias("round_trip"))
 
 
-def _names(table: PieceTable) -> dict[int, bytes]:
-    return {i: p.replace(SPACE, " ").encode() for p, (i, _) in table.pieces.items()} | {i: bytes([b]) for b, i in enumerate(table.bytes)}
+def _names(table: PieceTable) -> pa.Array:
+    """What each id spells, null for an id that is no piece."""
+    names = {i: p.replace(SPACE, " ").encode() for p, (i, _) in table.pieces.items()} | {i: bytes([b]) for b, i in enumerate(table.bytes)}
+    return pa.array([names.get(i) for i in range(max(names) + 1)], pa.binary())
 
 
-def _texts(ids: pa.ListArray, names: dict[int, bytes]) -> list[str | None]:
-    name = names.__getitem__
-    return [None if row is None else b"".join(map(name, row)).decode("utf-8", "replace")[1:] for row in ids.to_pylist()]
+def _texts(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    flat = ids.flatten()
+    spelled = names.take(flat)
+    if spelled.null_count:
+        raise KeyError(flat.filter(spelled.is_null())[0].as_py())
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    rows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), spelled, mask=ids.is_null())
+    whole = pc.binary_join(rows, b"")
+    try:
+        return pc.utf8_slice_codeunits(whole.cast(pa.string()), 1)
+    except pa.ArrowInvalid:  # byte pieces in an order that is no UTF-8
+        return pa.array([None if x is None else x.decode("utf-8", "replace")[1:] for x in whole.to_pylist()], pa.string())
 
 
 def decode(encoded: DataFrame, table: PieceTable, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -390,7 +462,7 @@ def decode(encoded: DataFrame, table: PieceTable, key: str = "doc_id", ids: str
         for part in parts:
             for low in range(0, len(part), 512):
                 some = part.slice(low, 512)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(_texts(some.column(1), shared.value), pa.string())], names=["key", "text"])
+                yield pa.RecordBatch.from_arrays([some.column(0), _texts(some.column(1), shared.value)], names=["key", "text"])
 
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     return rows.mapInArrow(batches, f"key {rows.schema['key'].dataType.simpleString()}, text string").withColumnRenamed("key", key)
