@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trialweave.llm import words
+from trialweave.llm.workers import lean
 
 #: Benchmark bytes that go to every task at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 4 << 20
@@ -270,7 +271,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     names=["key", "item", "start_word", "n_words", "distance"],
                 )
 
-        found = rows.mapInArrow(batches, f"key {kind}, item {item_kind}, start_word int, n_words int, distance int")
+        found = rows.mapInArrow(lean(batches), f"key {kind}, item {item_kind}, start_word int, n_words int, distance int")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("key", key).withColumnRenamed("item", item)
 
@@ -288,5 +289,5 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
                     keep[[low + h[0] for h in known.hits(values, firsts)]] = False
                 yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(batches, docs.schema)
+        out = out.mapInArrow(lean(batches), docs.schema)
     return out

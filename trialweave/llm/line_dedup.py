@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from trialweave.llm.names import fresh
+from trialweave.llm.workers import lean
 from trialweave.session import cut_lineage
 
 #: Numbers of shared lines, and of repeats among them, that are told apart where the holders with the fewest are looked for.
@@ -140,7 +141,7 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
             at = [i for i, x in enumerate(found) for _ in x]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([x for f in found for x in f], pa.int64())], names=["doc", "run"])
 
-    windows = cut_lineage(rest.select("doc", "lines.hash", "lines.words").mapInArrow(runs, f"doc {kind}, run long"))
+    windows = cut_lineage(rest.select("doc", "lines.hash", "lines.words").mapInArrow(lean(runs), f"doc {kind}, run long"))
     shared = cut_lineage(windows.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("run", "first"))
     windows = cut_lineage(windows.join(shared, "run"))
 
@@ -173,7 +174,7 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     def found_in(pairs: DataFrame) -> DataFrame:
         both = cut_lineage(pairs.join(lines, "doc")).join(origin, ["partner", "hash"])
         common = both.groupBy("doc", "partner").agg(F.collect_list(F.struct("hash", "at", "first_at", "words", F.expr("first = partner").alias("own"))).alias("common"))
-        out = common.select("doc", "common").mapInArrow(align, f"doc {kind}, lines array<int>").where(F.size("lines") > 0)
+        out = common.select("doc", "common").mapInArrow(lean(align), f"doc {kind}, lines array<int>").where(F.size("lines") > 0)
         return cut_lineage(out.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")))
 
     def left(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
         gone = aligned.select("doc", F.col("lines").alias("gone"))
         kept = rest.join(later, "doc", "left_semi").join(gone, "doc", "left")
         kept = kept.select("doc", "lines.hash", "lines.words", "lines.number", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-        runs = kept.mapInArrow(left, f"doc {kind}, run long").distinct()
+        runs = kept.mapInArrow(lean(left), f"doc {kind}, run long").distinct()
         return cut_lineage(runs.join(shared.select("run", "first"), "run").where("doc > first").select("doc", "run"))
 
     def fewest_lines(runs: DataFrame, holders: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc", "lines"])
 
     kind = docs.schema[key].dataType.simpleString()
-    aligned = pairs.select("doc", "common").mapInArrow(align, f"doc {kind}, lines array<int>").where(F.size("lines") > 0)
+    aligned = pairs.select("doc", "common").mapInArrow(lean(align), f"doc {kind}, lines array<int>").where(F.size("lines") > 0)
     return aligned.groupBy("doc").agg(F.flatten(F.collect_list("lines")).alias("lines")).withColumnRenamed("doc", key)
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.llm import words
+from trialweave.llm.workers import lean
 from trialweave.operators.components import components
 from trialweave.session import cut_lineage
 
@@ -30,6 +31,8 @@ BITS = 1024
 #: Parts beyond the differences that a pair can have, as a least number and a share: parts with few shingles, which frequent
 #: shingles would fill alike in many sets, are left out while there are no more of them than these.
 SPARE, SPARE_SHARE = 2, 0.15
+#: Rows whose sketches a Python worker makes at once.
+ROWS = 1024
 #: First tiles of a set by which a pair's later meetings are known.
 HEADS = 8
 #: Ids that are broadcast to select documents; more are joined by a shuffle.
@@ -112,7 +115,7 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, bands: Bands) -> Data
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in parts:
+        for part in (whole.slice(at, ROWS) for whole in parts for at in range(0, len(whole), ROWS)):
             sizes, classes, bitmaps, tiles = [], [], [], []
             for shingles in shingle_sets(part.column(1), n):
                 name = _class(shingles)
@@ -130,7 +133,7 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, bands: Bands) -> Data
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(batches, f"key {rows.schema['key'].dataType.simpleString()}, size long, class long, bitmap array<long>, tiles array<long>")
+    return rows.mapInArrow(lean(batches), f"key {rows.schema['key'].dataType.simpleString()}, size long, class long, bitmap array<long>, tiles array<long>")
 
 
 _WORDS = [f"w{i}" for i in range(BITS // 64)]
@@ -175,7 +178,7 @@ def _verified(pairs: DataFrame, cards: DataFrame, docs: DataFrame, key: str, tex
                     names, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    sets = chosen.mapInArrow(exact, "class long, shingles array<long>")
+    sets = chosen.mapInArrow(lean(exact), "class long, shingles array<long>")
     one, other = sets.toDF("a", "left"), sets.toDF("b", "right")
 
     def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,7 @@ def _verified(pairs: DataFrame, cards: DataFrame, docs: DataFrame, key: str, tex
                 keep.append(common * share[1] >= (len(x) + len(y) - common) * share[0])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return near.join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(linked, "a long, b long")
+    return near.join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(lean(linked), "a long, b long")
 
 
 def link_classes(docs: DataFrame, key: str, text: str, n: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:

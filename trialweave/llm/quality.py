@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialweave.llm import words
 from trialweave.llm.names import fresh
+from trialweave.llm.workers import lean
 from trialweave.session import cut_lineage
 
 #: Labelled rows that the classifier is fitted on, at most (the smallest hashes of their keys), and telling words kept for each label.
@@ -121,7 +122,7 @@ def _telling(sample: DataFrame) -> tuple[int, ...]:
             held = np.flatnonzero(total[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(held), *[pa.array(total[held, k]) for k in range(3)]], names=["bucket", "n", "bad", "toxic"])
 
-    counts = sample.mapInArrow(batches, "bucket long, n long, bad long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "toxic")])
+    counts = sample.mapInArrow(lean(batches), "bucket long, n long, bad long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "toxic")])
     counts = cut_lineage(counts.where("n >= 5"))
     n, bad, toxic = sample.agg(F.count("*"), F.sum(1 - F.col("good")), F.sum("toxic")).first()
     chosen = set()
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(list(values), pa.list_(pa.float64())), part.column(1), part.column(2)], names=["values", "good", "toxic"])
 
     kinds = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
-    rows = sample.mapInArrow(batches, f"values array<double>, good {kinds['good']}, toxic {kinds['toxic']}")
+    rows = sample.mapInArrow(lean(batches), f"values array<double>, good {kinds['good']}, toxic {kinds['toxic']}")
     rows = cut_lineage(rows.select("values", F.col("good").cast("double").alias("good"), F.col("toxic").cast("double").alias("toxic")))
     vectors = rows.select(array_to_vector("values").alias("values"), "good", "toxic")
     size = len(STATISTICS) + len(features.buckets)
@@ -194,7 +195,7 @@ def _scored(docs: DataFrame, text: str, classifier: Classifier, good_name: str,
             extra = [pa.array(x, pa.float64(), mask=~worded) for x in (good, toxic)]
             yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, good_name, toxic_name])
 
-    return docs.mapInArrow(batches, out)
+    return docs.mapInArrow(lean(batches), out)
 
 
 def _accepts(good: Column, toxic: Column) -> Column:
