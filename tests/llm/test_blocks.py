@@ -86,3 +86,11 @@ def test_ids_that_are_no_utf8_and_ids_that_are_no_piece(pieces):
     assert lattice._texts(pa.array([[high, high], None, []], pa.list_(pa.int32())), names).to_pylist() == ["�", None, ""]
     with pytest.raises((KeyError, IndexError)):
         lattice._texts(pa.array([[10**8]], pa.list_(pa.int32())), names)
+
+
+def test_the_driver_gives_memory_back_once_its_tables_are_made(spark, pieces, monkeypatch):
+    told, solve = [], lattice.solve
+    monkeypatch.setattr(lattice, "solve", lambda *a: told.append("solve") or solve(*a))
+    monkeypatch.setattr(lattice, "give_back", lambda: told.append("back"))
+    lattice.encode(spark.createDataFrame([(1, "a few words")], "doc_id long, text string"), pieces)
+    assert told == ["solve", "solve", "back"]

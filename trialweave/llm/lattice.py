@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import words
 from trialweave.llm.pieces import SPACE, STEPS, PieceTable
-from trialweave.llm.workers import lean
+from trialweave.llm.workers import give_back, lean
 from trialweave.session import cut_lineage
 
 #: Words that every task has, and documents whose words they are chosen from.
@@ -282,8 +282,10 @@ class _Coder:
         order = np.argsort(hashed)
         self.hashes, self.numbers = hashed[order], order
         ids = solved["ids"].combine_chunks()
-        self.flat = _ids(np.frombuffer(b"".join(ids.to_pylist()), np.uint8))
         self.sizes = pc.binary_length(ids).to_numpy().astype(np.int64) // 3
+        begin = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset] if len(ids) else 0
+        data = ids.buffers()[2] if len(ids) else b""
+        self.flat = _ids(np.frombuffer(data, np.uint8)[begin : begin + 3 * self.sizes.sum()])
         self.begins = np.cumsum(self.sizes) - self.sizes
 
     def codes(self, hashed: np.ndarray) -> np.ndarray:
@@ -353,7 +355,9 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
     sent = rows.mapInArrow(lean(rare), "block long, bucket int, words string").repartition(parts, "bucket")
     wanted = sent.select("block", "bucket", F.posexplode(F.split("words", " ")).alias("at", "word"))
     distinct = wanted.groupBy("bucket", "word").agg(F.collect_set(F.struct("block", "at")).alias("places"))
-    answers = solve(distinct, pieces, table).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "own")))["own"].alias("own"))
+    found = solve(distinct, pieces, table)
+    give_back()  # the driver keeps none of what the tables of words and pieces were made with
+    answers = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "own")))["own"].alias("own"))
 
     def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
