@@ -7,7 +7,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.imaging import intensity
+from trialweave.imaging import intensity, texture
 from trialweave.operators import ranking, relational
 
 
@@ -44,3 +44,16 @@ def levels(spark):
 
 def test_first_order_tables_are_shuffled(levels):
     assert "Broadcast" not in plan(intensity.firstorder(levels, ["image"]))
+
+
+@pytest.mark.parametrize("family", ["glcm", "glrlm", "gldm", "ngtdm", "glszm"])
+def test_texture_tables_are_shuffled(levels, family):
+    around = texture.neighbour_cells(levels, ["image"])
+    made = {
+        "glcm": lambda: texture.glcm_features(texture.glcm_cells(levels, ["image"]), ["image"]),
+        "glrlm": lambda: texture.size_features(texture.glrlm_cells(levels, ["image"]), ["image"], "glrlm"),
+        "gldm": lambda: texture.size_features(texture.gldm_cells(around, ["image"]), ["image"], "gldm"),
+        "ngtdm": lambda: texture.ngtdm_features(around, ["image"]),
+        "glszm": lambda: texture.size_features(texture.glszm_cells(levels, ["image"]), ["image"], "glszm"),
+    }[family]()
+    assert "Broadcast" not in plan(made)
