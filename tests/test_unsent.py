@@ -7,7 +7,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.imaging import intensity, texture
+from trialweave.imaging import bricks, intensity, texture
 from trialweave.operators import ranking, relational
 
 
@@ -57,3 +57,13 @@ def test_texture_tables_are_shuffled(levels, family):
         "glszm": lambda: texture.size_features(texture.glszm_cells(levels, ["image"]), ["image"], "glszm"),
     }[family]()
     assert "Broadcast" not in plan(made)
+
+
+def test_a_written_table_is_broadcast_only_while_it_has_few_rows(levels, monkeypatch):
+    voxels = levels.withColumn("mask", F.lit(1))
+    few = bricks.with_extents(voxels, ["image"])
+    assert "BroadcastHashJoin" in plan(few)
+    monkeypatch.setattr(relational, "SENT_ROWS", 4)
+    many = bricks.with_extents(voxels, ["image"])
+    assert "Broadcast" not in plan(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
