@@ -96,3 +96,13 @@ def test_blocks_that_cannot_reach_are_not_joined(spark):
     asked = length_buckets._numbered(length_buckets._packed(rows.where("id % 20 = 0 AND id < 100"), 80), "block")
     aimed = length_buckets._aimed(asked, about, {8: (bytes(first.ids), bytes(first.matrix))}, 5).collect()
     assert len(about) == 6 and all(len(r.buckets) == 1 for r in aimed)
+
+
+def test_blocks_that_go_to_many_buckets_are_not_broadcast(spark):
+    """A block of queries is repeated for each bucket that it goes to, which the planner does not weigh."""
+    draw = np.random.default_rng(9)
+    rows = [(i, x.tolist()) for i, x in enumerate(draw.standard_normal((300, 8)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = length_buckets.search(frame, F.col("id") % 10 == 0, 5, bucket_cells=64, block_cells=64)
+    assert found(got) == plain(rows, lambda i: i % 10 == 0, 5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trialweave.operators.relational import unsent
 from trialweave.session import cut_lineage
 
 #: Components of a bucket's and of a query block's matrix, rows of the longest bucket that give theta, and coordinates that are looked at.
@@ -235,7 +236,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     seeds = {r.n: (bytes(r.ids), bytes(r.matrix)) for r in buckets.where(F.col("bucket").isin(room)).collect()}
 
     aimed = cut_lineage(_aimed(blocks, about, seeds, k)).withColumn("bucket", F.explode("buckets")).drop("buckets", "n")
-    met = aimed.join(buckets.select("bucket", "n", F.col("ids").alias("of"), F.col("matrix").alias("rows")), "bucket")
+    # The planner weighs a block as one however many buckets it goes to, so the blocks are not to be broadcast.
+    met = unsent(aimed).join(buckets.select("bucket", "n", F.col("ids").alias("of"), F.col("matrix").alias("rows")), "bucket")
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bucket = None, None
