@@ -333,3 +333,19 @@ def test_a_forest_in_parts_is_the_mean_of_all_its_trees(spark, monkeypatch, kind
         else:
             votes = sum(t.predictProbability(row.features).toArray() for t in trees) / 7
             assert row.probability.toArray() == pytest.approx(votes) and (abs(votes[0] - votes[1]) < 1e-9 or row.prediction == votes.argmax())
+
+
+def test_importances_of_a_forest_in_parts_are_those_of_all_its_trees(spark, monkeypatch):
+    """Feature ranking fits its forest in parts as well; a tree without a split counts nowhere."""
+    rows = [(str(i), float(i % 13), float(i % 7), int((i * 7 % 11) > 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, a double, b double, label int")
+    fitted = []
+    fit = models.InParts._fit
+    monkeypatch.setattr(models, "NODES", 240)
+    monkeypatch.setattr(models.InParts, "_fit", lambda self, frame: fitted.append(fit(self, frame)) or fitted[-1])
+    ranked = {r.feature: r.importance for r in explain.rank_features(df, ["a", "b"], "label", "key", trees=7).collect()}
+    (parts,) = fitted
+    assert len(parts.parts) > 1
+    trees = [t.featureImportances.toArray() for kind, path, _ in parts.parts for t in kind.load(path).trees]
+    total = sum(trees)
+    assert len(trees) == 7 and [ranked["a"], ranked["b"]] == pytest.approx((total / total.sum()).tolist())

@@ -39,7 +39,7 @@ def rank_features(
     filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(means[c] or 0.0)) for c in columns}
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df.withColumns(filled))
     forest = forest_classifier(trees, seed, labelCol=label, maxDepth=depth)
-    model = forest.fit(training_layout(vectors.select(key, label, "features"), key))
+    model = models.InParts(forest).fit(training_layout(vectors.select(key, label, "features"), key))
     return importance_table(df.sparkSession, model, columns)
 
 
